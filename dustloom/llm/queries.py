@@ -46,6 +46,14 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NO
 """
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dustloom.llm.token_files import token_file_digest
+
+    return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dustloom.llm.sharding import shard
 
@@ -53,5 +61,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op10_sharding": op10_sharding}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
