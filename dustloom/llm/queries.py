@@ -54,6 +54,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dustloom.llm.near_dedup import near_classes
 
@@ -67,5 +73,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op8_near_dedup": op8_near_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op10_sharding": op10_sharding}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
