@@ -66,6 +66,23 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.vector_search import build_index, top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dustloom.llm.sharding import shard
 
@@ -73,5 +90,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_vector_search": OP9_SQL}
