@@ -46,6 +46,14 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NO
 """
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dustloom.llm.piece_sampling import segmentation_digest
+
+    return segmentation_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,5 +98,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_vector_search": OP9_SQL}
