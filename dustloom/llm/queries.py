@@ -68,6 +68,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dustloom.llm.near_dedup import near_classes
 
@@ -98,5 +104,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op7_personal_data": op7_personal_data, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_vector_search": OP9_SQL}
