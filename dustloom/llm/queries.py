@@ -54,6 +54,24 @@ def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.line_dedup import line_dedup_digest
+
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, l[i + 1] AS a, l[i + 2] AS b, l[i + 3] AS c FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d)),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth FROM w
+      WHERE regexp_matches(a, '\\S') OR regexp_matches(b, '\\S') OR regexp_matches(c, '\\S')),
+r AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE nth > 1) GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(ps, i - 1)) END, chr(10))) AS text_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,5 +122,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op7_personal_data": op7_personal_data, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_vector_search": OP9_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op7_personal_data": op7_personal_data, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_vector_search": OP9_SQL}
