@@ -162,7 +162,7 @@ def infer_unit(name: Column) -> Column:
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MEAN_EARTH_KM) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def compass8(degrees: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +15,21 @@ A_KM = 6378.137
 B_KM = A_KM * (1 - 1 / 298.257223563)
 
 
-def surface_point(origin: list[Column], direction: list[Column]) -> Column:
-    """struct(x, y, z): where a ray first meets the ellipsoid; NULL if it doesn't."""
-    (x, y, z), (u, v, w) = origin, direction
-    qa = (u * u + v * v) / A_KM**2 + w * w / B_KM**2
-    qb = 2 * ((x * u + y * v) / A_KM**2 + z * w / B_KM**2)
-    qc = (x * x + y * y) / A_KM**2 + z * z / B_KM**2 - 1
-    disc = qb * qb - 4 * qa * qc
-    root = F.sqrt(F.when(disc >= 0, disc))
-    near, far = (-qb - root) / (2 * qa), (-qb + root) / (2 * qa)
-    t = F.when(near > 0, near).when(far > 0, far)
-    return F.when(t.isNotNull(), F.struct((x + t * u).alias("x"), (y + t * v).alias("y"), (z + t * w).alias("z")))
+def surface_point(df: DataFrame, origin: list[str], direction: list[str], out: str) -> DataFrame:
+    """df with out: struct(x, y, z) where a ray first meets the ellipsoid, NULL if it doesn't. Step by step, as each is used again."""
+    (x, y, z), (u, v, w) = ([F.col(c) for c in cols] for cols in (origin, direction))
+    df = df.withColumns({
+        "_qa": (u * u + v * v) / A_KM**2 + w * w / B_KM**2,
+        "_qb": 2 * ((x * u + y * v) / A_KM**2 + z * w / B_KM**2),
+        "_qc": (x * x + y * y) / A_KM**2 + z * z / B_KM**2 - 1,
+    })
+    disc = F.col("_qb") * F.col("_qb") - 4 * F.col("_qa") * F.col("_qc")
+    df = df.withColumn("_disc", disc).withColumn("_root", F.sqrt(F.when(F.col("_disc") >= 0, F.col("_disc"))))
+    df = df.withColumns({"_near": (-F.col("_qb") - F.col("_root")) / (2 * F.col("_qa")), "_far": (-F.col("_qb") + F.col("_root")) / (2 * F.col("_qa"))})
+    t = F.when(F.col("_near") > 0, F.col("_near")).when(F.col("_far") > 0, F.col("_far"))
+    df = df.withColumn("_t", t)
+    hit = F.when(F.col("_t").isNotNull(), F.struct((x + F.col("_t") * u).alias("x"), (y + F.col("_t") * v).alias("y"), (z + F.col("_t") * w).alias("z")))
+    return df.withColumn(out, hit).drop("_qa", "_qb", "_qc", "_disc", "_root", "_near", "_far", "_t")
 
 
 def geodetic_latitude(x: Column, y: Column, z: Column) -> Column:
@@ -37,19 +43,22 @@ def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees:
     motion = [F.lead(c).over(w) - F.lag(c).over(w) for c in ("x", "y", "z")]
     df = samples.withColumns({f"_m{c}": m for c, m in zip("xyz", motion, strict=True)})
     lat, lon = F.radians("lat"), F.radians("lon")
-    up = [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
-    m = [F.col(f"_m{c}") for c in "xyz"]
-    along = sum(a * b for a, b in zip(m, up, strict=True))
-    tangent = [a - along * b for a, b in zip(m, up, strict=True)]
-    size = F.sqrt(sum(t * t for t in tangent))
-    angle = F.radians(F.lit(aft_degrees))
-    ray = [-F.cos(angle) * u - F.sin(angle) * F.when(size > 0, t / size) for u, t in zip(up, tangent, strict=True)]
-    length = F.sqrt(sum(r * r for r in ray))
-    df = df.withColumn("_hit", surface_point([F.col("x"), F.col("y"), F.col("z")], [r / length for r in ray]))
+    df = df.withColumns({"_ux": F.cos(lat) * F.cos(lon), "_uy": F.cos(lat) * F.sin(lon), "_uz": F.sin(lat)})
+    column = lambda kind: [F.col(f"_{kind}{c}") for c in "xyz"]
+    total = lambda parts: parts[0] + parts[1] + parts[2]
+    named = lambda kind, parts: {f"_{kind}{c}": p for c, p in zip("xyz", parts, strict=True)}
+    df = df.withColumn("_along", total([a * b for a, b in zip(column("m"), column("u"), strict=True)]))
+    df = df.withColumns(named("t", [a - F.col("_along") * b for a, b in zip(column("m"), column("u"), strict=True)]))
+    df = df.withColumn("_size", F.sqrt(total([t * t for t in column("t")])))
+    angle = math.radians(aft_degrees)
+    df = df.withColumns(named("r", [-math.cos(angle) * u - math.sin(angle) * F.when(F.col("_size") > 0, t / F.col("_size")) for u, t in zip(column("u"), column("t"), strict=True)]))
+    df = df.withColumn("_length", F.sqrt(total([r * r for r in column("r")])))
+    df = df.withColumns(named("d", [r / F.col("_length") for r in column("r")]))
+    df = surface_point(df, ["x", "y", "z"], ["_dx", "_dy", "_dz"], "_hit")
     hit = [F.col(f"_hit.{c}") for c in "xyz"]
     df = df.withColumns({"foot_lat": geodetic_latitude(*hit), "foot_lon": F.degrees(F.atan2(hit[1], hit[0]))})
     out = df.withColumn("offset_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("foot_lat"), F.col("foot_lon")))
-    return out.drop("_hit", "_mx", "_my", "_mz")
+    return out.drop("_hit", "_along", "_size", "_length", *(f"_{k}{c}" for k in "mutrd" for c in "xyz"))
 
 
 def target_events(near: DataFrame, keys: list[str], ts: str, distance: str, radius: float, start, end) -> DataFrame:
