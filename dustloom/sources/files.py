@@ -67,11 +67,11 @@ def read_workbook_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
                     for row in _sheet_rows(bytes(data)):
                         rows.append((path, *row, None))
                         if len(rows) == 5000:
-                            yield pd.DataFrame(rows, columns=COLUMNS)
+                            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
                             rows = []
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
                     rows.append((path, None, None, None, None, type(error).__name__))
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(cells, "path string, sheet_no int, sheet string, row_no int, cells array<string>, error string")
@@ -119,7 +119,7 @@ def marker_offsets(blobs: DataFrame, key: str, content: str, marker: bytes = MAR
         for pdf in batches:
             for k, data in zip(pdf["key"], pdf["content"], strict=True):
                 at = [m.start() for m in re.finditer(re.escape(marker), bytes(data))] if data is not None else []
-                yield pd.DataFrame({key: [k] * len(at), "offset": at, "size": [len(data or b"")] * len(at)})
+                yield pd.DataFrame({key: pd.Series([k] * len(at), dtype=object), "offset": at, "size": [len(data or b"")] * len(at)})
 
     kind = blobs.schema[key].dataType.simpleString()
     given = blobs.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content"))
@@ -147,7 +147,7 @@ def decode_block_candidates(blocks: DataFrame, key: str, content: str, low: floa
                 starts = np.arange(0, max(0, len(raw) - 7), 8 if aligned else 1)
                 values = raw[starts[:, None] + np.arange(8)].copy().view(">f8")[:, 0].astype(float) if len(starts) else np.zeros(0)
                 ok = np.isfinite(values) & (values >= low) & (values <= high)
-                yield pd.DataFrame({key: [k] * int(ok.sum()), "position": [p] * int(ok.sum()), "at": starts[ok], "value": values[ok]})
+                yield pd.DataFrame({key: pd.Series([k] * int(ok.sum()), dtype=object), "position": [p] * int(ok.sum()), "at": starts[ok], "value": values[ok]})
 
     kind = blocks.schema[key].dataType.simpleString()
     given = blocks.select(F.col(key).alias("key"), F.col("position").cast("int").alias("position"), F.col(content).cast("binary").alias("content"))
@@ -162,7 +162,7 @@ def printable_strings(blobs: DataFrame, key: str, content: str, least: int = 4)
         for pdf in batches:
             for k, data in zip(pdf["key"], pdf["content"], strict=True):
                 hits = [(k, m.start(), m[0].decode("ascii")) for m in runs.finditer(bytes(data or b""))]
-                yield pd.DataFrame(hits, columns=[key, "at", "text"])
+                yield pd.DataFrame(hits, columns=[key, "at", "text"], dtype=object)
 
     kind = blobs.schema[key].dataType.simpleString()
     return blobs.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content")).mapInPandas(find, f"{key} {kind}, at long, text string")
