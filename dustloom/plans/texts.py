@@ -259,12 +259,12 @@ def read_sounding_pages(spark, sf_dir):
     return text.read_sounding_pages(pages, stop=" the ").select("doc_id", F.size("lines").alias("n_lines"))
 
 
-@query("s11_read_grid_ascii", "WITH e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, (k // 8)::INTEGER AS i, (k % 8)::INTEGER AS j, round(v, 5) AS value FROM e")
+@query("s11_read_grid_ascii", "WITH e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, (k // 8)::INTEGER AS i, (k % 8)::INTEGER AS j, round(v, 5) + 0.0::DOUBLE AS value FROM e")
 def read_grid_ascii(spark, sf_dir):
     row = lambda i: F.concat(F.lit("[0]["), i.cast("string"), F.lit("], "), F.array_join(F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double").cast("string")), ", "))
     lines = F.concat(F.array(F.lit("v.v[1][8][8]")), F.transform(F.sequence(F.lit(0), F.lit(7)), row), F.array(F.lit("")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(lines).alias("line_no", "line"))
-    return text.read_grid_ascii(e, ["vec_id"]).select("vec_id", "i", "j", F.round("value", 5).alias("value"))
+    return text.read_grid_ascii(e, ["vec_id"]).select("vec_id", "i", "j", (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
 @query("s12_read_point_forecast", "SELECT variable, level_m, count(*) AS n, round(sum(v), 4) AS total FROM (SELECT 'dust_load' AS variable, NULL::DOUBLE AS level_m, value AS v FROM events UNION ALL SELECT 'od550_dust', NULL, value * 2 FROM events UNION ALL SELECT 'sconc_dust', 1000, value * 3 FROM events) GROUP BY 1, 2")
