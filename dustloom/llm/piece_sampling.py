@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from dustloom.llm.common import chunks, on_workers, row_struct
 
 ALPHA = 0.7
 CHUNK_BYTES = 2 << 20
+#: Different chunks whose lattices a worker keeps.
+BASE_CHUNKS = 250_000
 _SPACED = re.compile(r" *[^ ]+| +")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -52,7 +54,8 @@ class Pieces:
         size = model.vocab_size()
         self.bytes = [b""] * size
         self.byte_ids = np.zeros(256, np.int64)
-        by_length: dict[int, list[tuple[int, int, float]]] = {}
+        nodes: dict[int, tuple[int, float]] = {}
+        self.longest = 1
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -61,19 +64,37 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace("▁", " ")
                 self.bytes[i] = piece.encode()
-                by_length.setdefault(len(piece), []).append((self.hash(piece), i, (2.0 - model.get_score(i)) ** -alpha))
+                self.longest = max(self.longest, len(piece))
+                key = 0
+                for ch in piece:
+                    key = (key * int(_BASE) + ord(ch) + 1) & (2**64 - 1)
+                    nodes.setdefault(key, (-1, 0.0))
+                nodes[key] = (i, (2.0 - model.get_score(i)) ** -alpha)
         self.byte_weight = (2.0 + size) ** -alpha
-        self.longest = max(by_length)
-        self.tables = {}
-        for n, own in by_length.items():
-            own.sort()
-            self.tables[n] = np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own]), np.array([x[2] for x in own])
-
-    @staticmethod
-    def hash(piece: str) -> int:
-        out = 0
-        for ch in piece:
-            out = (out * int(_BASE) + ord(ch) + 1) & (2**64 - 1)
+        self.base: Lattices | None = None
+        self.number: dict[str, int] = {}
+        # all prefixes of pieces in an open table: hash, piece or -1, weight
+        bits = max(4, len(nodes).bit_length() + 1)  # at most half full
+        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
+        self.keys, self.ids, self.weights = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), np.zeros(1 << bits)
+        for key, (i, weight) in nodes.items():
+            at = ((key ^ key >> 32) * 0xBF58476D1CE4E5B9 & (2**64 - 1)) >> (64 - bits)
+            while self.keys[at]:
+                at = (at + 1) & self.mask
+            self.keys[at], self.ids[at], self.weights[at] = key, i, weight
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The table's place of each hash, or -1 where it is no prefix of a piece."""
+        out = ((key ^ key >> _U(32)) * _U(0xBF58476D1CE4E5B9) >> self.shift).astype(np.int32)
+        seen = self.keys[out]
+        odd = np.flatnonzero(seen != key)
+        while len(odd):
+            free = seen[odd] == 0
+            out[odd[free]] = -1
+            odd = odd[~free]
+            out[odd] = (out[odd] + 1) & self.mask
+            seen[odd] = self.keys[out[odd]]
+            odd = odd[seen[odd] != key[odd]]
         return out
 
     def decode(self, ids) -> str:
@@ -93,19 +114,20 @@ class Lattices:
         starts, sizes, ids, weights = [], [], [], []
         known = np.zeros(len(codes), bool)
         for n in range(1, pieces.longest + 1):
-            stays = left[at] >= n
-            at = at[stays]
-            key = key[stays] * _BASE + codes[at + n - 1] + _U(1)
-            if n in pieces.tables:
-                table, piece, weight = pieces.tables[n]
-                place = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                hit = table[place] == key
-                starts.append(at[hit])
-                sizes.append(np.full(int(hit.sum()), n))
-                ids.append(piece[place[hit]])
-                weights.append(weight[place[hit]])
-                if n == 1:
-                    known[at[hit]] = True
+            key = key * _BASE + codes[at + (n - 1)] + _U(1)
+            place = pieces.find(key)
+            piece = pieces.ids[place]
+            hit = (piece >= 0) & (place >= 0)
+            starts.append(at[hit])
+            sizes.append(np.full(len(starts[-1]), n))
+            ids.append(piece[hit].astype(np.int64))
+            weights.append(pieces.weights[place[hit]])
+            if n == 1:
+                known[starts[0]] = True
+            stays = (place >= 0) & (left[at] > n)
+            at, key = at[stays], key[stays]
+            if not len(at):
+                break
         spelled = np.flatnonzero(~known)
         width = np.where(codes[spelled] < 0x80, 1, np.where(codes[spelled] < 0x800, 2, np.where(codes[spelled] < 0x10000, 3, 4)))
         starts.append(spelled)
@@ -117,7 +139,7 @@ class Lattices:
         # nodes: one more than characters in each chunk
         node_from, offset = start + word, start - begin[word] + size
         node_to = node_from + size
-        order = np.lexsort((node_to, offset))
+        order = np.argsort((offset << 40) + (node_to << 8) + size)
         start, size, piece, weight, node_from, node_to, offset = (x[order] for x in (start, size, piece, weight, node_from, node_to, offset))
         alpha = np.zeros(len(codes) + len(texts))
         alpha[begin + np.arange(len(texts))] = 1.0
@@ -135,7 +157,7 @@ class Lattices:
                 for back in range(min(pieces.longest, int(offset[at]))):
                     alpha[small - back] /= _TINY
             at = end
-        order = np.argsort(node_to, kind="stable")
+        order = np.argsort((node_to << 8) + size)
         self.size, self.piece, share, node_to = size[order], piece[order], share[order], node_to[order]
         self.node0 = begin + np.arange(len(texts))
         first = np.flatnonzero(np.diff(node_to, prepend=-1))
@@ -147,9 +169,26 @@ class Lattices:
         self.rank = np.zeros(len(alpha), np.int64)
         self.rank[node_to[first]] = np.arange(len(first))
         self.upto = np.clip(running - base, 0, 1) + np.repeat(np.arange(len(first)), count)
+        self.ranks = len(first)
+        self.size, self.piece = self.size.astype(np.int16), self.piece.astype(np.int32)
+        self.first, self.last, self.rank = (x.astype(np.int32) for x in (self.first, self.last, self.rank))
+
+    def extend(self, other: Lattices) -> None:
+        """Adds other's chunks behind this one's."""
+        nodes, edges = len(self.rank), len(self.upto)
+        both = lambda name, by: setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name) + by]))
+        both("node0", nodes)
+        both("first", np.int32(edges))
+        both("last", np.int32(edges))
+        both("rank", np.int32(self.ranks))
+        both("upto", self.ranks)
+        for name in ("size", "piece"):
+            both(name, np.zeros((), getattr(self, name).dtype))
+        both("length", 0)
+        self.ranks += other.ranks
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(edges of all occurrences in order, number of edges of each). word: the chunk of each occurrence."""
+        """(pieces of all occurrences in order, number of them for each). word: the chunk of each occurrence."""
         state, own = self.length[word].copy(), np.flatnonzero(self.length[word])
         steps = np.zeros(len(word), np.int64)
         who, what, turn = [], [], 0
@@ -168,7 +207,7 @@ class Lattices:
         ends = np.cumsum(steps)
         for turn, (own, edge) in enumerate(zip(who, what, strict=True)):
             out[ends[own] - 1 - turn] = edge
-        return out, steps
+        return self.piece[out], steps
 
 
 def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -181,16 +220,38 @@ def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> lis
             split.append([x[1:] for x in _SPACED.findall(" " + text)])
         else:
             split.append(text.split(" "))
-    number: dict[str, int] = {}
-    word = np.array([number.setdefault(x, len(number)) for x in chain.from_iterable(split)], np.int64)
+    # chunks met before are numbered in the worker's base, the others of this batch behind them
+    base_words = len(pieces.number)
+    word = np.fromiter(map(pieces.number.get, chain.from_iterable(split), repeat(-1)), np.int64, sum(map(len, split)))
     if not len(word):
         return [np.zeros(0, np.int32) for _ in texts]
-    lattices = Lattices(pieces, [" " + x for x in number])
+    fresh_at = np.flatnonzero(word < 0)
+    number: dict[str, int] = {}
+    if len(fresh_at):
+        flat = list(chain.from_iterable(split))
+        word[fresh_at] = [base_words + number.setdefault(flat[i], len(number)) for i in fresh_at.tolist()]
     per_text = np.fromiter(map(len, split), np.int64, len(split))
     place = np.arange(len(word)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     row = np.repeat(mixed(keys.view(np.uint64) ^ mixed(np.array([seed & (2**64 - 1)], np.uint64))), per_text)
-    edges, steps = lattices.sample(word, mixed(row + place.astype(np.uint64) * _BASE))
-    ids = lattices.piece[edges]
+    seeds = mixed(row + place.astype(np.uint64) * _BASE)
+    old_at = np.flatnonzero(word < base_words)
+    parts = [(old_at, *pieces.base.sample(word[old_at], seeds[old_at]))] if len(old_at) else []
+    if number:
+        fresh = Lattices(pieces, [" " + x for x in number])
+        parts.append((fresh_at, *fresh.sample(word[fresh_at] - base_words, seeds[fresh_at])))
+    steps = np.zeros(len(word), np.int64)
+    for at, _, n in parts:
+        steps[at] = n
+    ids = np.empty(int(steps.sum()), np.int64)
+    begin = np.cumsum(steps) - steps
+    for at, own, n in parts:
+        ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+    if number and base_words < BASE_CHUNKS:
+        if pieces.base is None:
+            pieces.base = fresh
+        else:
+            pieces.base.extend(fresh)
+        pieces.number.update((x, base_words + i) for x, i in number.items())
     counts = np.ones(len(ids), np.int64)
     spelled = np.flatnonzero(ids < 0)
     if len(spelled):
@@ -261,16 +322,27 @@ def decode_rows(encoded: DataFrame, model: str, alpha: float = ALPHA) -> DataFra
     return encoded.mapInArrow(_decode_batches(model, alpha), schema)
 
 
-def _digest_batches(batches):
-    for batch in batches:
-        crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-        yield _with(pa.Table.from_batches([batch]), "ids_crc32", pa.array(crc, pa.int64()), "ids")
+def _digest_batches(path: str, alpha: float, seed: int):
+    def run(batches):
+        pieces = pieces_of(path, alpha)
+        for part in chunks(batches, CHUNK_BYTES):
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            ids = encode(pieces, texts, np.array(part.column("key").to_pylist(), np.int64), seed)
+            cols = {
+                "doc_id": part.column("doc_id").combine_chunks(),
+                "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                "lossless": pa.array([pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+            }
+            if isinstance(cols["doc_id"], pa.ChunkedArray):
+                cols["doc_id"] = pa.concat_arrays(cols["doc_id"].chunks)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return run
 
 
-def segmentation_digest(docs: DataFrame, model: str, **options) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, lossless for each row of docs."""
-    decoded = decode_rows(encode_rows(docs.select("doc_id", "text"), model, **options), model)
-    lossless = F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))
-    out = decoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), lossless.alias("lossless"), "ids")
-    schema = T.StructType([T.StructField("ids_crc32", T.LongType()), *out.drop("ids").schema.fields])
-    return out.mapInArrow(_digest_batches, schema).select("doc_id", "n_pieces", "ids_crc32", "lossless")
+def segmentation_digest(docs: DataFrame, model: str, key_cols: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, lossless for each row of docs; encoded and decoded in one worker."""
+    on_workers(docs.sparkSession)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*(F.col(f"`{c}`") for c in key_cols)).alias("key"), "text")
+    return given.mapInArrow(_digest_batches(model, alpha, seed), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
