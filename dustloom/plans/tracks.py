@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dustloom.operators import geo, joins, windows
 from dustloom.plans.observations import rounded, table
 from dustloom.plans.texts import count, message_json
+from dustloom.session import shared_dir
 from dustloom.sources.files import read_messages
 from dustloom.streaming import jobs
 
@@ -125,13 +126,7 @@ def ground_track(spark, sf_dir):
 
 def streamed(spark, sf_dir, build):
     """Runs build(stream of the events table) to its end and reads what it wrote to the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-dustloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    base = f"{root}/dustloom-stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/dustloom-stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("timestamp", F.col("ts").cast("timestamp"))
     out = build(events)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dustloom.operators.clean import element_rules, validate_records
 from dustloom.operators.windows import block_lengths
+from dustloom.session import on_workers
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -73,6 +74,7 @@ def read_workbook_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
                     rows.append((path, None, None, None, None, type(error).__name__))
                 yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
+    on_workers(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(cells, "path string, sheet_no int, sheet string, row_no int, cells array<string>, error string")
 
