@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: scratch tables, workers' import path, Arrow batches."""
+"""What the operators of this subpackage share: scratch tables and Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dustloom.session import on_workers, shared_dir
+
+__all__ = ["WORD", "chunks", "on_workers", "row_struct", "scratch", "shared_dir", "table"]
+
 #: The white space of the contracts, as a Java pattern for words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a new temporary one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-dustloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def scratch(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
@@ -37,14 +30,6 @@ def scratch(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is used from a checkout and not installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
     """Arrow batches gathered to tables of about most_bytes; a batch above that is cut into slices of rows."""
     held: list[pa.RecordBatch] = []

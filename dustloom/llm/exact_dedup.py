@@ -175,7 +175,7 @@ def _chunk_owners(most_bytes: int):
     def run(batches):
         task, n = TaskContext.get().partitionId() << 33, 0
         for part in chunks(batches, most_bytes):
-            trie, keys, firsts, members = Trie(1 << 62), [], [], []
+            trie, keys, members = Trie(1 << 62), [], []
             ids = part.column("id").to_pylist()
             for row, (ident, text) in enumerate(zip(ids, part.column("body").to_pylist(), strict=True)):
                 key = normalised(text)
@@ -183,7 +183,6 @@ def _chunk_owners(most_bytes: int):
                 if node.end is None:
                     node.end = len(keys)
                     keys.append(key)
-                    firsts.append(row)
                     members.append([])
                 members[node.end].append((ident is None, ident or 0, row))
             firsts = []
