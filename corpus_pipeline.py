@@ -12,7 +12,7 @@ from dustloom.llm.common import shared_dir, table
 from dustloom.llm.exact_dedup import drop_exact_copies
 from dustloom.llm.mixing import mixed_rows
 from dustloom.llm.near_dedup import drop_near_copies
-from dustloom.llm.piece_sampling import decode_rows, encode_rows
+from dustloom.llm.piece_sampling import encode_rows
 from dustloom.llm.toxicity import drop_toxic
 
 
@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = decode_rows(encode_rows(docs, model), model)
-    return decoded.select("row.doc_id", "row.lang", "row.source", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))).alias("lossless"))
+    encoded = encode_rows(docs, model, decode=True)
+    return encoded.select("row.doc_id", "row.lang", "row.source", "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("pieces", pieces)]

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from dustloom.llm.common import chunks, on_workers, row_struct, scratch
 
-CHUNK_BYTES = 24 << 20
-TRIE_BYTES = 96 << 20
+CHUNK_BYTES = 8 << 20
+TRIE_BYTES = 64 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 

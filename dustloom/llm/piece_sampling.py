@@ -30,7 +30,7 @@ from dustloom.llm.common import chunks, on_workers, row_struct
 ALPHA = 0.7
 CHUNK_BYTES = 2 << 20
 #: Different chunks whose lattices a worker keeps.
-BASE_CHUNKS = 250_000
+BASE_CHUNKS = 150_000
 _SPACED = re.compile(r" *[^ ]+| +")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -284,15 +284,20 @@ def _with(part: pa.Table, name: str, values: pa.Array, without: str) -> pa.Recor
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def _encode_batches(path: str, alpha: float, seed: int):
+def _encode_batches(path: str, alpha: float, seed: int, decode: bool):
     def run(batches):
         pieces = pieces_of(path, alpha)
         for part in chunks(batches, CHUNK_BYTES):
             keys = np.array(part.column("key").to_pylist(), np.int64)
-            ids = encode(pieces, [x or "" for x in part.column("text").to_pylist()], keys, seed)
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            ids = encode(pieces, texts, keys, seed)
             ends = np.cumsum([0] + [len(x) for x in ids])
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield _with(part, "ids", values, "text")
+            out = _with(part, "ids", values, "text")
+            if decode:
+                same = pa.array([pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                out = _with(pa.Table.from_batches([out]), "lossless", same, "")
+            yield out
 
     return run
 
@@ -307,12 +312,14 @@ def _decode_batches(path: str, alpha: float):
     return run
 
 
-def encode_rows(docs: DataFrame, model: str, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """row (all of docs' columns as a struct) and ids of each row of docs."""
+def encode_rows(docs: DataFrame, model: str, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", alpha: float = ALPHA, seed: int = 0, decode: bool = False) -> DataFrame:
+    """row (all of docs' columns as a struct) and ids of each row of docs; with decode, whether they give the text again."""
     on_workers(docs.sparkSession)
     given = docs.select(F.xxhash64(*(F.col(f"`{c}`") for c in key_cols)).alias("key"), F.col(f"`{text_col}`").alias("text"), row_struct(docs, "row"))
     schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("key", T.LongType()), given.schema["row"]])
-    return given.mapInArrow(_encode_batches(model, alpha, seed), schema).select("row", "ids")
+    if decode:
+        schema = T.StructType([T.StructField("lossless", T.BooleanType()), *schema.fields])
+    return given.mapInArrow(_encode_batches(model, alpha, seed, decode), schema).drop("key")
 
 
 def decode_rows(encoded: DataFrame, model: str, alpha: float = ALPHA) -> DataFrame:

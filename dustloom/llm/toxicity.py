@@ -30,28 +30,35 @@ MOST_TERMS, LEAST_DOCUMENTS, LEAST_RATIO = 4096, 4, 20.0
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.1, 1e-5
 CHUNK_BYTES = 4 << 20
+KEPT_WORDS = 200_000
 
 _WORDS = re.compile(r"\w+")
 
 
-class _Terms(dict):
-    """The term hashes of a word, kept for half a million words."""
+def terms_of(word: str) -> tuple[int, ...]:
+    """The hashes of a word and of its first four and five letters."""
+    raw = word.encode("utf-8", "surrogatepass")
+    out = {xxhash.xxh3_64_intdigest(raw)}
+    for n in (4, 5):
+        if len(word) >= n:
+            out.add(xxhash.xxh3_64_intdigest(b"%d " % n + word[:n].encode("utf-8", "surrogatepass")))
+    return tuple(x - (1 << 63) for x in out)
+
+
+class _Known(dict):
+    """What terms gives of each word, kept for KEPT_WORDS words and for one task."""
+
+    def __init__(self, terms):
+        super().__init__()
+        self.terms = terms
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        out = {xxhash.xxh3_64_intdigest(raw)}
-        for n in (4, 5):
-            if len(word) >= n:
-                out.add(xxhash.xxh3_64_intdigest(b"%d " % n + word[:n].encode("utf-8", "surrogatepass")))
-        out = self[word] = tuple(x - (1 << 63) for x in out)
+        out = self[word] = self.terms(word)
         return out
 
 
-_TERMS = _Terms()
-
-
 def held_out(ident):
     """Rows from which no label is learnt."""
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -103,45 +110,36 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def _term_lists(places: dict[int, int] | None):
-    """label, terms of each text: all of its hashes, or the places of those in the machine."""
-
-    def run(batches):
-        for part in chunks(batches, CHUNK_BYTES):
-            lists = [_found(text, places) for text in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("label").to_pylist(), pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["label", "terms"])
-
-    return run
+def _places(machine: Machine | None) -> _Known:
+    """Of a word all of its terms, or the places of those that the machine has; most words have none."""
+    if machine is None:
+        return _Known(terms_of)
+    places = {int(t): i for i, t in enumerate(machine.terms)}
+    return _Known(lambda word: tuple(places[t] for t in terms_of(word) if t in places))
 
 
-def _found(text: str | None, places: dict[int, int] | None) -> list[int]:
+def _found(text: str | None, known: _Known) -> list[int]:
     words = set(_WORDS.findall((text or "").lower()))
-    terms = {t for w in words for t in _TERMS[w]}
-    return list(terms) if places is None else sorted(places[t] for t in terms if t in places)
+    return sorted({t for own in map(known.__getitem__, words) if own for t in own})
 
 
-class _Places(dict):
-    """Places of a word's terms in the machine; most words have none."""
+def _term_lists(machine: Machine | None):
+    """label, terms of each text: all of its hashes, or the places of those in the machine."""
 
-    def __init__(self, places: dict[int, int]):
-        super().__init__()
-        self.places = places
+    def run(batches):
+        known = _places(machine)
+        for part in chunks(batches, CHUNK_BYTES):
+            lists = [_found(text, known) for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part.column("label").to_pylist(), pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["label", "terms"])
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = tuple(self.places[t] for t in _TERMS[word] if t in self.places)
-        return out
+    return run
 
 
 def _scores(machine: Machine):
     def run(batches):
-        known = _Places({int(t): i for i, t in enumerate(machine.terms)})
+        known = _places(machine)
         for part in chunks(batches, CHUNK_BYTES):
-            out = []
-            for text in part.column("text").to_pylist():
-                words = set(_WORDS.findall((text or "").lower()))
-                out.append(machine.score(sorted({i for places in map(known.__getitem__, words) if places for i in places})))
+            out = [machine.score(_found(text, known)) for text in part.column("text").to_pylist()]
             cols = {"score": pa.array(out, pa.float64())}
             for name in part.column_names:
                 if name != "text":
@@ -169,8 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = 2 * (part(p, d * (positive / n)) + part(d - p, d * (1 - positive / n)) + part(F.lit(positive) - p, (F.lit(n) - d) * (positive / n)) + part(F.lit(n - positive) - (d - p), (F.lit(n) - d) * (1 - positive / n)))
     terms = seen.where((d >= LEAST_DOCUMENTS) & (d < n)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term").collect()
     machine = Machine(np.array(sorted(r["term"] for r in terms), np.int64))
-    places = {int(t): i for i, t in enumerate(machine.terms)}
-    rows = sample.mapInArrow(_term_lists(places), "label int, terms array<long>").orderBy("label", F.xxhash64("terms")).collect()  # at most train_rows
+    rows = sample.mapInArrow(_term_lists(machine), "label int, terms array<long>").orderBy("label", F.xxhash64("terms")).collect()  # at most train_rows
     machine.fit([r["terms"] for r in rows], np.array([r["label"] for r in rows], float))
     return machine
 
