@@ -20,6 +20,8 @@ from dustloom.llm.common import WORD, row_struct, scratch
 #: Weights by a source's place, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: With more sources than this the joins on them shuffle, and adaptive execution splits the hot ones.
+BROADCAST_SOURCES = 20_000
 #: Bits of the hash, and bits of it by which one histogram splits.
 HASH_BITS, STEP_BITS = 60, 12
 
@@ -44,9 +46,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
     return leveled.select("source", "source_size", F.coalesce(F.least(cap.cast("double"), F.col("w") * final), cap.cast("double")).alias("target"))
 
 
-def _boundary(sizes: DataFrame, bounds: DataFrame, bits_left: int) -> DataFrame:
+def _boundary(sizes: DataFrame, bounds: DataFrame, bits_left: int, few=lambda df: df) -> DataFrame:
     """Narrows each source's boundary to one bucket of the next bits. bounds: source, low (prefix of the hash), rest."""
-    inside = sizes.join(bounds, sizes["source"].eqNullSafe(bounds["key"]), "inner").where(F.shiftright("h", bits_left + STEP_BITS) == F.col("prefix"))
+    inside = sizes.join(few(bounds), F.col("source").eqNullSafe(F.col("key"))).where(F.shiftright("h", bits_left + STEP_BITS) == F.col("prefix"))
     hist = inside.groupBy("key", "rest", F.shiftright("h", bits_left).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
     upto = F.sum("in_bucket").over(Window.partitionBy("key").orderBy("bucket"))
     over = hist.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
@@ -54,25 +56,25 @@ def _boundary(sizes: DataFrame, bounds: DataFrame, bits_left: int) -> DataFrame:
     return first.select("key", F.col("b.bucket").alias("prefix"), (F.col("b.rest") - (F.col("b.upto") - F.col("b.in_bucket"))).alias("rest"))
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, targets: DataFrame, few=lambda df: df) -> DataFrame:
     """source_key, whole (repeats of every document), threshold: documents with h <= threshold are taken once more."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets.select(F.col("source").alias("key"), whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
     bounds = plan.select("key", F.lit(0).cast("long").alias("prefix"), "rest")
     steps = 2
     for step in range(1, steps + 1):
-        bounds = _boundary(sizes, bounds, HASH_BITS - step * STEP_BITS)
+        bounds = _boundary(sizes, bounds, HASH_BITS - step * STEP_BITS, few)
     left = HASH_BITS - steps * STEP_BITS
-    last = sizes.join(bounds, sizes["source"].eqNullSafe(bounds["key"])).where(F.shiftright("h", left) == F.col("prefix"))
+    last = sizes.join(few(bounds), F.col("source").eqNullSafe(F.col("key"))).where(F.shiftright("h", left) == F.col("prefix"))
     by_hash = last.groupBy("key", "rest", "prefix", "h").agg(F.sum("size").alias("z"))
     by_hash = by_hash.withColumn("upto", F.sum("z").over(Window.partitionBy("key").orderBy("h")))
     taken = F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("z"))
     cut = by_hash.groupBy("key").agg(F.max(F.when((F.col("upto") <= F.col("rest")) | taken, F.col("h"))).alias("h"), F.first("prefix").alias("prefix"))
     cut = cut.select(F.col("key").alias("cut_key"), F.coalesce("h", F.shiftleft("prefix", left) - 1).alias("threshold"))
-    # without a boundary no hash goes over the rest: all is taken if there is a rest, or nothing
+    # without a boundary no hash goes over the rest, and all is taken; without a rest nothing is
     joined = plan.join(cut, plan["key"].eqNullSafe(cut["cut_key"]), "left")
-    none = F.when(F.col("rest") > 0, F.lit((1 << HASH_BITS) - 1)).otherwise(F.lit(-1))
-    return joined.select("key", F.col("whole").cast("int").alias("whole"), F.coalesce("threshold", none).alias("threshold"))
+    threshold = F.when(F.col("rest") > 0, F.coalesce("threshold", F.lit((1 << HASH_BITS) - 1))).otherwise(F.lit(-1))
+    return joined.select("key", F.col("whole").cast("int").alias("whole"), threshold.alias("threshold"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, rows: bool = False) -> DataFrame:
@@ -82,10 +84,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = given if rows else scratch(given, "mix")
     sizes = scratch(given.select("source", "size", "h"), "mix") if rows else base.select("source", "size", "h")
     targets = scratch(source_targets(sizes, weights), "mix-targets")
-    cuts = thresholds(sizes, targets)
+    # the side of sources is broadcast only when counted to be small; a hot source's rows then stay where they are
+    few = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda df: df
+    cuts = scratch(thresholds(sizes, targets, few), "mix-cuts")
     plan = targets.join(cuts, targets["source"].eqNullSafe(cuts["key"])).select("key", "source_size", "target", "whole", "threshold")
+    plan = few(plan)
     repeats = F.col("whole") + (F.col("h") <= F.col("threshold")).cast("int")
-    out = base.join(plan, base["source"].eqNullSafe(plan["key"])).withColumn("repeats", repeats)
+    out = base.join(plan, F.col("source").eqNullSafe(F.col("key"))).withColumn("repeats", repeats)
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), *(["row"] if rows else []))
 
 
