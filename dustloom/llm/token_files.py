@@ -41,7 +41,7 @@ CHECKPOINT_TOKENS = 1 << 17
 MOST_LANES = 1024
 LOW = np.uint64(1 << 31)
 #: Words whose identifiers a Python worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_600_000
 
 
 class WordEncoder:
@@ -65,14 +65,15 @@ class WordEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.opens[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
 
+
     def _encode_spaced(self, words: list[str]) -> Iterator[bytes]:
-        """Each word with a space before it, many in one call; words hold no space themselves."""
+        """Each word with the space before it, many in one call; words hold no space themselves."""
+        size = self.dtype.itemsize
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = (np.append(np.flatnonzero(self.opens[ids])[1:], len(ids)) * self.dtype.itemsize).tolist()
             data, begin = ids.tobytes(), 0
-            for end in ends:
+            for end in (np.append(np.flatnonzero(self.opens[ids])[1:], len(ids)) * size).tolist():
                 yield data[begin:end]
                 begin = end
 
@@ -83,44 +84,33 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        odd = {w for w in set(chain.from_iterable(split)) if not w or w[0].isspace()}
+        table = self.kept
+        missing = set(chain.from_iterable(split)).difference(table)
+        odd = {w for w in missing if not w or w[0].isspace()}
+        spaced: set[str] = set()
         heads, bodies = [], []
         for words in split:
-            head = words[0]
-            body = words[1:]
-            if odd and not odd.isdisjoint(body):
-                merged = [head]
-                for word in body:
+            if odd and not odd.isdisjoint(words[1:]):
+                merged = words[:1]
+                for word in words[1:]:
                     if word in odd:
                         merged[-1] += " " + word
                     else:
                         merged.append(word)
-                head, body = merged[0], merged[1:]
-            heads.append(head)
-            bodies.append(body)
-        table = self.kept
-        missing = set(chain.from_iterable(bodies)).difference(table)
-        spaced = {w for w in missing if " " in w} if odd else set()
-        plain = list(missing - spaced)
-        fresh = dict(zip(plain, self._encode_spaced(plain), strict=True))
-        fresh.update(zip(spaced, self._encode([" " + w for w in spaced]), strict=True))
-        if fresh:
-            if len(table) + len(fresh) <= CACHE_WORDS:
-                table.update(fresh)
-            else:
-                table = _Both(fresh, table)
-        return [first + b"".join(map(table.__getitem__, body)) for first, body in zip(self._encode(heads), bodies, strict=True)]
-
-
-class _Both(dict):
-    """fresh with what is kept behind it."""
-
-    def __init__(self, fresh: dict, kept: dict):
-        super().__init__(fresh)
-        self.behind = kept
-
-    def __missing__(self, key):
-        return self.behind[key]
+                words = merged
+                spaced.update(w for w in words[1:] if " " in w)
+            heads.append(words[0])
+            bodies.append(words[1:])
+        plain = list(missing - odd)
+        added = dict(zip(plain, self._encode_spaced(plain), strict=True))
+        spaced.difference_update(table)
+        added.update(zip(spaced, self._encode([" " + w for w in spaced]), strict=True))
+        table.update(added)
+        out = [first + b"".join(map(table.__getitem__, body)) for first, body in zip(self._encode(heads), bodies, strict=True)]
+        if len(table) > CACHE_WORDS:
+            for word in added:
+                del table[word]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
