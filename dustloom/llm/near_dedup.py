@@ -9,9 +9,12 @@ is a table lookup by weight step; ties of the pool go by the shingle's hash.
 
 Documents with equal texts are one node. All nodes of a bucket are compared with its centre, the node that shares
 the most buckets' places with others. Buckets that still hold different classes are compared within blocks of at most
-BLOCK_NODES nodes, so buckets up to that size wholly; larger ones in BLOCK_ROUNDS turns, each ordered by another
-band, which puts similar nodes side by side, until a turn finds no link. A link is a weighted Jaccard similarity of
-at least SIMILARITY. Classes are the connected components of links.
+BLOCK_NODES nodes, so buckets up to that size wholly; larger ones first in up to BLOCK_ROUNDS turns, each ordered by
+another band, which puts similar nodes side by side and joins most classes cheaply. What is left of larger buckets is
+compared exactly: nodes are dealt to tiles by their class (the bucket's largest or another), by level of total weight
+and by hash, and each two tiles that can hold a link are one group of rows. Only pairs of the same class and pairs
+whose total weights alone rule a link out are passed over. A link is a weighted Jaccard similarity of at least
+SIMILARITY. Classes are the connected components of links.
 
 Defined results: words are runs of ASCII letters and digits, underscores and other characters but Latin-1 signs and general and CJK punctuation, lower-cased; a text of one to four words is
 one shingle; texts without words are alike only if equal (null counts as empty). The row with the smallest identifier of a class is
@@ -20,6 +23,8 @@ kept, nulls last; of rows that repeat it, one. Other columns pass unchanged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,7 +41,7 @@ BANDS, ROWS = 16, 6
 DF_BITS = 18
 POOL_BITS = 16
 CHUNK_BYTES = 2 << 20
-#: Nodes of a bucket that are compared with each other at once, and turns for buckets that hold more.
+#: Nodes of a bucket that are compared with each other at once, also those of a tile, and turns for buckets that hold more.
 BLOCK_NODES, BLOCK_ROUNDS = 256, 2
 
 _U = np.uint64
@@ -214,6 +219,7 @@ def _signatures(weights: Weights):
             cols = {
                 "uid": pa.array(range(task + n, task + n + len(texts)), pa.int64()),
                 "buckets": pa.array([b.tolist() if len(s[0]) else [] for b, s in zip(buckets, shingles, strict=True)], pa.list_(pa.int64())),
+                "weight": pa.array([int((x[1] * x[2]).sum()) for x in shingles], pa.int64()),
             }
             for name in part.column_names:
                 col = part.column(name)
@@ -280,15 +286,108 @@ def _block_links(weights: Weights, similarity: float):
     return run
 
 
+class _Tile:
+    """Shingles of several texts, sorted, so that one text is compared with all of them at once."""
+
+    def __init__(self, sets: list[tuple]):
+        owner = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])
+        key, weight = np.concatenate([x[0] for x in sets]), np.concatenate([x[1] * x[2] for x in sets])
+        order = np.argsort(key, kind="stable")
+        self.key, self.weight, self.owner = key[order], weight[order], owner[order]
+        self.total = np.bincount(owner, weight, len(sets))
+
+    def similarities(self, one: tuple) -> np.ndarray:
+        """weighted_jaccard of one with each text."""
+        own = one[1] * one[2]
+        begin = np.searchsorted(self.key, one[0], "left")
+        size = np.searchsorted(self.key, one[0], "right") - begin
+        at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        low = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(own, size)), len(self.total))
+        high = own.sum() + self.total - low
+        return np.divide(low, high, out=np.zeros(len(low)), where=high > 0)
+
+
+def _tile_links(weights: Weights, similarity: float):
+    """Links between different labels of two tiles, or within one (own); rows come sorted by pair of tiles."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def links():
+            out: list[tuple] = []
+            left = [x for x in held if not x[2]]
+            right = left if held[0][1] else [x for x in held if x[2]]
+            if left and right and len({x[4] for x in held}) > 1:
+                sets = weights.shingles([x[5] for x in left])
+                tile = _Tile(sets if right is left else weights.shingles([x[5] for x in right]))
+                root = {x[4]: x[4] for x in held}
+
+                def find(x):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for a, shingles in zip(left, sets, strict=True):
+                    if any(find(b[4]) != find(a[4]) for b in right):
+                        for j in np.flatnonzero(tile.similarities(shingles) >= similarity).tolist():
+                            ra, rb = find(a[4]), find(right[j][4])
+                            if ra != rb:
+                                root[max(ra, rb)] = min(ra, rb)
+                                out.append((a[3], right[j][3]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
+
+        for part in chunks(batches, CHUNK_BYTES):
+            for row in zip(*(part.column(c).to_pylist() for c in ("tiles", "own", "second", "node", "label", "text")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield links()
+                    held = []
+                held.append(row)
+        if held:
+            yield links()
+
+    return run
+
+
+def _rest_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """All links that are left between different labels of one bucket of more than BLOCK_NODES nodes.
+
+    The largest label of a bucket isn't compared with itself, so its nodes are copied once for each tile of the others.
+    Similar nodes' total weights differ by a factor of similarity at most, so their levels by one at most.
+    """
+    named = shared.where(F.col("n") > BLOCK_NODES).select("bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "top")
+    width = 1e-6 - 1.001 * math.log(min(1.0, max(similarity, 1e-6)))
+    rows = scratch(named.join(top, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("top")).alias("main"), F.floor(F.log(F.col("weight")) / width).alias("level")), "rest")
+    groups = rows.groupBy("bucket", "main", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("salts"))
+    a = groups.where("NOT main").select("bucket", F.col("level").alias("level_1"), F.col("salts").alias("salts_1"))
+    b = groups.select("bucket", F.col("main").alias("main_2"), F.col("level").alias("level_2"), F.col("salts").alias("salts_2"))
+    apart = F.col("level_2") - F.col("level_1")
+    both = scratch(a.join(b, "bucket").where((F.abs(apart) <= 1) & (F.col("main_2") | (apart >= 0))).withColumn("same", ~F.col("main_2") & (apart == 0)), "tiles")
+    salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    # a tile meets itself and the later tiles of its own group, and all tiles of another group
+    first = rows.where("NOT main").withColumnRenamed("level", "level_1").join(both, ["bucket", "level_1"]).withColumn("salt_1", salt("salts_1"))
+    first = first.withColumn("salt_2", F.explode(F.sequence(F.when(F.col("same"), F.col("salt_1")).otherwise(F.lit(0)), F.col("salts_2") - 1)))
+    second = rows.withColumnsRenamed({"main": "main_2", "level": "level_2"}).join(both, ["bucket", "main_2", "level_2"]).withColumn("salt_2", salt("salts_2"))
+    until = F.when(F.col("same"), F.col("salt_2")).otherwise(F.col("salts_1")) - 1
+    second = second.withColumn("salt_1", F.explode(F.when(until >= 0, F.sequence(F.lit(0).cast("long"), until))))
+    tiles = F.concat_ws(" ", "bucket", "main_2", "level_1", "level_2", "salt_1", "salt_2").alias("tiles")
+    own = (F.col("same") & (F.col("salt_1") == F.col("salt_2"))).alias("own")
+    met = first.select(tiles, own, F.lit(False).alias("second"), "node", "label").union(second.select(tiles, own, F.lit(True).alias("second"), "node", "label"))
+    dealt = met.join(texts, "node").repartition("tiles").sortWithinPartitions("tiles")
+    return scratch(dealt.select("tiles", "own", "second", "node", "label", "text").mapInArrow(_tile_links(weights, similarity), "u long, v long"), "verified")
+
+
 def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(uid, node) of all rows and (node, label) of nodes with links. signed: written rows of _signatures with text_key."""
     nodes = signed.groupBy("text_key").agg(F.min("uid").alias("node"))
     members = scratch(signed.select("uid", "text_key").join(nodes, "text_key").select("uid", "node"), "members")
     first = members.where("uid = node").select("node")
     texts = signed.select(F.col("uid").alias("node"), text.alias("text"))
-    own = signed.select(F.col("uid").alias("node"), "buckets").join(first, "node", "left_semi")
+    own = signed.select(F.col("uid").alias("node"), "buckets", "weight").join(first, "node", "left_semi")
     beside = lambda k: F.get("buckets", (F.col("band") + k) % BANDS).alias(f"beside{k}")
-    entries = own.select("node", "buckets", F.posexplode("buckets").alias("band", "bucket")).select("node", "bucket", *(beside(k) for k in range(1, BLOCK_ROUNDS + 1)))
+    entries = own.select("node", "buckets", "weight", F.posexplode("buckets").alias("band", "bucket")).select("node", "bucket", "weight", *(beside(k) for k in range(1, BLOCK_ROUNDS + 1)))
     counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = scratch(entries.join(counts, "bucket"), "buckets")
     # the texts of nodes that share a bucket; both sides are shuffled at any size
@@ -297,6 +396,7 @@ def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = S
     centres = shared.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", F.col("node").alias("v")))["v"].alias("v"))
     pairs = shared.select("bucket", F.col("node").alias("u")).join(centres, "bucket").where("u <> v").select("u", "v").distinct()
     labels = scratch(components(_links(pairs, texts, weights, similarity)), "labels")
+    joined = lambda more: scratch(components(more.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
     for turn in range(1, BLOCK_ROUNDS + 1):
         # buckets of one block have been compared wholly after the first turn
         rest = shared if turn == 1 else shared.where(F.col("n") > BLOCK_NODES)
@@ -307,9 +407,10 @@ def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = S
         blocks = left.join(texts, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
         more = scratch(blocks.select("bucket", "block", "node", "label", "text").mapInArrow(_block_links(weights, similarity), "u long, v long"), "verified")
         if more.isEmpty():
-            break
-        labels = scratch(components(more.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
-    return members, labels
+            break  # what larger buckets still hold is compared below
+        labels = joined(more)
+    more = _rest_links(shared, labels, texts, weights, similarity)
+    return members, labels if more.isEmpty() else joined(more)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, rows: bool) -> DataFrame:
@@ -318,7 +419,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, row
     weights = corpus_weights(docs, text_col)
     text = F.col(f"`{text_col}`")
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_key"), *([row_struct(docs, "row")] if rows else []))
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), *given.schema.fields])
+    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("weight", T.LongType()), *given.schema.fields])
     signed = given.mapInArrow(_signatures(weights), schema)
     signed = scratch(signed.drop("text") if rows else signed, "signed")
     body = F.col("row").getField(text_col) if rows else F.col("text")

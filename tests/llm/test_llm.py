@@ -250,6 +250,39 @@ def test_near_dedup_brute_force(spark):
     assert got == {r["doc_id"]: best[find(i)] for i, r in enumerate(own)}
 
 
+def test_near_dedup_large_buckets(spark, monkeypatch):
+    """Nodes that share one bucket, far larger than a block, and no other: every link in it counts."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 3)
+    draw = np.random.default_rng(5)
+    own = []
+    for original in range(14):  # all share half of their words; copies of an original differ in one word, and some in length
+        first = [f"common{i}" for i in range(60)] + [f"o{original}w{i}" for i in range(60 + 12 * (original % 5))]
+        for copy in range(1 + original % 4):
+            at = int(draw.integers(0, len(first)))
+            own.append(" ".join([*first[:at], f"x{original}c{copy}", *first[at + 1 :]]))
+    d = spark.createDataFrame(list(enumerate(own)), "uid long, text string")
+    weights = near_dedup.corpus_weights(d)
+    sets, other = weights.shingles(own), draw.integers(1 << 40, 1 << 60, (len(own), near_dedup.BANDS))
+    root = list(range(len(own)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(own)):
+        for j in range(i):
+            if near_dedup.weighted_jaccard(sets[i], sets[j]) >= near_dedup.SIMILARITY:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert 10 < len({find(i) for i in range(len(own))}) < len(own)
+    rows_ = [(i, t, str(i), [1, *other[i, 1:].tolist()], int((x[1] * x[2]).sum())) for i, (t, x) in enumerate(zip(own, sets, strict=True))]
+    signed = spark.createDataFrame(rows_, "uid long, text string, text_key string, buckets array<long>, weight long")
+    members, labels = near_dedup.near_labels(signed, F.col("text"), weights)
+    got = {r["uid"]: r["label"] for r in members.join(labels, "node", "left").select("uid", F.coalesce("label", "node").alias("label")).collect()}
+    assert got == {i: find(i) for i in range(len(own))}
+
+
 def test_near_dedup_edges(spark, docs, empty):
     got = near_dedup.near_classes(docs).collect()
     assert len(got) == len(rows())
