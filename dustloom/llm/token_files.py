@@ -48,7 +48,9 @@ class WordEncoder:
     """Encodes texts by a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer never joins a character with a following space that a non-space follows, so texts are
-    cut there and the cut words' identifiers are kept. Every word is encoded by the library itself.
+    cut there and the cut words' identifiers are kept. Every word is encoded by the library itself. The text of a
+    token that the file adds, such as <|endoftext|>, gives that token as in the library's plain call; as it ends the
+    text before it for the pre-tokenizer, a word that begins with one is not cut from what precedes it.
     """
 
     def __init__(self, path: str):
@@ -56,7 +58,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "I" if self.wide else "H"
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
@@ -86,7 +88,7 @@ class WordEncoder:
         split = [x.split(" ") for x in texts]
         table = self.kept
         missing = set(chain.from_iterable(split)).difference(table)
-        odd = {w for w in missing if not w or w[0].isspace()}
+        odd = {w for w in missing if not w or w[0].isspace() or w.startswith(self.added)}
         spaced: set[str] = set()
         heads, bodies = [], []
         for words in split:

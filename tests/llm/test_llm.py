@@ -183,6 +183,17 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(ids, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain, mark = token_files.WordEncoder(path), Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [mark, f"a{mark}b", f"a {mark} b", f"a  {mark}  b", f"a\n {mark}\n b {mark}", f" {mark}", f"{mark} {mark}{mark} x", f"one two{mark} three", "<|endoftext| >", f"\t {mark}x {mark}"]
+    for text, ids in zip(texts * 2, own.encode(texts) + own.encode(texts), strict=True):
+        assert np.frombuffer(ids, own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(own.encode([mark])[0], own.dtype)
+
+
 def test_toxicity(spark, docs, empty):
     d, labels = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet")
     got = toxicity.toxicity(d, labels).join(labels, "doc_id").where("held_out").collect()
