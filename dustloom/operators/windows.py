@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def block_lengths(offsets: DataFrame, keys: list[str], offset: str = "offset") -> DataFrame:
@@ -64,19 +65,57 @@ def rolling_last_k(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_n": F.count(value).over(w)})
 
 
+def _cut_at_gaps(df: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
+    """df with _us, its time in microseconds, and _run, the time at which its run without such gaps began.
+
+    Rows are sorted by key and day; what a day needs of earlier ones comes from a table of one row a key and day.
+    """
+    kind = df.schema[ts].dataType
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(ts)) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(F.col(ts).cast("timestamp"))
+    df = df.where(F.col(ts).isNotNull()).withColumn("_us", us).withColumn("_day", F.floor(F.col("_us") / 86_400_000_000))
+    days = df.groupBy(*keys, "_day").agg(F.max("_us").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_day")
+    days = days.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), F.lag("_last").over(w).alias("_halo"))
+    same = F.col("_day") == F.col("_d")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    by_day = Window.partitionBy(*keys, "_day").orderBy("_us")
+    met = df.join(days, same).drop("_d", *(f"_k{i}" for i in range(len(keys))))
+    met = met.withColumn("_before", F.coalesce(F.lag("_us").over(by_day), "_halo"))
+    met = met.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= gap_us), F.col("_us")))
+    met = met.withColumn("_run", F.max("_start").over(by_day))
+    # a run that goes on over midnight began on the last earlier day that has a start
+    carried = met.groupBy(*keys, "_day").agg(F.max("_start").alias("_started"))
+    carried = carried.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), F.max("_started").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    out = met.join(carried, same).withColumn("_run", F.coalesce("_run", "_carried"))
+    return out.select(*df.columns, "_run").drop("_day")
+
+
 def suppress_close_events(events: DataFrame, keys: list[str], ts: str, minutes: float = 30) -> DataFrame:
-    """An event within minutes of the last kept one of its key goes. Events of a key are few, as they are minima of a scan."""
-
-    def keep(pdf):
-        pdf = pdf.sort_values(ts, kind="stable")
-        last, kept = None, []
-        for t in pdf[ts]:
-            ok = last is None or (t - last).total_seconds() >= 60 * minutes
-            kept.append(ok)
-            last = t if ok else last
-        return pdf[kept]
-
-    return events.groupBy(*keys).applyInPandas(keep, events.schema)
+    """An event within minutes of the last kept one of its key goes; of events at one time the first by the other columns stays.
+
+    The rule starts anew after a gap of minutes, so keys are cut there in Spark. Workers read sorted runs batch by batch and
+    hold one time only, however long a run is. Events without time go.
+    """
+    least = round(60_000_000 * minutes)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        state, last = None, 0
+        for batch in batches:
+            kept = []
+            for now, us in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("_us").to_pylist(), strict=True):
+                ok = now != state or us - last >= least
+                kept.append(ok)
+                if ok:
+                    state, last = now, us
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns).filter(pa.array(kept, pa.bool_()))
+
+    columns, names = events.columns, ["_run", *keys]
+    rest = [f.name for f in events.schema.fields if f.name not in (*keys, ts) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    sorted_ = _cut_at_gaps(events, keys, ts, least).repartition(*names).sortWithinPartitions(*names, "_us", *rest)
+    return sorted_.mapInArrow(keep, events.schema)
 
 
 def episodes(days: DataFrame, keys: list[str], date: str, least: int = 2) -> DataFrame:

@@ -133,6 +133,31 @@ def test_close_events(spark):
     assert [r["ts"].minute for r in windows.suppress_close_events(df, ["k"], "ts").orderBy("ts").collect()] == [0, 35, 5]
 
 
+def test_close_events_in_runs(spark):
+    """Random times, with runs over midnights, equal to the plain loop; no worker is given a whole key."""
+    import random
+
+    draw, at = random.Random(3), {}
+    for k in ("a", "b", None):
+        t = dt.datetime(2020, 1, 1)
+        for _ in range(400):
+            t += dt.timedelta(minutes=draw.choice((5, 12, 20, 29, 30, 31, 45))) if draw.random() < 0.97 else dt.timedelta(hours=draw.randint(2, 60))
+            at.setdefault(k, []).append(t)
+    t = dt.datetime(2021, 1, 1)
+    at["long"] = [t + dt.timedelta(minutes=20 * i) for i in range(300)]
+    want = set()
+    for k, times in at.items():
+        last = None
+        for t in times:
+            if last is None or (t - last).total_seconds() >= 1800:
+                want.add((k, t))
+                last = t
+    df = spark.createDataFrame([(k, t) for k, times in at.items() for t in times], "k string, ts timestamp_ntz").repartition(7)
+    got = windows.suppress_close_events(df, ["k"], "ts")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_forecast_days(spark):
     day = dt.date(2023, 7, 19)
     runs = spark.createDataFrame([(day, float(h)) for h in range(0, 73, 3)], "run_day date, lead_hours double")
