@@ -259,6 +259,13 @@ def read_sounding_pages(spark, sf_dir):
     return text.read_sounding_pages(pages, stop=" the ").select("doc_id", F.size("lines").alias("n_lines"))
 
 
+@query("s10_read_tagged_pages")
+def read_tagged_pages(spark, sf_dir):
+    """S10 over all documents, also those with tags, which the SQL of s10_read_sounding_pages leaves out."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html"))
+    return text.read_sounding_pages(pages, stop=" the ").select("doc_id", F.size("lines").alias("n_lines"))
+
+
 @query("s11_read_grid_ascii", "WITH e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, (k // 8)::INTEGER AS i, (k % 8)::INTEGER AS j, round(v, 5) + 0.0::DOUBLE AS value FROM e")
 def read_grid_ascii(spark, sf_dir):
     row = lambda i: F.concat(F.lit("[0]["), i.cast("string"), F.lit("], "), F.array_join(F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double").cast("string")), ", "))
@@ -287,6 +294,13 @@ def block_spacing(spark, sf_dir):
     return windows.top_n(lengths.groupBy("length").agg(count()), [F.desc("n"), F.col("length")], 50)
 
 
+@query("a20_block_spacing_by_text")
+def block_spacing_by_text(spark, sf_dir):
+    """A20 of each document in any script, all lengths in bytes with the modal one; the SQL of a20_block_spacing has ASCII texts and 50 lengths."""
+    offsets = files.marker_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)
+    return stats.block_spacing(windows.block_lengths(offsets, ["doc_id"]).where("length IS NOT NULL"), ["doc_id"])
+
+
 @query("s14_binary_blocks")
 def binary_blocks(spark, sf_dir):
     got = files.binary_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)

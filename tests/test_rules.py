@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import re
 import struct
 import zipfile
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dustloom.functions import columns as C
 from dustloom.operators import clean, geo, joins, stats, windows
+from dustloom.plans import texts as texts_plans
 from dustloom.plans.observations import observations
 from dustloom.sources import files, sinks, text
 from dustloom.streaming import jobs
@@ -158,6 +160,27 @@ def test_close_events_in_runs(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_whole_text_queries(spark, tmp_path):
+    """Tagged and non-ASCII documents count; by brute force."""
+    texts = ["a the b the c the d the é the f", "é日 the x\nü the <b> the 😀 the y", "<p>one</p>\n\n<i>\n</i>two<a\nb> the end\nx", "x\n<b the c>\n", "", None, "no mark", " the  the é the "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lengths, lines = {}, {}
+    for i, t in enumerate(texts):
+        at = [m.start() for m in re.finditer(b" the ", (t or "").encode())]
+        own = [b - a for a, b in zip(at, at[1:], strict=False)]
+        for x in own:
+            lengths[i, x] = (own.count(x), x == max(dict.fromkeys(own), key=own.count))
+        stripped = [x.strip(" ") for x in re.sub("<[^>]+>", "", t or "").split("\n")]
+        stripped = [x for x in stripped if x]
+        nth = next((k for k, x in enumerate(stripped, 1) if " the " in x), None)
+        if nth:
+            lines[i] = nth
+    got = {(r["doc_id"], r["length"]): (r["n"], r["modal"]) for r in texts_plans.block_spacing_by_text(spark, str(tmp_path)).collect()}
+    assert got == lengths and {1, 7} <= {i for i, _ in got}
+    got = {r["doc_id"]: r["n_lines"] for r in texts_plans.read_tagged_pages(spark, str(tmp_path)).collect()}
+    assert got == lines and 2 in got and 3 not in got
+
+
 def test_forecast_days(spark):
     day = dt.date(2023, 7, 19)
     runs = spark.createDataFrame([(day, float(h)) for h in range(0, 73, 3)], "run_day date, lead_hours double")
