@@ -23,10 +23,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,13 +67,12 @@ class WordEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.opens[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
 
-
     def _encode_spaced(self, words: list[str]) -> Iterator[bytes]:
         """Each word with the space before it, many in one call; words hold no space themselves."""
         size = self.dtype.itemsize
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+        for at in range(0, len(words), 8000):
+            part = words[at : at + 8000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             data, begin = ids.tobytes(), 0
             for end in (np.append(np.flatnonzero(self.opens[ids])[1:], len(ids)) * size).tolist():
                 yield data[begin:end]
@@ -84,35 +83,67 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
                 yield array(self.kind, e.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.split(" ") for x in texts]
-        table = self.kept
-        missing = set(chain.from_iterable(split)).difference(table)
+    def _merged(self, text: str, odd: set[str]) -> list[str]:
+        """The words of a text, an odd one joined to what precedes it."""
+        out: list[str] = []
+        for word in text.split(" "):
+            if out and word in odd:
+                out[-1] += " " + word
+            else:
+                out.append(word)
+        return out
+
+    def encode_all(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers of all texts, each with end_id behind it; how many each text has). texts: no nulls, at least one.
+
+        The split words are numbered by Arrow, so that Python sees each different word of the texts once.
+        """
+        split = pc.split_pattern(texts, " ")
+        first = np.asarray(split.offsets, dtype=np.int64)
+        first -= first[0]
+        numbered = split.flatten().dictionary_encode()
+        at, own = np.array(numbered.indices, dtype=np.int64), numbered.dictionary.to_pylist()
+        table, n = self.kept, len(texts)
+        missing = [w for w in own if w not in table]
         odd = {w for w in missing if not w or w[0].isspace() or w.startswith(self.added)}
-        spaced: set[str] = set()
-        heads, bodies = [], []
-        for words in split:
-            if odd and not odd.isdisjoint(words[1:]):
-                merged = words[:1]
-                for word in words[1:]:
-                    if word in odd:
-                        merged[-1] += " " + word
-                    else:
-                        merged.append(word)
-                words = merged
-                spaced.update(w for w in words[1:] if " " in w)
-            heads.append(words[0])
-            bodies.append(words[1:])
-        plain = list(missing - odd)
-        added = dict(zip(plain, self._encode_spaced(plain), strict=True))
-        spaced.difference_update(table)
-        added.update(zip(spaced, self._encode([" " + w for w in spaced]), strict=True))
-        table.update(added)
-        out = [first + b"".join(map(table.__getitem__, body)) for first, body in zip(self._encode(heads), bodies, strict=True)]
+        plain = [w for w in missing if w not in odd]
+        table.update(zip(plain, self._encode_spaced(plain), strict=True))
+        begins, later = first[:-1], np.ones(len(at), dtype=bool)
+        later[begins] = False
+        heads = [own[i] for i in at[begins].tolist()]
+        whole: dict[int, list[str]] = {}
+        if odd:
+            is_odd = np.fromiter(map(odd.__contains__, own), bool, len(own))
+            for i in np.unique(np.searchsorted(first, np.flatnonzero(is_odd[at] & later), side="right") - 1).tolist():
+                whole[i] = self._merged(texts[i].as_py(), odd)
+                heads[i] = whole[i][0]
+        joined = list({w for words in whole.values() for w in words[1:] if " " in w})
+        spaced = dict(zip(joined, self._encode([" " + w for w in joined]), strict=True))
+        end = array(self.kind, [end_id]).tobytes()
+        # entries: the words, then a head for each text, which holds the end of the text before it, then nothing
+        entries = [table.get(w, b"") for w in own]
+        for i, head in enumerate(self._encode(heads)):
+            body = (spaced.get(w) or table[w] for w in whole[i][1:]) if i in whole else ()
+            entries.append((end if i else b"") + head + b"".join(body))
+        entries.append(b"")
+        at[begins] = len(own) + np.arange(n)
+        for i in whole:
+            at[first[i] + 1 : first[i + 1]] = len(entries) - 1
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+        data = np.frombuffer(b"".join(entries), self.dtype)
+        begin, width = (np.cumsum(size) - size)[at], size[at]
+        upto = np.cumsum(width)
+        out = np.append(data[np.arange(int(upto[-1])) + np.repeat(begin - (upto - width), width)], self.dtype.type(end_id))
+        ends = upto[first[1:] - 1] + 1
         if len(table) > CACHE_WORDS:
-            for word in added:
+            for word in plain:
                 del table[word]
-        return out
+        return out, np.diff(ends, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's identifiers."""
+        ids, sizes = self.encode_all(pa.array(texts, pa.string()), END_ID)
+        return [x[:-1].tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,15 +158,16 @@ def encoder(path: str) -> WordEncoder:
 def _tokenise(path: str):
     def run(batches):
         words, counts = encoder(path), np.zeros(0, dtype=np.int64)
-        end = array(words.kind, [END_ID]).tobytes()
         for part in chunks(batches, 4 << 20):
-            ids = part.column("doc_id").to_pylist()
-            tokens = [x + end for x in words.encode([x or "" for x in part.column("text").to_pylist()])]
-            seen = np.bincount(np.frombuffer(b"".join(tokens), dtype=words.dtype))
+            texts = part.column("text").combine_chunks().fill_null("")
+            ids, sizes = words.encode_all(texts, END_ID)
+            seen = np.bincount(ids)
             if len(seen) > len(counts):
                 counts = np.pad(counts, (0, len(seen) - len(counts)))
             counts[: len(seen)] += seen
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], names=["doc_id", "tokens", "counts"])
+            places = np.concatenate([[0], np.cumsum(sizes)]) * words.dtype.itemsize
+            tokens = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), tokens, pa.nulls(len(sizes), pa.list_(pa.int64()))], names=["doc_id", "tokens", "counts"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["doc_id", "tokens", "counts"])
 
     return run
