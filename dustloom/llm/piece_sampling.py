@@ -4,11 +4,15 @@ Pieces never hold a space after another character, so a text falls into chunks (
 whose lattices are independent. For each different chunk of a batch all pieces at all positions are found by
 rolling hashes, and forward filtering sums the weights of all paths to each node. Each occurrence of a chunk
 then samples a path backward, with random numbers that depend on the row's key, the chunk's place in the text
-and the step alone: batches, partitions and retries don't change a segmentation.
+and the step alone, and are compared with sums over one node's edges alone: what else is in a batch, partitions and
+retries don't change a segmentation.
 
 A piece of merge rank n has weight (n + 2) ** -alpha, after Zipf's law; a character without piece is spelled in
 byte pieces. As in the library a space is put before a text and white space is kept, so decoding gives the text.
 
+Lattices are kept for a worker's later batches while they and their chunks' texts take KEPT_BYTES at most. A model
+with a piece that holds a space after another character is refused, as chunks would lose it.
+
 Defined results: null and empty texts have no pieces and decode to the empty text; rows that repeat a key and a
 text have the same pieces; a literal U+2581 is spelled in bytes; other columns pass unchanged.
 """
@@ -29,8 +33,8 @@ from dustloom.llm.common import chunks, on_workers, row_struct
 
 ALPHA = 0.7
 CHUNK_BYTES = 2 << 20
-#: Different chunks whose lattices a worker keeps.
-BASE_CHUNKS = 150_000
+#: Most memory for the lattices that a worker keeps.
+KEPT_BYTES = 96 << 20
 _SPACED = re.compile(r" *[^ ]+| +")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -63,6 +67,8 @@ class Pieces:
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace("▁", " ")
+                if " " in piece.lstrip(" "):
+                    raise ValueError(f"piece {i} holds a space after another character")
                 self.bytes[i] = piece.encode()
                 self.longest = max(self.longest, len(piece))
                 key = 0
@@ -164,28 +170,28 @@ class Lattices:
         count = np.diff(first, append=len(node_to))
         self.first, self.last = np.zeros(len(alpha), np.int64), np.zeros(len(alpha), np.int64)
         self.first[node_to[first]], self.last[node_to[first]] = first, first + count - 1
-        running = np.cumsum(share)
-        base = np.repeat(running[first] - share[first], count)
-        self.rank = np.zeros(len(alpha), np.int64)
-        self.rank[node_to[first]] = np.arange(len(first))
-        self.upto = np.clip(running - base, 0, 1) + np.repeat(np.arange(len(first)), count)
-        self.ranks = len(first)
+        # running sums within each node, one edge of all nodes at a time
+        self.upto = share
+        for nth in range(1, int(count.max(initial=1))):
+            edge = first[count > nth] + nth
+            self.upto[edge] += self.upto[edge - 1]
         self.size, self.piece = self.size.astype(np.int16), self.piece.astype(np.int32)
-        self.first, self.last, self.rank = (x.astype(np.int32) for x in (self.first, self.last, self.rank))
+        self.first, self.last = self.first.astype(np.int32), self.last.astype(np.int32)
+
+    def held_bytes(self) -> int:
+        """Memory of the arrays, and about that of the chunks' texts."""
+        arrays = (self.upto, self.size, self.piece, self.first, self.last, self.node0, self.length)
+        return sum(x.nbytes for x in arrays) + 150 * len(self.length) + 4 * int(self.length.sum())
 
     def extend(self, other: Lattices) -> None:
         """Adds other's chunks behind this one's."""
-        nodes, edges = len(self.rank), len(self.upto)
+        nodes, edges = len(self.first), len(self.upto)
         both = lambda name, by: setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name) + by]))
         both("node0", nodes)
         both("first", np.int32(edges))
         both("last", np.int32(edges))
-        both("rank", np.int32(self.ranks))
-        both("upto", self.ranks)
-        for name in ("size", "piece"):
+        for name in ("upto", "size", "piece", "length"):
             both(name, np.zeros((), getattr(self, name).dtype))
-        both("length", 0)
-        self.ranks += other.ranks
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all occurrences in order, number of them for each). word: the chunk of each occurrence."""
@@ -196,7 +202,12 @@ class Lattices:
         while len(own):
             u = (mixed(seed[own] + _U((turn + 1) * int(_BASE) & (2**64 - 1))) >> _U(11)).astype(np.float64) * 2.0**-53
             node = node0[own] + state[own]
-            edge = np.clip(np.searchsorted(self.upto, self.rank[node] + u, side="right"), self.first[node], self.last[node])
+            edge, last = self.first[node], self.last[node]
+            # the first edge whose running sum is above u, by halving
+            for _ in range(int((last - edge).max()).bit_length()):
+                middle = (edge + last) >> 1
+                above = (self.upto[middle] > u) | (edge == last)
+                edge, last = np.where(above, edge, middle + 1), np.where(above, middle, last)
             who.append(own)
             what.append(edge)
             steps[own] += 1
@@ -246,7 +257,7 @@ def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> lis
     begin = np.cumsum(steps) - steps
     for at, own, n in parts:
         ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
-    if number and base_words < BASE_CHUNKS:
+    if number and (pieces.base.held_bytes() if pieces.base else 0) + fresh.held_bytes() <= KEPT_BYTES:
         if pieces.base is None:
             pieces.base = fresh
         else:

@@ -128,6 +128,28 @@ def test_pieces_follow_the_lattice(model):
     assert all(abs(got.get(k, 0) / n - w / total) < 0.02 for k, w in want.items())
 
 
+def test_pieces_alone_and_in_company(model):
+    """A row's pieces don't depend on the 100,000 other chunks that share its batch, nor on those kept from before."""
+    texts = ["there is another whereabouts of the internationalisation", "there", "日本語 there 😀 another"]
+    keys = np.array([11, 12, 13])
+    alone = [piece_sampling.encode(piece_sampling.Pieces(model), [t], keys[i : i + 1], 3)[0].tolist() for i, t in enumerate(texts)]
+    crowd = [" ".join(f"w{i}x{j}there" for j in range(1000)) for i in range(100)]
+    pieces = piece_sampling.Pieces(model)
+    for _ in range(2):
+        got = piece_sampling.encode(pieces, [*crowd, *texts], np.concatenate([np.arange(100, 200), keys]), 3)
+        assert [x.tolist() for x in got[-3:]] == alone
+    assert pieces.base.held_bytes() <= piece_sampling.KEPT_BYTES
+
+
+def test_pieces_bound_what_is_kept(model, monkeypatch):
+    monkeypatch.setattr(piece_sampling, "KEPT_BYTES", 20_000)
+    pieces = piece_sampling.Pieces(model)
+    for text in ("short words", "x" * 50_000, "日" * 50_000, "short words"):
+        ids = piece_sampling.encode(pieces, [text], np.array([1]), 0)[0]
+        assert pieces.decode(ids.tolist()) == text
+    assert pieces.base.held_bytes() <= 20_000
+
+
 def test_line_dedup(spark, docs, empty):
     seen, want = set(), {}
     for r in sorted((r for r in rows() if r[0] is not None), key=lambda r: r[0]):
@@ -358,3 +380,23 @@ def test_pipeline(spark):
         assert out.columns == d.columns, name
     got = corpus_pipeline.run(spark, SF)
     assert got.where("lossless").count() == got.count() > 0
+    repeated = {}
+    for r in got.where("n_pieces > 200").select("doc_id", "ids").collect():
+        repeated.setdefault(r["doc_id"], []).append(tuple(r["ids"]))
+    assert max(map(len, repeated.values())) > 1 and all(len(set(x)) == len(x) for x in repeated.values())
+
+
+def test_pipeline_edges(spark, docs, empty):
+    """Nulls in any column, repeated rows, very long texts, clashing names and empty tables through each stage."""
+    import corpus_pipeline
+
+    for given, least in ((docs, 1), (empty, 0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == docs.columns, name
+            now = spark.createDataFrame(now.collect(), SCHEMA)
+        out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+        rows_ = out.collect()
+        assert len(rows_) == now.count() >= least and all(r["lossless"] for r in rows_)
+        assert set(out.columns) == set(docs.columns) - {"text"} | {"ids", "n_pieces", "lossless"}
