@@ -8,12 +8,12 @@ and beta come from a pool of 2**16 drawn triples by the shingle's hash. For shin
 is a table lookup by weight step; ties of the pool go by the shingle's hash.
 
 Documents with equal texts are one node. All nodes of a bucket are compared with its centre, the node that shares
-the most buckets' places with others. Buckets that still hold different classes are compared within blocks of at most
-BLOCK_NODES nodes, so buckets up to that size wholly; larger ones first in up to BLOCK_ROUNDS turns, each ordered by
-another band, which puts similar nodes side by side and joins most classes cheaply. What is left of larger buckets is
-compared exactly: nodes are dealt to tiles by their class (the bucket's largest or another), by level of total weight
-and by hash, and each two tiles that can hold a link are one group of rows. Only pairs of the same class and pairs
-whose total weights alone rule a link out are passed over. A link is a weighted Jaccard similarity of at least
+the most buckets' places with others. Buckets that still hold different classes are compared in blocks: one of up to
+BLOCK_NODES nodes wholly, a larger one first in blocks of about that size, dealt by the next band's value and, where
+one value is frequent, by hash, which puts similar nodes together and joins most classes cheaply. What is left of larger
+buckets is compared exactly: nodes are dealt to tiles by their class (the bucket's largest or another), by level of
+total weight and by hash, and each two tiles that can hold a link are one group of rows. Only pairs of the same class
+and pairs whose total weights alone rule a link out are passed over. No bucket is sorted or held in one task. A link is a weighted Jaccard similarity of at least
 SIMILARITY. Classes are the connected components of links.
 
 Defined results: words are runs of ASCII letters and digits, underscores and other characters but Latin-1 signs and general and CJK punctuation, lower-cased; a text of one to four words is
@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,8 @@ BANDS, ROWS = 16, 6
 DF_BITS = 18
 POOL_BITS = 16
 CHUNK_BYTES = 2 << 20
-#: Nodes of a bucket that are compared with each other at once, also those of a tile, and turns for buckets that hold more.
-BLOCK_NODES, BLOCK_ROUNDS = 256, 2
+#: Nodes of a bucket that are compared with each other at once, about as many as a block of a larger bucket or a tile has.
+BLOCK_NODES = 256
 
 _U = np.uint64
 _POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
@@ -249,43 +249,6 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
     return scratch(both.mapInArrow(_verified(weights, similarity), "u long, v long"), "verified")
 
 
-def _block_links(weights: Weights, similarity: float):
-    """Links between different labels within each (bucket, block); rows come sorted by these."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def links():
-            sets = weights.shingles([x[3] for x in held])
-            root = {x[2]: x[2] for x in held}
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            out = []
-            for i, a in enumerate(held):
-                for j in range(i):
-                    ra, rb = find(a[2]), find(held[j][2])
-                    if ra != rb and weighted_jaccard(sets[i], sets[j]) >= similarity:
-                        root[max(ra, rb)] = min(ra, rb)
-                        out.append((a[1], held[j][1]))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
-
-        for part in chunks(batches, CHUNK_BYTES):
-            for key, block, node, label, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "block", "node", "label", "text")), strict=True):
-                if held and held[0][0] != (key, block):
-                    yield links()
-                    held = []
-                held.append(((key, block), node, label, text))
-        if held:
-            yield links()
-
-    return run
-
-
 class _Tile:
     """Shingles of several texts, sorted, so that one text is compared with all of them at once."""
 
@@ -328,13 +291,16 @@ def _tile_links(weights: Weights, similarity: float):
                         x = root[x]
                     return x
 
-                for a, shingles in zip(left, sets, strict=True):
-                    if any(find(b[4]) != find(a[4]) for b in right):
-                        for j in np.flatnonzero(tile.similarities(shingles) >= similarity).tolist():
-                            ra, rb = find(a[4]), find(right[j][4])
-                            if ra != rb:
-                                root[max(ra, rb)] = min(ra, rb)
-                                out.append((a[3], right[j][3]))
+                for i, (a, shingles) in enumerate(zip(left, sets, strict=True)):
+                    mine = find(a[4])
+                    if all(find(b[4]) == mine for b in right):
+                        continue
+                    near = np.flatnonzero(tile.similarities(shingles) >= similarity)
+                    for j in (near[near < i] if right is left else near).tolist():
+                        ra, rb = find(a[4]), find(right[j][4])
+                        if ra != rb:
+                            root[max(ra, rb)] = min(ra, rb)
+                            out.append((a[3], right[j][3]))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
         for part in chunks(batches, CHUNK_BYTES):
@@ -355,7 +321,7 @@ def _rest_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, weights:
     The largest label of a bucket isn't compared with itself, so its nodes are copied once for each tile of the others.
     Similar nodes' total weights differ by a factor of similarity at most, so their levels by one at most.
     """
-    named = shared.where(F.col("n") > BLOCK_NODES).select("bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = _named(shared.where(F.col("n") > BLOCK_NODES).select("bucket", "node", "weight"), labels)
     sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "top")
     width = 1e-6 - 1.001 * math.log(min(1.0, max(similarity, 1e-6)))
@@ -375,10 +341,33 @@ def _rest_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, weights:
     tiles = F.concat_ws(" ", "bucket", "main_2", "level_1", "level_2", "salt_1", "salt_2").alias("tiles")
     own = (F.col("same") & (F.col("salt_1") == F.col("salt_2"))).alias("own")
     met = first.select(tiles, own, F.lit(False).alias("second"), "node", "label").union(second.select(tiles, own, F.lit(True).alias("second"), "node", "label"))
+    return _compared(met, texts, weights, similarity)
+
+
+def _compared(met: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Links of groups of rows. met: tiles (the group), own, second, node, label."""
     dealt = met.join(texts, "node").repartition("tiles").sortWithinPartitions("tiles")
     return scratch(dealt.select("tiles", "own", "second", "node", "label", "text").mapInArrow(_tile_links(weights, similarity), "u long, v long"), "verified")
 
 
+def _named(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _block_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+    """Links between different labels in the blocks of each bucket that holds more than one label."""
+    named = _named(shared, labels)
+    split = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    left = scratch(named.join(split, "bucket", "left_semi").select("bucket", "n", "beside", "node", "label"), "blocks")
+    often = left.where(F.col("n") > BLOCK_NODES).groupBy("bucket", "beside").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK_NODES)
+    placed = left.join(often, ["bucket", "beside"], "left")
+    by_value = F.pmod(F.xxhash64("beside"), F.ceil(F.col("n") / BLOCK_NODES))
+    by_node = F.xxhash64("beside", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK_NODES)))
+    block = F.when(F.col("n") <= BLOCK_NODES, F.lit(0)).when(F.col("m").isNull(), by_value).otherwise(by_node)
+    met = placed.select(F.concat_ws(" ", "bucket", block).alias("tiles"), F.lit(True).alias("own"), F.lit(False).alias("second"), "node", "label")
+    return _compared(met, texts, weights, similarity)
+
+
 def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(uid, node) of all rows and (node, label) of nodes with links. signed: written rows of _signatures with text_key."""
     nodes = signed.groupBy("text_key").agg(F.min("uid").alias("node"))
@@ -386,8 +375,7 @@ def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = S
     first = members.where("uid = node").select("node")
     texts = signed.select(F.col("uid").alias("node"), text.alias("text"))
     own = signed.select(F.col("uid").alias("node"), "buckets", "weight").join(first, "node", "left_semi")
-    beside = lambda k: F.get("buckets", (F.col("band") + k) % BANDS).alias(f"beside{k}")
-    entries = own.select("node", "buckets", "weight", F.posexplode("buckets").alias("band", "bucket")).select("node", "bucket", "weight", *(beside(k) for k in range(1, BLOCK_ROUNDS + 1)))
+    entries = own.select("node", "buckets", "weight", F.posexplode("buckets").alias("band", "bucket")).select("node", "bucket", "weight", F.get("buckets", (F.col("band") + 1) % BANDS).alias("beside"))
     counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = scratch(entries.join(counts, "bucket"), "buckets")
     # the texts of nodes that share a bucket; both sides are shuffled at any size
@@ -397,18 +385,10 @@ def near_labels(signed: DataFrame, text, weights: Weights, similarity: float = S
     pairs = shared.select("bucket", F.col("node").alias("u")).join(centres, "bucket").where("u <> v").select("u", "v").distinct()
     labels = scratch(components(_links(pairs, texts, weights, similarity)), "labels")
     joined = lambda more: scratch(components(more.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
-    for turn in range(1, BLOCK_ROUNDS + 1):
-        # buckets of one block have been compared wholly after the first turn
-        rest = shared if turn == 1 else shared.where(F.col("n") > BLOCK_NODES)
-        named = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(f"beside{turn}", "node")) - 1
-        left = named.join(split, "bucket", "left_semi").select("bucket", "node", "label", F.floor(nth / BLOCK_NODES).alias("block"))
-        blocks = left.join(texts, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
-        more = scratch(blocks.select("bucket", "block", "node", "label", "text").mapInArrow(_block_links(weights, similarity), "u long, v long"), "verified")
-        if more.isEmpty():
-            break  # what larger buckets still hold is compared below
-        labels = joined(more)
+    more = _block_links(shared, labels, texts, weights, similarity)
+    labels = labels if more.isEmpty() else joined(more)
+    if shared.where(F.col("n") > BLOCK_NODES).isEmpty():
+        return members, labels
     more = _rest_links(shared, labels, texts, weights, similarity)
     return members, labels if more.isEmpty() else joined(more)
 
@@ -426,7 +406,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, row
     members, labels = near_labels(signed, body, weights, similarity)
     named = members.join(labels, "node", "left").select("uid", F.coalesce("label", "node").alias("label"))
     named = scratch(signed.select("uid", "doc_id").join(named, "uid"), "named")
+    # written, so that the join below has plain shuffles on both sides and a large class is split
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    best = scratch(best, "classes")
     out = named.join(best, "label").select("uid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
     return signed.select("uid", "row").join(out.where("kept").select("uid"), "uid", "left_semi") if rows else out
 
