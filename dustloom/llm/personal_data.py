@@ -1,19 +1,28 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
-Exact patterns give the base spans, which always stay. Looser generators propose more spans, which may overlap
-them; each has features of its format (digits, check sum, separators, octets) and of its context (words before,
-what it is glued to). Candidates that overlap a base span of their kind are positive, those that fail their kind's
-own check negative, the others unlabelled. Counts of feature patterns over all documents, a table whose size the
-features bound, train boosted trees; on a held-out fold a threshold for each kind is the lowest score from which
-on at least PRECISION of the labelled candidates are positive. Unlabelled candidates from their threshold on are
-added unless they overlap a base span or an added one of an earlier kind.
+Exact patterns give the base spans, which always stay. High-recall generators propose more spans, which may overlap
+them and each other: mails and addresses with spelled-out or bracketed signs, digit groups of the length of cards and
+phones. Each has features of its format (digits, check sum, separators, octets, form of a date) and of its context
+(words before, what it is glued to). What is learnt from:
+
+- positive: each base span rewritten in the forms that the exact patterns don't know (an @ spelled out, dots bracketed,
+  a phone without its plus), in its own context; and candidates that overlap a base span of their kind;
+- negative: candidates that fail their kind's own check or overlap a base span of another kind; and each base span
+  spoilt (an octet or a digit changed, the domain's end or most digits cut off), so that every kind has both;
+- the others are unlabelled, and it is them that the trees decide on.
+
+Counts of feature patterns over all documents, a table whose size the features bound, train boosted trees; on a
+held-out fold a threshold for each kind is the lowest score from which on at least PRECISION of the labelled candidates
+are positive. Unlabelled candidates from their threshold on are added unless they overlap a base span or such a candidate
+of an earlier kind. Overlaps are found by running maxima and minima over a document's candidates in order, so the work
+grows with their number and not with its square.
 
 A pattern's matches are found by marking them in the text and cutting it at the marks; positions are running
 sums of the parts' lengths, so positions count code points and no row leaves its task. Patterns have no repeated groups,
 on which Java's matcher recurses: what may separate digits or labels is marked in a pass of its own.
 
-Defined results: null counts as empty; texts without candidates have no spans; without both labels among the
-candidates nothing is added; control characters U+0001 to U+0004 in a text are no part of any span.
+Defined results: null counts as empty; texts without candidates have no spans; without base spans there is nothing to
+learn from and nothing is added; rows that repeat an identifier are each on their own; control characters U+0001 to U+0004 in a text are no part of any span.
 """
 
 from __future__ import annotations
@@ -22,7 +31,7 @@ import re
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustloom.llm.common import row_struct, scratch
@@ -41,17 +50,20 @@ BASE = {
     "card": rf"[0-9][0-9{GAP}]++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: What may stand for a dot of an address.
+SPLIT = r"(?:\.|\[\.\]|\(\.\)| \. )"
 LOOSE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++(?:@| ?[\[(]at[\])] ?){LABEL}++(?:(?:{DOT}| ?[\[(]dot[\])] ?)[A-Za-z0-9{DOT}-]++)?",
-    "ip": r"(?<![0-9])[0-9]++(?:\.|\[\.\])[0-9]++(?:\.|\[\.\])[0-9]++(?:\.|\[\.\])[0-9]++",
+    "email": rf"(?<!{LOCAL}){LOCAL}++(?:(?:@| ?[\[(](?i:at)[\])] ?){LABEL}++(?:(?:{DOT}| ?[\[(](?i:dot)[\])] ?)[A-Za-z0-9{DOT}-]++)?| (?i:at) {LABEL}++ (?i:dot) {LABEL}++(?: (?i:dot) {LABEL}++)?)",
+    "ip": rf"(?<![0-9])[0-9]++{SPLIT}[0-9]++{SPLIT}[0-9]++{SPLIT}[0-9]++",
     "card": rf"(?<![0-9])[0-9](?=[0-9{GAP}]{{11}})[0-9{GAP}]++",
-    "phone": r"(?<![\w+])(?:00[1-9][0-9]{0,2}[ .-][ ().0-9-]{6,18}[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)",
+    "phone": r"(?<![\w+.])(?:00[1-9][0-9]{0,2}[ .-]?[ ().0-9-]{6,18}[0-9]|\(?[0-9]{2,5}\)?[ ./-][0-9]{2,5}[ ./-][0-9]{2,5}(?:[ ./-][0-9]{2,5})?(?:[ ./-][0-9]{2,5})?)(?!\w)",
 }
+DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]|[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2})$"
 #: A text without a hit of these can't hold the kind.
-MAY_HOLD = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\]?\.", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]|[0-9][ .-][0-9]|00[0-9]"}
+MAY_HOLD = {"email": r"@|[\[(](?i:at)[\])]| (?i:at) [A-Za-z0-9-]+ (?i:dot) ", "ip": r"[0-9] ?[\[(]?\.", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]|[0-9]\)?[ ./-][0-9]|00[0-9]"}
 #: Words before a candidate that tell of a kind, by kind.
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|address|addr", "card": "card|visa|pay|credit|account", "phone": "phone|tel|call|mobile|fax"}
-FEATURES = ("kind", "digits", "luhn", "dots", "plus", "parens", "cue", "glued", "at_sign", "octets")
+FEATURES = ("kind", "digits", "luhn", "dots", "plus", "parens", "cue", "glued", "at_sign", "octets", "date")
 BLOCK = 64
 
 
@@ -60,12 +72,18 @@ def _hits(marked: Column) -> Column:
     return F.split(marked, OPEN, -1)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once; within lambdas the optimiser would copy it to where it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _starts(lengths: Column) -> Column:
     """Running sums before each element, by blocks, so that many hits in a text don't take quadratic time."""
     add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
     sums = F.transform(blocks, lambda b: add(F.slice(lengths, b * BLOCK + 1, BLOCK)))
-    return F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: add(F.slice(sums, 1, b)) + add(F.slice(lengths, b * BLOCK + 1, i)))))
+    within = lambda b, before: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: before + add(F.slice(lengths, b * BLOCK + 1, i)))
+    return _let(sums, lambda s: F.flatten(F.transform(blocks, lambda b: _let(add(F.slice(s, 1, b)), lambda before: within(b, before)))))
 
 
 def _spans(df: DataFrame, name: str, source: str, pattern: str, flag: Column) -> DataFrame:
@@ -100,7 +118,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _octets(hit: Column) -> Column:
-    return F.forall(F.split(F.regexp_replace(hit, r"[\[\]]", ""), r"\."), lambda x: F.coalesce(x.try_cast("bigint") <= 255, F.lit(False)))
+    return F.forall(F.split(F.regexp_replace(hit, r"[\[\]() ]", ""), r"\."), lambda x: F.coalesce(x.try_cast("bigint") <= 255, F.lit(False)))
 
 
 def _holds(kind: str, hit: Column) -> Column:
@@ -120,25 +138,38 @@ def _features(kind: str, s: Column) -> list[Column]:
         F.lit(KINDS.index(kind)),
         F.least(n, F.lit(20)),
         yes(n.between(12, 19) & _luhn(_digits(hit))),
-        F.least(F.length(F.regexp_replace(hit, rf"[^.{DOT}]", "")), F.lit(4)),
+        F.least(F.length(F.regexp_replace(F.regexp_replace(hit, r"(?i)[\[( ]dot[\]) ]", DOT), rf"[^.{DOT}]", "")), F.lit(4)),
         yes(hit.startswith("+") | before.endswith("+") | before.rlike(r"\+[0-9]+ ?$")),
         yes(hit.contains("(")),
         cue,
         yes(before.rlike(r"[\p{L}\p{N}_]$")),
         yes(hit.contains("@")),
         yes(_octets(hit)) if kind == "ip" else F.lit(0),
+        yes(hit.rlike(DATE)) if kind == "phone" else F.lit(0),
     ]
     return [v.cast("int").alias(f) for v, f in zip(values, FEATURES, strict=True)]
 
 
-def _fails(kind: str, s: Column) -> Column:
+def _fails(kind: str, hit: Column) -> Column:
     """A candidate that is known to be none."""
-    hit, n = s["hit"], F.length(_digits(s["hit"]))
-    return {"email": ~hit.rlike(rf"{DOT}|dot"), "ip": ~_octets(hit), "card": ~(n.between(13, 19) & _luhn(_digits(hit))), "phone": ~n.between(8, 15)}[kind]
+    n = F.length(_digits(hit))
+    return {"email": ~F.lower(hit).rlike(rf"{DOT}|dot"), "ip": ~_octets(hit), "card": ~(n.between(13, 19) & _luhn(_digits(hit))), "phone": ~n.between(7, 15) | hit.rlike(DATE)}[kind]
 
 
-def _meet(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _rewritten(kind: str, hit: Column) -> list[tuple[Column, int]]:
+    """Forms of a base span that the exact patterns miss (1), and spoilt ones (0)."""
+    put = lambda old, new: F.replace(hit, F.lit(old), F.lit(new))
+    digits, last = _digits(hit), F.right(hit, F.lit(1)).try_cast("int")
+    if kind == "email":
+        forms = [F.replace(put("@", a), F.lit(DOT), F.lit(d)) for a, d in ((" at ", " dot "), ("[at]", "[dot]"), ("(at)", DOT))]
+        return [*((f, 1) for f in forms), (F.substring_index(put("@", "[at]"), DOT, 1), 0)]
+    if kind == "ip":
+        return [(put(".", "[.]"), 1), (put(".", " . "), 1), (F.concat(F.lit("999"), put(".", "[.]")), 0)]
+    if kind == "card":
+        return [(hit, 1), (F.concat(hit.substr(F.lit(1), F.length(hit) - 1), ((last + 1) % 10).cast("string")), 0)]
+    plain = F.substring(hit, 2, 100)
+    national = F.regexp_replace(plain, "^[0-9]{1,3}[ .-]", "")
+    return [(plain, 1), (national, 1), (F.concat(F.lit("00"), plain), 1), (F.left(digits, F.lit(6)), 0), (F.concat(F.lit("20"), F.left(digits, F.lit(2)), F.lit("-01-02")), 0)]
 
 
 def _place(s: Column) -> Column:
@@ -146,9 +177,9 @@ def _place(s: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, fold, base_<kind> and loose_<kind> of each row; candidates with their features and label. Written."""
+    """uid, doc_id, fold, base_<kind> of each row; loose: its candidates, forms: rewritten base spans, with features and label. Written."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    df = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *([row_struct(docs, "row")] if keep else []), F.translate(text, OPEN + CLOSE + GAP + DOT, "\u0005" * 4).alias("clean"))
+    df = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), *([row_struct(docs, "row")] if keep else []), F.translate(text, OPEN + CLOSE + GAP + DOT, "\u0005" * 4).alias("clean"))
     df = df.withColumns({f"may_{k}": F.col("clean").rlike(MAY_HOLD[k]) for k in KINDS})
     gaps = F.regexp_replace("clean", F.lit("(?<=[0-9])[ -](?=[0-9])"), F.lit(GAP))
     dots = F.regexp_replace("clean", F.lit(rf"(?<={LABEL})\.(?={LABEL})"), F.lit(DOT))
@@ -160,21 +191,57 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold = F.pmod(F.xxhash64("clean"), F.lit(4)).cast("int")
 
     def checked(k: str) -> Column:
-        return F.transform(F.filter(f"base_{k}", lambda s: _holds(k, s["hit"])), _place)
+        return F.filter(f"base_{k}", lambda s: _holds(k, s["hit"]))
 
     df = df.withColumns({f"base_{k}": checked(k) for k in KINDS})
 
-    def labelled(k: str) -> Column:
-        base = F.col(f"base_{k}")
+    def marked(k: str) -> Column:
+        return F.transform(f"loose_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(_fails(k, s["hit"]), 0).cast("int").alias("label"), *_features(k, s)))
+
+    def forms(k: str) -> Column:
+        def one(s: Column) -> Column:
+            before = s["before"].alias("before")
+            return F.array(*(F.struct(F.lit(label).alias("label"), *_features(k, F.struct(hit.alias("hit"), before))) for hit, label in _rewritten(k, s["hit"])))
+
+        return F.flatten(F.transform(f"base_{k}", one))
 
-        def one(s):
-            label = F.when(F.exists(base, lambda b: _meet(b, s)), 1).when(_fails(k, s), 0)
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.cast("int").alias("label"), *_features(k, s))
+    keep_cols = ["uid", "doc_id", *(["row"] if keep else [])]
+    loose, made = F.concat(*map(marked, KINDS)), F.concat(*map(forms, KINDS))
+    return scratch(df.select(*keep_cols, fold.alias("fold"), *(F.transform(f"base_{k}", _place).alias(f"base_{k}") for k in KINDS), loose.alias("loose"), made.alias("forms")), "personal")
 
-        return F.transform(f"loose_{k}", one)
 
-    keep_cols = ["doc_id", *(["row"] if keep else [])]
-    return scratch(df.select(*keep_cols, fold.alias("fold"), *(f"base_{k}" for k in KINDS), *(labelled(k).alias(f"loose_{k}") for k in KINDS)), "personal")
+def _meets(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """df (uid, start, end) with a column for each test: whether a row of the document that passes it overlaps this one.
+
+    Rows that pass a test are passed in order of their starts: the largest end of those that begin before or with this
+    row, and the smallest start of those that begin after it, say whether one overlaps.
+    """
+    order = Window.partitionBy("uid").orderBy("start")
+    upto, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(1, Window.unboundedFollowing)
+    over = {n: F.coalesce(F.max(F.when(t, F.col("end"))).over(upto) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(t, F.col("start"))).over(after) < F.col("end"), F.lit(False)) for n, t in tests.items()}
+    return df.withColumns(over)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """One row a candidate: uid, fold, start, end, its features, label, and whether it meets a base span. Written."""
+
+    def numbered(k: str) -> Column:
+        return F.transform(f"base_{k}", lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    spans = F.concat(*map(numbered, KINDS))
+    base = found.where(F.size("loose") > 0).select("uid", "fold", F.explode(spans).alias("b")).select("uid", "fold", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.kind").alias("base_kind"))
+    loose = found.select("uid", "fold", F.explode("loose").alias("c")).select("uid", "fold", "c.*")
+    both = loose.unionByName(base, allowMissingColumns=True)
+    kinds = {f"meets_{k}": F.coalesce(F.col("base_kind") == i, F.lit(False)) for i, k in enumerate(KINDS)}
+    met = _meets(both, kinds).where("base_kind IS NULL").drop("base_kind")
+    own = F.lit(False)
+    for i, k in enumerate(KINDS):
+        own = F.when(F.col("kind") == i, F.col(f"meets_{k}")).otherwise(own)
+    every = F.lit(False)
+    for k in KINDS:
+        every = every | F.col(f"meets_{k}")
+    label = F.when(own, 1).when(F.col("label") == 0, 0).when(every, 0)
+    return scratch(met.withColumns({"label": label.cast("int"), "meets_base": every}).drop(*kinds), "labelled")
 
 
 def _tree(lines: list[str], at: int, value) -> tuple[Column, int]:
@@ -218,29 +285,28 @@ class Booster:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def train(found: DataFrame) -> Booster:
-    every = F.concat(*(f"loose_{k}" for k in KINDS))
-    one = found.select("fold", F.explode(every).alias("c")).where("c.label IS NOT NULL")
-    return Booster(one.groupBy("fold", *(F.col(f"c.{f}").alias(f) for f in FEATURES), F.col("c.label").alias("label")).agg(F.count(F.lit(1)).alias("n")))
-
+def train(found: DataFrame, rows: DataFrame) -> Booster:
+    """rows: what labelled gives of found."""
+    own = rows.where("label IS NOT NULL").select("fold", "label", *FEATURES)
+    made = found.select("fold", F.explode("forms").alias("f")).select("fold", "f.label", *(f"f.{x}" for x in FEATURES))
+    return Booster(own.union(made).groupBy("fold", "label", *FEATURES).agg(F.count(F.lit(1)).alias("n")))
 
-def _good(booster: Booster, threshold: float, others: Column):
-    return lambda s: s["label"].isNull() & (booster.score(lambda f: s[f]) >= threshold) & ~F.exists(others, lambda b: _meet(b, s))
 
-
-def select(found: DataFrame, booster: Booster) -> DataFrame:
+def select(found: DataFrame, rows: DataFrame, booster: Booster) -> DataFrame:
     """found with spans_<kind>: the base spans and those that the booster adds, by start."""
-    base_all = F.concat(*(f"base_{k}" for k in KINDS))
-    df, taken = found, F.array().cast("array<struct<start:bigint,end:bigint>>")
-    for k in KINDS:
-        threshold = booster.thresholds[k]
-        added = F.array().cast("array<struct<start:bigint,end:bigint>>")
-        if threshold is not None:
-
-            added = F.transform(F.filter(f"loose_{k}", _good(booster, threshold, F.concat(base_all, taken))), _place)
-        df = df.withColumn(f"added_{k}", added)
-        taken = F.concat(taken, F.col(f"added_{k}"))
-    return df.withColumns({f"spans_{k}": F.array_sort(F.concat(f"base_{k}", f"added_{k}")) for k in KINDS})
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    enough = F.lit(False)
+    for i, k in enumerate(KINDS):
+        if booster.thresholds[k] is not None:
+            enough = F.when(F.col("kind") == i, F.col("score") >= booster.thresholds[k]).otherwise(enough)
+    good = rows.where("label IS NULL AND NOT meets_base").withColumn("score", booster.score(F.col)).where(enough).select("uid", "start", "end", "kind")
+    good = _meets(good, {f"meets_{i}": F.col("kind") == i for i in range(len(KINDS) - 1)})
+    earlier = F.lit(False)
+    for i in range(len(KINDS) - 1):
+        earlier = earlier | ((F.col("kind") > i) & F.col(f"meets_{i}"))
+    added = good.where(~earlier).groupBy("uid").agg(*(F.collect_list(F.when(F.col("kind") == i, F.struct("start", "end"))).alias(f"added_{k}") for i, k in enumerate(KINDS)))
+    df = found.drop("loose", "forms").join(added, "uid", "left")
+    return df.withColumns({f"spans_{k}": F.array_sort(F.concat(f"base_{k}", F.coalesce(f"added_{k}", none))) for k in KINDS})
 
 
 def _joined(prefix: str) -> Column:
@@ -253,14 +319,16 @@ def _joined(prefix: str) -> Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_<kind> (base spans), base_sha256, spans for each row of docs."""
     found = candidates(docs, id_col, text_col)
-    out = select(found, train(found))
+    rows = labelled(found)
+    out = select(found, rows, train(found, rows))
     return out.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets; of overlapping spans the first stands for both."""
     found = candidates(docs, id_col, text_col, keep=True)
-    out = select(found, train(found))
+    rows = labelled(found)
+    out = select(found, rows, train(found, rows))
 
     def tagged(k: str) -> Column:
         return F.transform(f"spans_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("tag")))

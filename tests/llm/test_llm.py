@@ -262,6 +262,39 @@ def test_personal_data(spark, empty):
     assert clean.startswith("[EMAIL]@d.e [EMAIL][EMAIL] x@y..z")
 
 
+def test_personal_data_booster_decides(spark):
+    """Forms that the exact patterns miss are added, lookalikes are not; all of it from base spans in other rows."""
+    def card(i):
+        body = f"4{i:014d}"
+        return body + next(str(d) for d in range(10) if sum(v if k % 2 == 0 else 2 * v - 9 * (v > 4) for k, v in enumerate(map(int, reversed(body + str(d))))) % 10 == 0)
+
+    texts = [f"mail me at user{i}@host{i}.org or call +1 555 {200 + i} {1000 + i} ; server 10.0.{i}.7 took card {card(i)} for it" for i in range(120)]
+    new = {"email": ["write to jane.doe at example dot com today", "mail bob [at] corp [dot] org now"], "ip": ["server 10[.]2[.]3[.]4 is up", "host 1 . 2 . 3 . 4 fell"], "card": ["paid by card 3782 822463 10005 then"], "phone": ["call 1 555 321 4567 soon"]}
+    odd = ["look at the dot on it", "mail me at home", "host 300[.]1[.]1[.]1 or 1 . 2 . 3 . 999", "card 3782 822463 10006 failed", "call us on 2024-01-05 or 12-34-56", "pages 12-34-56"]
+    every = texts + [t for own in new.values() for t in own] + odd
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x] for r in personal_data.personal_data(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    assert all(got[i] == base_spans(t) and len(got[i]) == 4 for i, t in enumerate(texts))
+    at = len(texts)
+    for kind, own in new.items():
+        for t in own:
+            assert not base_spans(t) and [x.split(":")[0] for x in got[at]] == [kind], (t, got[at])
+            at += 1
+    assert all(got[at + i] == [] for i in range(len(odd))), [got[at + i] for i in range(len(odd))]
+
+
+def test_personal_data_many_hits(spark):
+    """50,000 hits in one text: time grows with their number."""
+    import time
+
+    took = []
+    for n in (12_500, 50_000):
+        df = spark.createDataFrame([(0, " ".join(f"u{i}@h.org" for i in range(n)))], "doc_id long, text string")
+        start = time.perf_counter()
+        assert personal_data.candidates(df).select(F.size("base_email")).first()[0] == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 6 * took[0] + 5, took
+
+
 def test_near_dedup_brute_force(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     weights, own = near_dedup.corpus_weights(d), d.select("doc_id", "text").collect()
