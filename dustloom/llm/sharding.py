@@ -1,13 +1,15 @@
 """Sharding by vector bin packing.
 
-Groups of equal texts are the things to place; each has a vector of bytes, tokens and rows. Groups are
-pooled by hash to bundles, whose number is a parameter and doesn't grow with the input; a group that alone
-is a large part of a shard is cut to pieces by the hash of the identifier. Bundles and pieces are placed
-largest first, each into the shard where the dot product of its vector with the residual capacity is highest.
-Slots count within bundles, offset by what the shard already holds, so no shard is sorted in one task.
+Groups of equal texts are the things to place; each has a vector of bytes, tokens and rows. A group that is at least
+LARGE_PART of a shard in some dimension is an item of its own, which bounds the number of such items by the shards;
+smaller ones are pooled by hash to bundles, whose number is a parameter, so that what the driver places doesn't grow
+with the input. A group of more than HEAVY_PART of a shard, which no shard could take with loads near equal, is cut
+to pieces by a number that its rows got when they were read. Items are placed largest first, each into the shard where
+the dot product of its vector with the residual capacity is highest. Slots count within items, offset by what
+the shard already holds, so no shard is sorted in one task. Groups under HEAVY_PART lie in one shard each.
 
 Defined results: a null text has no bytes and no tokens and forms one group with other null texts; rows
-that repeat an identifier and a text may take any of their slots; an empty table gives an empty result.
+that repeat an identifier, null ones too, are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from dustloom.llm.common import WORD, scratch
 
 ROW_BYTES = 16
 BUNDLES_PER_SHARD = 256
-#: A group is cut when it is more than this part of a shard in some dimension.
-HEAVY_PART = 1 / 8
+#: A group is an item of its own from this part of a shard in some dimension, and is cut when it is more than that one.
+LARGE_PART, HEAVY_PART = 1 / 500, 1 / 8
 DIMS = ("size", "tokens", "n_rows")
 
 
@@ -47,6 +49,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     body = F.coalesce(text, F.lit("")).cast("binary")
     base = scratch(
         docs.select(
+            F.monotonically_increasing_id().alias("uid"),
             ident.alias("doc_id"),
             (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
@@ -57,15 +60,14 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")]
     total = base.agg(*sums).first()
-    most = [max(1.0, (total[d] or 0) / shards * HEAVY_PART) for d in DIMS]
-    # at most shards / HEAVY_PART groups can be over the limit in each of the three dimensions
-    pieces = F.ceil(F.greatest(*(F.col(d) / m for d, m in zip(DIMS, most, strict=True)))).cast("int")
-    heavy = base.groupBy("group").agg(*sums).withColumn("pieces", pieces).where("pieces > 1").select("group", "pieces")
+    share = F.greatest(*(F.col(d) / max(1.0, (total[d] or 0) / shards) for d in DIMS))
+    # in each of the three dimensions at most shards / LARGE_PART groups can be over the limit
+    large = base.groupBy("group").agg(*sums).where(share >= LARGE_PART).select("group", F.ceil(share / HEAVY_PART).cast("int").alias("pieces"))
     bundles = shards * BUNDLES_PER_SHARD
-    piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))
-    bundle = F.when(F.col("pieces").isNull(), F.pmod(F.col("group"), F.lit(bundles))).otherwise(F.lit(bundles) + F.pmod(F.xxhash64("group", piece), F.lit(1 << 62)))
-    dealt = base.join(F.broadcast(heavy), "group", "left").withColumn("bundle", bundle)
-    loads = dealt.groupBy("bundle").agg(*sums).orderBy("bundle").collect()  # at most bundles + the pieces
+    piece = F.pmod(F.xxhash64("uid"), F.col("pieces"))
+    item = F.when(F.col("pieces").isNull(), F.pmod(F.col("group"), F.lit(bundles))).otherwise(F.lit(bundles) + F.pmod(F.xxhash64("group", piece), F.lit(1 << 62)))
+    dealt = base.join(F.broadcast(large), "group", "left").withColumn("bundle", item)
+    loads = dealt.groupBy("bundle").agg(*sums).orderBy("bundle").collect()  # at most bundles, large groups and pieces
     vectors = np.array([[r[d] for d in DIMS] for r in loads], dtype=float).reshape(-1, len(DIMS))
     where = place(vectors, shards)
     filled, plan = [0] * shards, []
@@ -73,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         plan.append((r["bundle"], s, filled[s]))
         filled[s] += r["n_rows"]
     placed = F.broadcast(spark.createDataFrame(plan, "bundle long, shard int, first_slot long"))
-    nth = F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id", "size", "text_crc32", "group")) - 1
+    nth = F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id", "size", "text_crc32", "group", "uid")) - 1
     return dealt.withColumn("nth", nth).join(placed, "bundle").select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first_slot") + F.col("nth")).cast("long").alias("slot"))
 
 
