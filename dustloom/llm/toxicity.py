@@ -1,13 +1,19 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are a text's words and their first four and five letters, hashed to 64 bits. Which terms the machine
-has is chosen by a likelihood-ratio test of presence against the label; each has a weight and a vector of
-FACTORS numbers, whose inner products are the weights of pairs, so that two terms together can mean what
-neither means alone. It is fitted on at most TRAIN_ROWS labelled documents (a hash of the identifier chooses
-them) and on no row that is held out. All whole texts are scored.
-
-Defined results: null counts as empty; a text without known terms scores what the bias alone gives; without
-any label every score is 0.5 less a little, so nothing is rejected; repeated labels of an identifier count as
+Terms are a text's words and their first four and five letters, hashed to 64 bits. Each term of the machine has a
+weight and a vector of FACTORS numbers, whose inner products are the weights of pairs, so that two terms together
+can mean what neither means alone. It is fitted on at most TRAIN_ROWS labelled documents (a hash of the identifier
+chooses them) and on no row that is held out. All whole texts are scored.
+
+Two tests on all of these rows choose the terms, both likelihood ratios of presence against the label: the best
+MOST_TERMS terms by themselves; and the words of the best MOST_PAIRS pairs of words, at most PAIR_WORDS apart, that
+tell at least LEAST_RATIO more together than the better of them alone, so that an insult and a mention, each common
+in clean texts too, reach the machine. Pairs are counted where a label 1 has them in LEAST_DOCUMENTS rows. These
+bounds are those of the fit on its bounded sample; scores know no bound.
+
+Defined results: null counts as empty; a text without known terms scores what the bias alone gives; without any
+label, or if all usable labels are the same, there is nothing to tell apart: every score is 0.5 less a little, so
+nothing is rejected; repeated labels of an identifier count as
 their largest; null labels and labels without document don't count. Other columns pass unchanged.
 """
 
@@ -18,7 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dustloom.llm.common import chunks, on_workers, scratch
@@ -27,8 +33,11 @@ from dustloom.llm.common import chunks, on_workers, scratch
 TRAIN_ROWS = 20_000
 #: Most terms that a machine has, fewest documents that hold one, least likelihood ratio.
 MOST_TERMS, LEAST_DOCUMENTS, LEAST_RATIO = 4096, 4, 20.0
+#: Words of a pair are at most so far apart; most pairs whose words a machine has.
+PAIR_WORDS, MOST_PAIRS = 8, 1024
 FACTORS = 8
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.1, 1e-5
+#: A fit takes EPOCHS rounds, and on few rows as many as LEAST_STEPS batches need.
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 30, 800, 256, 0.1, 1e-5
 CHUNK_BYTES = 4 << 20
 KEPT_WORDS = 200_000
 
@@ -79,7 +88,7 @@ class Machine:
         self.bias = float(np.log(rate / (1 - rate)))
         sums = [np.full_like(x, 1e-6) for x in (self.w, self.v)]
         sum_bias = 1e-6
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(rows) // BATCH))))):
             order = draw.permutation(len(rows))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
@@ -135,6 +144,70 @@ def _term_lists(machine: Machine | None):
     return run
 
 
+_U = np.uint64
+
+
+def _pairs(text: str | None, known: _Known) -> np.ndarray:
+    """The different pairs of a text's words at most PAIR_WORDS apart: columns low and high."""
+    words = np.array([known[w] for w in _WORDS.findall((text or "").lower())], np.int64)
+    both = [np.stack([words[:-k], words[k:]]) for k in range(1, min(PAIR_WORDS, len(words) - 1) + 1)]
+    if not both:
+        return np.zeros((0, 2), np.int64)
+    low, high = (f(np.concatenate(both, axis=1), axis=0) for f in (np.min, np.max))
+    return np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+
+
+def _pair_counts(found: np.ndarray | None):
+    """low, high, d, p: rows that have the pair, and those of them with label 1. found: the pairs to count; None: all of label 1."""
+
+    def keys(pairs: np.ndarray) -> np.ndarray:
+        x = pairs.view(np.uint64)
+        return x[:, 0] * _U(0x9E3779B97F4A7C15) + (x[:, 1] ^ (x[:, 1] >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+
+    def run(batches):
+        known = _Known(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
+        order = np.argsort(keys(found)) if found is not None else None
+        asked = keys(found)[order] if found is not None else None
+        for part in chunks(batches, CHUNK_BYTES):
+            own, toxic = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                if asked is None and label != 1:
+                    continue
+                pairs = _pairs(text, known)
+                if asked is not None and len(pairs) and len(asked):
+                    at = np.minimum(np.searchsorted(asked, keys(pairs)), len(asked) - 1)
+                    pairs = pairs[(found[order[at]] == pairs).all(axis=1)]
+                own.append(pairs)
+                toxic.append(np.full(len(pairs), label == 1, np.int64))
+            pairs, place = np.unique(np.concatenate(own), axis=0, return_inverse=True)
+            d, p = (np.bincount(place.ravel(), w, len(pairs)).astype(np.int64) for w in (None, np.concatenate(toxic)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), d, p)], names=["low", "high", "d", "p"])
+
+    return run
+
+
+def _ratio(d: Column, p: Column, n: int, positive: int) -> Column:
+    """The likelihood ratio of d rows, p of them with label 1, against n rows, positive of them with label 1."""
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    share, rest = positive / n, F.lit(n) - d
+    return 2 * (part(p, d * share) + part(d - p, d * (1 - share)) + part(F.lit(positive) - p, rest * share) + part(F.lit(n - positive) - (d - p), rest * (1 - share)))
+
+
+def _paired_words(sample: DataFrame, seen: DataFrame, n: int, positive: int) -> list[int]:
+    """The words of pairs that tell more together than the better one alone. sample is bounded, so what is collected is."""
+    counts = "low long, high long, d long, p long"
+    total = lambda df: df.groupBy("low", "high").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
+    # a pair that no other row has tells most, so what fails even then can't pass
+    often = total(sample.mapInArrow(_pair_counts(None), counts)).where((F.col("p") >= LEAST_DOCUMENTS) & (_ratio(F.col("p"), F.col("p"), n, positive) >= LEAST_RATIO))
+    found = often.select("low", "high").toArrow()
+    found = np.stack([found.column(c).to_numpy() for c in ("low", "high")], axis=1).astype(np.int64)
+    every = total(sample.mapInArrow(_pair_counts(found), counts)).withColumn("ratio", _ratio(F.col("d"), F.col("p"), n, positive)).where(F.col("ratio") >= LEAST_RATIO)
+    alone = lambda name: seen.select(F.col("term").alias(name), F.col("ratio").alias(f"{name}_ratio"))
+    gain = F.col("ratio") - F.greatest("low_ratio", "high_ratio")
+    best = every.join(alone("low"), "low").join(alone("high"), "high").withColumn("gain", gain).where(F.col("gain") >= LEAST_RATIO)
+    return [x for r in best.orderBy(F.desc("gain"), "low", "high").limit(MOST_PAIRS).collect() for x in (r["low"], r["high"])]
+
+
 def _scores(machine: Machine):
     def run(batches):
         known = _places(machine)
@@ -162,12 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n or not positive or positive == n:
         return Machine(np.zeros(0, np.int64))
     seen = sample.mapInArrow(_term_lists(None), "label int, terms array<long>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"), F.sum("label").alias("p"))
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    d, p = F.col("d"), F.col("p")
-    ratio = 2 * (part(p, d * (positive / n)) + part(d - p, d * (1 - positive / n)) + part(F.lit(positive) - p, (F.lit(n) - d) * (positive / n)) + part(F.lit(n - positive) - (d - p), (F.lit(n) - d) * (1 - positive / n)))
-    terms = seen.where((d >= LEAST_DOCUMENTS) & (d < n)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term").collect()
-    machine = Machine(np.array(sorted(r["term"] for r in terms), np.int64))
-    rows = sample.mapInArrow(_term_lists(machine), "label int, terms array<long>").orderBy("label", F.xxhash64("terms")).collect()  # at most train_rows
+    seen = scratch(seen.withColumn("ratio", _ratio(F.col("d"), F.col("p"), n, positive)), "toxic-terms")
+    alone = seen.where((F.col("d") >= LEAST_DOCUMENTS) & (F.col("d") < n) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term").collect()
+    machine = Machine(np.array(sorted({r["term"] for r in alone} | set(_paired_words(sample, seen, n, positive))), np.int64))
+    rows = sample.mapInArrow(_term_lists(machine), "label int, terms array<long>").collect()  # at most train_rows
+    rows.sort(key=lambda r: (r["label"], r["terms"]))
     machine.fit([r["terms"] for r in rows], np.array([r["label"] for r in rows], float))
     return machine
 

@@ -234,6 +234,40 @@ def test_factors_learn_pairs():
     assert [machine.score(r) > 0.5 for r in ([], [0], [1], [0, 1])] == [False, False, False, True]
 
 
+def test_scores_are_sums_over_pairs():
+    draw = np.random.default_rng(2)
+    machine = toxicity.Machine(np.arange(30), bias=-0.3)
+    machine.w, machine.v = draw.normal(0, 1, 30), draw.normal(0, 0.5, (30, toxicity.FACTORS))
+    for _ in range(20):
+        own = sorted(draw.choice(30, draw.integers(0, 9), replace=False).tolist())
+        z = machine.bias + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for i in own for j in own if i < j)
+        assert abs(machine.score(own) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_fit_finds_pairs_of_weak_words(spark):
+    """Two words, each in about half of the clean texts, are toxic only together; neither passes the test alone."""
+    draw = np.random.default_rng(3)
+    filler = [f"w{i}" for i in range(400)]
+
+    def text(*own):
+        words = list(draw.choice(filler, 30))
+        for at, w in enumerate(own):
+            words.insert(10 + at, w)
+        return " ".join(words)
+
+    made = [(text("sly", "neighbour"), 1) for _ in range(14)] + [(text("sly"), 0) for _ in range(210)] + [(text("neighbour"), 0) for _ in range(210)] + [(text(), 0) for _ in range(20)]
+    rows_ = [(i, t, y) for i, (t, y) in enumerate(made)]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
+    labels = docs_.select("doc_id", "toxic")
+    machine = toxicity.fit(docs_, labels)
+    words = {toxicity.xxhash.xxh3_64_intdigest(w.encode()) - (1 << 63) for w in ("sly", "neighbour")}
+    assert words <= set(machine.terms.tolist())
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs_, labels).collect()}
+    assert all(got[i] == y for i, _, y in rows_)
+    all_one = labels.withColumn("toxic", F.lit(1))
+    assert toxicity.toxicity(docs_, all_one).where("predicted = 1").count() == 0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -400,8 +434,38 @@ def test_sharding(spark, docs, empty):
     d = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet")
     hot = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("copy " * 300)).otherwise(F.col("text")))
     by = sharding.shard(hot, shards=8).groupBy("shard").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("slot").alias("n")).collect()
-    for k in "bt":
+    for k in "btn":
         assert max(r[k] for r in by) < 1.1 * sum(r[k] for r in by) / 8
+    # brute force: equal texts share a shard unless they are more than a part of it; sizes and sums are those of the texts
+    texts = {r["doc_id"]: r["text"] or "" for r in hot.collect()}
+    got = sharding.shard(hot, shards=8).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    total, groups = sum(len(t.encode()) + 16 for t in texts.values()), {}
+    for r in got:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+        groups.setdefault(raw, []).append(r["shard"])
+    for raw, own in groups.items():
+        parts = ((len(raw) + 16) * len(own) / total, len(own) / len(texts), len(re.findall(rb"[^\x20\x09-\x0D]+", raw)) * len(own) / sum(r["tokens"] for r in got))
+        assert len(set(own)) == 1 or max(parts) * 8 > sharding.HEAVY_PART
+    # null and repeated identifiers of one text are spread too
+    same = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    n = [r["n"] for r in sharding.shard(same, shards=8).groupBy("shard").agg(F.count("slot").alias("n")).collect()]
+    assert len(n) == 8 and max(n) < 1.3 * 4000 / 8
+
+
+def test_placing_follows_the_dot_product():
+    """place() against the rule spelt out row by row."""
+    draw = np.random.default_rng(4)
+    vectors = draw.integers(1, 60, (200, 3)).astype(float)
+    need = vectors / (vectors.sum(axis=0) / 7)
+    free, want = [[1.0] * 3 for _ in range(7)], {}
+    for i in sorted(range(200), key=lambda i: (-max(need[i]), i)):
+        fits = [s for s in range(7) if all(f >= x for f, x in zip(free[s], need[i], strict=True))] or range(7)
+        best = max(fits, key=lambda s: (sum(f * x for f, x in zip(free[s], need[i], strict=True)), -s))
+        want[i] = best
+        free[best] = [f - x for f, x in zip(free[best], need[i], strict=True)]
+    assert sharding.place(vectors, 7).tolist() == [want[i] for i in range(200)]
 
 
 def test_pipeline(spark):
