@@ -147,41 +147,42 @@ def _term_lists(machine: Machine | None):
 _U = np.uint64
 
 
-def _pairs(text: str | None, known: _Known) -> np.ndarray:
-    """The different pairs of a text's words at most PAIR_WORDS apart: columns low and high."""
+def _pairs(text: str | None, known: _Known) -> tuple[np.ndarray, ...]:
+    """The different pairs of a text's words at most PAIR_WORDS apart: hashes in ascending order, low and high."""
     words = np.array([known[w] for w in _WORDS.findall((text or "").lower())], np.int64)
-    both = [np.stack([words[:-k], words[k:]]) for k in range(1, min(PAIR_WORDS, len(words) - 1) + 1)]
-    if not both:
-        return np.zeros((0, 2), np.int64)
-    low, high = (f(np.concatenate(both, axis=1), axis=0) for f in (np.min, np.max))
-    return np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
+    reach = range(1, min(PAIR_WORDS, len(words) - 1) + 1)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([words[:-k] for k in reach], [words[k:] for k in reach]))
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    key, first = np.unique(_pair_key(low, high), return_index=True)
+    other = low[first] != high[first]
+    return key[other], low[first][other], high[first][other]
 
 
-def _pair_counts(found: np.ndarray | None):
-    """low, high, d, p: rows that have the pair, and those of them with label 1. found: the pairs to count; None: all of label 1."""
+def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    low, high = low.view(np.uint64), high.view(np.uint64)
+    return low * _U(0x9E3779B97F4A7C15) + (high ^ (high >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+
 
-    def keys(pairs: np.ndarray) -> np.ndarray:
-        x = pairs.view(np.uint64)
-        return x[:, 0] * _U(0x9E3779B97F4A7C15) + (x[:, 1] ^ (x[:, 1] >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+def _pair_counts(found: tuple[np.ndarray, np.ndarray] | None):
+    """low, high, d, p: rows that have the pair, and those of them with label 1. found: the pairs to count; None: all of label 1."""
 
     def run(batches):
         known = _Known(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
-        order = np.argsort(keys(found)) if found is not None else None
-        asked = keys(found)[order] if found is not None else None
+        asked = np.sort(_pair_key(*found)) if found is not None else None
         for part in chunks(batches, CHUNK_BYTES):
-            own, toxic = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+            own = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)]
             for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                 if asked is None and label != 1:
                     continue
                 pairs = _pairs(text, known)
-                if asked is not None and len(pairs) and len(asked):
-                    at = np.minimum(np.searchsorted(asked, keys(pairs)), len(asked) - 1)
-                    pairs = pairs[(found[order[at]] == pairs).all(axis=1)]
-                own.append(pairs)
-                toxic.append(np.full(len(pairs), label == 1, np.int64))
-            pairs, place = np.unique(np.concatenate(own), axis=0, return_inverse=True)
-            d, p = (np.bincount(place.ravel(), w, len(pairs)).astype(np.int64) for w in (None, np.concatenate(toxic)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), d, p)], names=["low", "high", "d", "p"])
+                if asked is not None and len(asked):
+                    at = np.minimum(np.searchsorted(asked, pairs[0]), len(asked) - 1)
+                    pairs = tuple(x[asked[at] == pairs[0]] for x in pairs)
+                own.append((*pairs, np.full(len(pairs[0]), label == 1, np.int64)))
+            key, low, high, toxic = map(np.concatenate, zip(*own, strict=True))
+            _, first, place = np.unique(key, return_index=True, return_inverse=True)
+            d, p = (np.bincount(place, w, len(first)).astype(np.int64) for w in (None, toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low[first], high[first], d, p)], names=["low", "high", "d", "p"])
 
     return run
 
@@ -200,7 +201,7 @@ def _paired_words(sample: DataFrame, seen: DataFrame, n: int, positive: int) ->
     # a pair that no other row has tells most, so what fails even then can't pass
     often = total(sample.mapInArrow(_pair_counts(None), counts)).where((F.col("p") >= LEAST_DOCUMENTS) & (_ratio(F.col("p"), F.col("p"), n, positive) >= LEAST_RATIO))
     found = often.select("low", "high").toArrow()
-    found = np.stack([found.column(c).to_numpy() for c in ("low", "high")], axis=1).astype(np.int64)
+    found = tuple(np.ascontiguousarray(found.column(c).to_numpy(), np.int64) for c in ("low", "high"))
     every = total(sample.mapInArrow(_pair_counts(found), counts)).withColumn("ratio", _ratio(F.col("d"), F.col("p"), n, positive)).where(F.col("ratio") >= LEAST_RATIO)
     alone = lambda name: seen.select(F.col("term").alias(name), F.col("ratio").alias(f"{name}_ratio"))
     gain = F.col("ratio") - F.greatest("low_ratio", "high_ratio")
