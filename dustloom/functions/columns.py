@@ -124,15 +124,24 @@ def interval_timestamp(start: Column, end: Column) -> Column:
 
 
 def pm_fraction(header: Column) -> Column:
-    """The particle size that a column's name tells: PM10, PM4, PM2.5 or PM1, tested in this order."""
-    name, tight = F.trim(F.lower(header)), F.replace(F.lower(header), F.lit(" "), F.lit(""))
-    sizes = (("PM10", "10"), ("PM4", "4"), ("PM2.5", "2[._]?5"), ("PM1", "1"))
-    out = F.lit(None).cast("string")
-    for label, digits in reversed(sizes):
-        out = F.when(tight.rlike(rf"pm(?:_enviro_\d+-)?pm?{digits}(?:[_.-]|ambient|$)"), label).otherwise(out)
-    for label, digits in reversed(sizes):
-        out = F.when(name.rlike(rf"(^|[-_])pm{digits}([_ -]|$)"), label).otherwise(out)
-    return out
+    """The particle size that a column's name tells: PM10, PM4, PM2.5 or PM1, tested in this order.
+
+    The name's words, with and without its spaces, are compared: one that begins with pm (p in names of enviro
+    devices) and goes on with a size, then nothing, a dot or "ambient".
+    """
+    low = F.replace(F.lower(header), F.lit("2_5"), F.lit("2.5"))
+    split = lambda x: F.split(x, "[^a-z0-9.]+")
+    words = F.concat(split(low), split(F.replace(low, F.lit(" "), F.lit(""))))
+    device = low.contains("pm_enviro_")
+
+    def size(word: Column) -> Column:
+        rest = F.when(word.startswith("pm"), F.substring(word, 3, 100)).when(device & word.startswith("p"), F.substring(word, 2, 100))
+        return F.replace(rest, F.lit("ambient"), F.lit(""))
+
+    sizes = F.transform(words, size)
+    whole = lambda digits: F.exists(sizes, lambda s: F.substring_index(s, ".", 1) == digits)
+    half = F.exists(sizes, lambda s: s.startswith("2.5") | (F.substring_index(s, ".", 1) == "25"))
+    return F.when(whole("10"), "PM10").when(whole("4"), "PM4").when(half, "PM2.5").when(whole("1"), "PM1")
 
 
 def metric_family(metric: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +75,28 @@ def validate_records(df: DataFrame, rules: dict[str, Column], reason_col: str =
     return marked.where(F.size(reason_col) == 0).drop(reason_col), marked.where(F.size(reason_col) > 0)
 
 
-def element_rules() -> dict[str, Column]:
-    """Of an orbital element record."""
+#: The numbers of an orbital element record.
+ELEMENT_NUMBERS = ("mean_motion", "eccentricity", "inclination", "ra_of_asc_node", "arg_of_pericenter", "mean_anomaly", "norad_cat_id", "element_set_no", "rev_at_epoch", "bstar", "mean_motion_dot", "mean_motion_ddot")
+
+
+def element_rules(columns: list[str] | None = None, object_id: str | None = None) -> dict[str, Column]:
+    """Of an orbital element record. columns: those that the records have, if they are a part of it; object_id: the one designator allowed."""
     c = F.col
-    numbers = ["mean_motion", "eccentricity", "inclination", "ra_of_asc_node", "arg_of_pericenter", "mean_anomaly"]
-    return {
+    has = (lambda n: True) if columns is None else {x.lower() for x in columns}.__contains__
+    finite = lambda n: F.coalesce(~F.isnan(c(n).cast("double")) & (F.abs(c(n).cast("double")) != float("inf")), F.lit(False))
+    rules = {
         "id": c("norad_cat_id") > 0,
         "name": F.trim("object_name") != "",
         "epoch": c("epoch").try_cast("timestamp").isNotNull(),
-        "finite": ~reduce(or_, (F.coalesce(F.isnan(n) | (F.abs(n) == float("inf")), F.lit(True)) for n in numbers)),
+        "finite": reduce(and_, (finite(n) for n in ELEMENT_NUMBERS if has(n))),
         "mean_motion": c("mean_motion") > 0,
         "eccentricity": (c("eccentricity") >= 0) & (c("eccentricity") < 1),
     }
+    if has("object_id"):
+        rules["designator"] = c("object_id") == object_id if object_id else c("object_id").rlike("^[0-9]{4}-[0-9]{3}[A-Z]{1,3}$")
+    if has("ephemeris_type"):
+        rules["type"] = c("ephemeris_type").cast("double") == 0
+    return rules
 
 
 def period_overlap(events: DataFrame, start: Column, end: Column, entry_col: str = "entry", exit_col: str = "exit") -> DataFrame:

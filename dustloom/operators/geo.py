@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import great_circle_km
-from dustloom.operators.windows import local_minima, proximity_intervals, suppress_close_events, track_segments
+from dustloom.operators.windows import _islands, local_minima, run_summary, suppress_close_events, track_segments
 
 #: Fixed values of the ellipsoid, km.
 A_KM = 6378.137
@@ -63,10 +63,12 @@ def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees:
 
 def target_events(near: DataFrame, keys: list[str], ts: str, distance: str, radius: float, start, end) -> DataFrame:
     """near: every sample's distance from a target. Minima within radius, apart by half an hour, with the run around each."""
-    minima = local_minima(near, keys, ts, distance).where(F.col(distance) <= radius)
+    numbered = _islands(near, keys, ts, F.col(distance) <= radius)
+    minima = local_minima(numbered, keys, ts, distance).where(F.col(distance) <= radius).drop("_in", "_new", "_next")
     kept = suppress_close_events(minima, keys, ts)
-    runs = proximity_intervals(near, keys, ts, distance, radius, inclusive=True).select(*keys, F.col("start").alias("entry"), F.col("end").alias("exit"))
-    met = kept.join(runs, keys).where((F.col(ts) >= F.col("entry")) & (F.col(ts) <= F.col("exit")))
+    # a minimum within radius lies in the run whose number it has
+    runs = run_summary(numbered, keys, ts, distance).select(*keys, "island", F.col("start").alias("entry"), F.col("end").alias("exit"))
+    met = kept.join(runs, [*keys, "island"]).drop("island")
     return met.where((F.col("exit") > start) & (F.col("entry") < end)).withColumn("ongoing", F.col("entry") < start)
 
 

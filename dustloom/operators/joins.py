@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dustloom.functions.columns import great_circle_km
+from dustloom.functions.columns import MEAN_EARTH_KM, great_circle_km
 
 
 def daily_with_retrievals(daily: DataFrame, retrievals: DataFrame, date: str = "date") -> DataFrame:
@@ -74,14 +74,23 @@ def best_forecast(runs: DataFrame, days: DataFrame, keys: list[str] = (), per_da
 def targets_x_samples(samples: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
     """Samples (object, ts, lat, lon) within radius of targets (target, t_lat, t_lon).
 
-    Both sides are dealt by bands of latitude as high as the radius, a target to its own band and the two beside
-    it, so the join is an equi-join; the exact distance is computed for the few that are left.
+    Both sides are dealt by cells: bands of latitude as high as the radius, cut along the longitude to cells at least
+    as wide as the radius anywhere in the band and its neighbours, so fewer of them towards the poles. A target is
+    dealt to its own cell and those around it, across 180 degrees too, so the join is an equi-join; the exact distance
+    is computed for the few that are left.
     """
-    band_height = radius_km / 110.0
-    bands = targets.select("target", "t_lat", "t_lon", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("t_lat") / band_height) + i)).alias("band"))
-    near = samples.withColumn("band", F.floor(F.col("lat") / band_height)).join(bands, "band").drop("band")
+    height = radius_km / 110.0
+    # sine of the radius over the cosine of the band's farthest latitude, one band beyond, bounds the longitudes apart
+    far = F.least(F.lit(90.0), (F.abs(F.col("band") + 0.5) + 1.5) * height)
+    reach = F.sin(F.lit(radius_km / MEAN_EARTH_KM)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
+    cells = F.when(reach < 1, F.greatest(F.lit(1), F.floor(360 / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.0001)))).otherwise(1).cast("long")
+    cell = lambda lon: F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * F.col("cells")).cast("long")
+    around = targets.select("target", "t_lat", "t_lon", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("t_lat") / height) + i)).alias("band"))
+    around = around.withColumn("cells", cells).withColumn("own", cell("t_lon"))
+    around = around.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.pmod(F.col("own") + i, F.col("cells")))))).drop("own", "cells")
+    dealt = samples.withColumn("band", F.floor(F.col("lat") / height)).withColumn("cells", cells).withColumn("cell", cell("lon")).drop("cells")
     distance = great_circle_km(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("lon"))
-    return near.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    return dealt.join(around, ["band", "cell"]).drop("band", "cell").withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
 
 
 def _corner(x: Column, size: int) -> Column:

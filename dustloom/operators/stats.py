@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +24,82 @@ def adjusted_skewness(v: Column) -> Column:
     return F.when(n < 3, F.lit(None).cast("double")).when(F.stddev_samp(v) == 0, F.lit(0.0)).otherwise(F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+#: Of the sketch that brackets a quantile: its ranks are off by a group's rows over this at most.
+ACCURACY = 10_000
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys in which NULL equals NULL."""
+    named = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    return left.join(named, on, how).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], ps: tuple[float, ...], value: str = "value") -> DataFrame:
+    """keys and q, the array of linearly interpolated quantiles of each group's values; groups without any have no row.
+
+    Exact, with bounded buffers: a sketch gives each quantile's bracket, outside of which values are only counted (and the
+    nearest on each side kept, for ranks next to the bracket); the few inside are counted by value and ranked in order.
+    """
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = [min(1.0, max(0.0, p + s * 2 / ACCURACY)) for p in ps for s in (-1, 1)]
+    sketch = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_a"))
+    met, v, each = _joined(base, sketch, keys, "inner"), F.col("_v"), range(len(ps))
+    low, high = (lambda i: F.col("_a")[2 * i]), (lambda i: F.col("_a")[2 * i + 1])
+    inside = [(v >= low(i)) & (v <= high(i)) for i in each]
+    facts = met.groupBy(*keys).agg(
+        F.first("_n").alias("_n"),
+        *(F.count_if(v < low(i)).alias(f"_below{i}") for i in each),
+        *(F.max(F.when(v < low(i), v)).alias(f"_under{i}") for i in each),
+        *(F.min(F.when(v > high(i), v)).alias(f"_over{i}") for i in each),
+    )
+    counted = met.where(reduce(or_, inside)).groupBy(*keys, "_v").agg(F.first("_a").alias("_a"), F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    ranked = counted.withColumns({f"_upto{i}": F.sum(F.when(inside[i], F.col("_c")).otherwise(0)).over(order) for i in each})
+    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in ps]
+    picks = []
+    both = _joined(ranked, facts, keys, "inner")
+    for i in each:
+        for side in (F.floor, F.ceil):
+            picks.append(F.min(F.when(inside[i] & (F.col(f"_below{i}") + F.col(f"_upto{i}") > side(place[i])), v)).alias(f"_pick{len(picks)}"))
+    firsts = [F.first(c).alias(c) for c in facts.columns if c not in keys]
+    found = both.groupBy(*keys).agg(*firsts, *picks)
+    values = []
+    for i in each:
+        at = [F.when(side(place[i]) < F.col(f"_below{i}"), F.col(f"_under{i}")).otherwise(F.coalesce(f"_pick{2 * i + k}", f"_over{i}")) for k, side in enumerate((F.floor, F.ceil))]
+        lower, upper = F.floor(place[i]), F.ceil(place[i])
+        values.append(F.when(lower == upper, at[0]).otherwise((upper - place[i]) * at[0] + (place[i] - lower) * at[1]))
+    return found.select(*keys, F.array(*values).alias("q"))
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, keys: list[str], names: dict[str, float], value: str = "value") -> DataFrame:
+    """stats (one row a group) with a column for each quantile, NULL for groups without values."""
+    out = _joined(stats, exact_quantiles(df, keys, tuple(names.values()), value), keys, "left")
+    return out.withColumns({n: F.col("q")[i] for i, n in enumerate(names)}).drop("q")
+
+
+def _by_grain(df: DataFrame, keys: dict[str, Column], kept: list[str]) -> DataFrame:
+    """A row for each row and grain: kept columns, grain, group."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("grain"), k.cast("string").alias("group")) for n, k in keys.items()))).alias("g")
+    return df.select(*kept, each).select(*kept, "g.grain", "g.group")
+
+
 def group_stats(df: DataFrame, ts: str, metric: str = "metric", value: str = "value", grains=GRAINS) -> DataFrame:
-    """One pass by grouping sets: grain, group, metric, n, mean, median, std, min, max."""
+    """grain, group, metric, n, mean, median, std, min, max."""
     t = F.col(ts)
     keys = {"year": F.year(t), "month": F.month(t), "season": season(F.month(t)), "hour": F.hour(t), "weekday": F.date_format(t, "EEEE")}
-    base = df.select(F.col(metric).alias("metric"), F.col(value).alias("value"), *(keys[g].cast("string").alias(g) for g in grains))
-    v = F.col("value")
-    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    sets = [[F.col("metric"), F.col(g)] for g in grains]
-    grouped = base.groupingSets(sets, F.col("metric"), *map(F.col, grains)).agg(F.grouping_id().alias("gid"), *stats)
-    # grouping_id has a bit for each column that a set leaves out, the last column's lowest
-    everything = (1 << len(grains)) - 1
-    grain, group = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, g in enumerate(grains):
-        here = F.col("gid") == everything & ~(1 << (len(grains) - 1 - i))
-        grain, group = F.when(here, g).otherwise(grain), F.when(here, F.col(g)).otherwise(group)
-    return grouped.select(grain.alias("grain"), group.alias("group"), "metric", "n", "mean", "median", "std", "min", "max")
+    base = df.select(F.col(metric).alias("metric"), F.col(value).alias("value"), *(keys[g].alias(f"_{g}") for g in grains))
+    base, v = _by_grain(base, {g: F.col(f"_{g}") for g in grains}, ["metric", "value"]), F.col("value")
+    by = ["grain", "group", "metric"]
+    grouped = base.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_quantiles(grouped, base, by, {"median": 0.5}).select(*by, "n", "mean", "median", "std", "min", "max")
 
 
 def describe_columns(df: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
-    v = F.col(value)
-    p = F.percentile(v, F.array(*(F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("p")
-    out = df.groupBy(F.col(metric).alias("metric")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), p)
-    return out.select("metric", "n", "mean", "std", "min", *(F.col("p")[i].alias(f"p{q:02d}") for i, q in enumerate((5, 25, 50, 75, 95))), "max")
+    base, v = df.select(F.col(metric).alias("metric"), F.col(value).alias("value")), F.col("value")
+    out = base.groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    names = {f"p{q:02d}": q / 100 for q in (5, 25, 50, 75, 95)}
+    return with_quantiles(out, base, ["metric"], names).select("metric", "n", "mean", "std", "min", *names, "max")
 
 
 def summary(df: DataFrame, date: str, metric: str = "metric", value: str = "value") -> DataFrame:
@@ -66,22 +122,15 @@ def daily_means(df: DataFrame, ts: str, keys: list[str], value: str = "value") -
 
 def descriptive(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), std_or_zero(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), adjusted_skewness(v).alias("skewness"))
+    out = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), std_or_zero(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), adjusted_skewness(v).alias("skewness"))
+    return with_quantiles(out, df, by, {"median": 0.5}, value).select(*by, "n", "mean", "std", "median", "min", "max", "skewness")
 
 
 def descriptive_by_grain(df: DataFrame, date: str) -> DataFrame:
     """df: basis, metric, value. Month, season, year, and year with season."""
     d = F.col(date)
     keys = {"month": F.date_format(d, "yyyy-MM"), "season": season(F.month(d)), "year": F.year(d), "year_season": F.concat_ws(" ", F.year(d), season(F.month(d)))}
-    base, names = df.select("basis", "metric", "value", *(k.cast("string").alias(n) for n, k in keys.items())), list(keys)
-    v = F.col("value")
-    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), std_or_zero(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), adjusted_skewness(v).alias("skewness")]
-    grouped = base.groupingSets([[F.col("basis"), F.col("metric"), F.col(n)] for n in names], F.col("basis"), F.col("metric"), *map(F.col, names)).agg(F.grouping_id().alias("gid"), *stats)
-    grain, group = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, n in enumerate(names):
-        here = F.col("gid") == ((1 << len(names)) - 1) & ~(1 << (len(names) - 1 - i))
-        grain, group = F.when(here, n).otherwise(grain), F.when(here, F.col(n)).otherwise(group)
-    return grouped.select("basis", "metric", grain.alias("grain"), group.alias("group"), "n", "mean", "std", "median", "min", "max", "skewness")
+    return descriptive(_by_grain(df, keys, ["basis", "metric", "value"]), ["basis", "metric", "grain", "group"])
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "value", width: float = 0.01) -> DataFrame:
@@ -194,10 +243,9 @@ def daily_resample(df: DataFrame, ts: str, keys: list[str], value: str = "value"
 def box_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Quartiles, and whiskers: the outermost values within 1.5 quartile distances."""
     v = F.col(value)
-    q = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(v).alias("n"))
-    q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = with_quantiles(df.groupBy(*keys).agg(F.count(v).alias("n")), df, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, value)
     fence = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, keys).where(v.between(F.col("q1") - fence, F.col("q3") + fence))
+    inside = _joined(df.select(*keys, v), q, keys, "inner").where(v.between(F.col("q1") - fence, F.col("q3") + fence))
     return inside.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(v).alias("low"), F.max(v).alias("high"))
 
 

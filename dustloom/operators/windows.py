@@ -23,9 +23,13 @@ def _islands(df: DataFrame, keys: list[str], order: str, inside: Column) -> Data
 def proximity_intervals(df: DataFrame, keys: list[str], ts: str, distance: str, threshold: float, inclusive: bool = False) -> DataFrame:
     """Runs of samples within threshold: start, end (the first sample outside, or the scan's last), closest time and distance."""
     d = F.col(distance)
-    runs = _islands(df, keys, ts, d <= threshold if inclusive else d < threshold).where("_in")
-    out = runs.groupBy(*keys, "island").agg(F.min(ts).alias("start"), F.max_by(F.coalesce("_next", F.col(ts)), ts).alias("end"), F.min_by(ts, F.struct(distance, ts)).alias("closest"), F.min(distance).alias("min_distance"), F.count(F.lit(1)).alias("samples"))
-    return out.drop("island")
+    return run_summary(_islands(df, keys, ts, d <= threshold if inclusive else d < threshold), keys, ts, distance).drop("island")
+
+
+def run_summary(numbered: DataFrame, keys: list[str], ts: str, distance: str) -> DataFrame:
+    """One row a run of what _islands gives, with its number."""
+    out = numbered.where("_in").groupBy(*keys, "island").agg(F.min(ts).alias("start"), F.max_by(F.coalesce("_next", F.col(ts)), ts).alias("end"), F.min_by(ts, F.struct(distance, ts)).alias("closest"), F.min(distance).alias("min_distance"), F.count(F.lit(1)).alias("samples"))
+    return out
 
 
 def local_minima(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

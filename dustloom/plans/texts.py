@@ -168,6 +168,13 @@ def round6(spark, sf_dir):
     return C.round6(e.select("vec_id", e["embedding"][0].cast("double").alias("a"), e["embedding"][1].cast("double").alias("b"), "label"))
 
 
+@query("f27_round_vector", "WITH v AS (SELECT unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT pos::INTEGER AS pos, count(*) AS n, round(min(round(x, 6)), 6) AS low, round(max(round(x, 6)), 6) AS high, round(sum(round(x, 6)), 3) AS total FROM v GROUP BY 1")
+def round_vector(spark, sf_dir):
+    """All components of all vectors."""
+    each = C.round6(table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x")))
+    return each.groupBy("pos").agg(count(), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"), F.round(F.sum("x"), 3).alias("total"))
+
+
 @query("f28_month_day_text", "SELECT strftime(o_orderdate, '%-d %B %Y') AS label, count(*) AS n FROM orders GROUP BY 1")
 def month_day_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(C.month_day_text(F.col("o_orderdate")).alias("label")).agg(count())

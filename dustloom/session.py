@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a new temporary one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset on a local master (tests, one machine) a new temporary one is set.
+
+    On a cluster it must be set: executors would each write to a disk of their own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-dustloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

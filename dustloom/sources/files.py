@@ -207,9 +207,14 @@ def read_profile_sheet(df: DataFrame, altitude: str) -> DataFrame:
     return numbers.unpivot(["altitude"], [f"`{c}`" for c in labels], "label", "value").select(*split_series_label(F.col("label")), "altitude", "value")
 
 
-def read_elements(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid records, the others with reasons)."""
-    return validate_records(records, element_rules())
+def read_elements(records: DataFrame, payload: str | None = None, object_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid records, the others with reasons). payload: the column that names a record's payload, which must hold just one."""
+    rules = element_rules(records.columns, object_id)
+    if payload is None:
+        return validate_records(records, rules)
+    counts = records.groupBy(payload).agg(F.count(F.lit(1)).alias("_records"))
+    good, bad = validate_records(records.join(counts, payload), {**rules, "one_record": F.col("_records") == 1})
+    return good.drop("_records"), bad.drop("_records")
 
 
 def read_embedded_json(pages: DataFrame, html: str = "html", element: str = "__NEXT_DATA__") -> DataFrame:

@@ -29,32 +29,40 @@ def file_lines(spark: SparkSession, paths: list[str], encoding: str | None = Non
     return files.select("path", F.posexplode(lines).alias("line_no", "line"))
 
 
+#: Up to so many files their headers and facts are broadcast; beyond, the joins on path shuffle.
+FEW_FILES = 20_000
+
+
 def read_pm_exports(lines: DataFrame) -> DataFrame:
     """lines: path, line_no, line. path, line_no, interval_start, interval_end, ts and the four sizes.
 
-    The header is a file's first line with both begin columns. Facts of a file (header, order of day and month,
-    AM or PM anywhere in a column) are small and joined back by path. Rows longer than the header are left out.
+    The header is a file's first line with both begin columns; only lines that hold both names are cut to find it, and
+    it becomes the places of the columns wanted. Facts of a file (header, order of day and month, AM or PM
+    anywhere in a column) are one row each and, when counted to be few, broadcast, so that lines stay where they were
+    read, however large a file is. Rows longer than the header are left out.
     """
-    cells = F.transform(F.split("line", "\t", -1), lambda c: F.trim(c))
-    low = F.transform(cells, lambda c: F.lower(F.regexp_replace(c, "^﻿", "")))
-    marked = lines.withColumns({"cells": cells, "low": low})
-    is_header = F.array_contains("low", "date beginning") & F.array_contains("low", "time beginning")
-    headers = marked.where(is_header).groupBy("path").agg(F.min_by(F.struct(F.col("line_no").alias("at"), "low"), "line_no").alias("h"))
-    rows = marked.join(headers, "path").where((F.col("line_no") > F.col("h.at")) & (F.size("cells") <= F.size("h.low")) & (F.trim("line") != ""))
-
-    def named(name: str) -> Column:
-        place = F.array_position("h.low", F.lit(name)).cast("int")
-        return F.when(place > 0, F.get("cells", place - 1))
-
-    kinds = F.transform("h.low", lambda c: pm_fraction(c))
-    size = lambda k: F.when(F.array_position(kinds, F.lit(k)) > 0, F.get("cells", F.array_position(kinds, F.lit(k)).cast("int") - 1))
-    rows = rows.select("path", "line_no", *(named(f"{a} {b}").alias(f"{a}_{b}") for a in ("date", "time") for b in ("beginning", "end")), *(parse_locale_number(size(k)).alias(c) for k, c in PM.items()))
-    parts = [F.regexp_extract("date_beginning", r"(\d{1,2})([./-])(\d{1,2})\2(\d{4})", i) for i in (1, 2, 3)]
-    first, second = parts[0].try_cast("int"), parts[2].try_cast("int")
-    verdict = F.when(parts[1] == ".", True).when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False)
-    half = lambda c: F.bool_or(F.coalesce(F.col(c).rlike(r"\d{1,2}:\d{2}:\d{2}\s*[APap][Mm]"), F.lit(False)))
+    low = F.lower("line")
+    may_be = lines.where(low.contains("date beginning") & low.contains("time beginning"))
+    names = F.transform(F.split(F.regexp_replace(low, "\ufeff", ""), "\t", -1), lambda c: F.trim(c))
+    headers = may_be.select("path", "line_no", names.alias("names")).where(F.array_contains("names", "date beginning") & F.array_contains("names", "time beginning"))
+    headers = headers.groupBy("path").agg(F.min_by(F.struct(F.col("line_no").alias("at"), "names"), "line_no").alias("h"))
+    kinds = F.transform("h.names", lambda c: pm_fraction(c))
+    at = lambda array, name: F.array_position(array, F.lit(name)).cast("int")
+    wanted = [f"{a}_{b}" for a in ("date", "time") for b in ("beginning", "end")]
+    places = {n: at(F.col("h.names"), n.replace("_", " ")) for n in wanted} | {c: at(kinds, k) for k, c in PM.items()}
+    headers = headers.select("path", F.col("h.at").alias("header_at"), F.size("h.names").alias("width"), *(F.coalesce(x, F.lit(0)).alias(f"at_{n}") for n, x in places.items()))
+    few = F.broadcast if headers.limit(FEW_FILES + 1).count() <= FEW_FILES else lambda df: df
+    cells = lines.select("path", "line_no", "line", F.split("line", "\t", -1).alias("cells")).join(few(headers), "path")
+    rows = cells.where((F.col("line_no") > F.col("header_at")) & (F.size("cells") <= F.col("width")) & (F.trim("line") != ""))
+    cell = lambda n: F.when(F.col(f"at_{n}") > 0, F.trim(F.get("cells", F.col(f"at_{n}") - 1)))
+    rows = rows.select("path", "line_no", *(cell(n).alias(n) for n in wanted), *(parse_locale_number(cell(c)).alias(c) for c in PM.values()))
+    # day.month.year or day/month/year, told by dots or by a number above twelve
+    parts = F.split(F.trim("date_beginning"), "[./-]")
+    first, second = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    verdict = F.when(F.size(parts) >= 3, F.when((F.length(F.col("date_beginning")) - F.length(F.replace("date_beginning", F.lit("."), F.lit(""))) >= 2), True).when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False))
+    half = lambda c: F.bool_or(F.coalesce(F.lower(c).rlike("[0-9] *[ap]m"), F.lit(False)))
     facts = rows.withColumn("v", verdict).groupBy("path").agg(F.coalesce(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("line_no"))), F.lit(False)).alias("day_first"), half("time_beginning").alias("half_a"), half("time_end").alias("half_b"))
-    rows = rows.join(facts, "path")
+    rows = rows.join(few(facts), "path")
     start = parse_export_timestamp(F.col("date_beginning"), F.col("time_beginning"), F.col("day_first"), F.col("half_a"))
     end = parse_export_timestamp(F.col("date_end"), F.col("time_end"), F.col("day_first"), F.col("half_b"))
     out = rows.withColumns({"interval_start": start, "interval_end": end})
@@ -117,13 +125,29 @@ def read_station_day_pages(pages: DataFrame, text: str = "text", date: str = "da
     The text is cut before each day.month. line first, so that an observation can't run into the next; a missing
     direction is 0 with wind_calm set.
     """
-    clean = F.regexp_replace(F.replace(F.col(text), F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    clean = F.regexp_replace(F.replace(F.col(text), F.lit("\u00a0"), F.lit(" ")), "[ \t]+", " ")
     records = pages.select(F.col(date).cast("date").alias("date"), F.posexplode(F.split(clean, r"(?=\b\d{2}\.\d{2}\.\s*\n\d{4}\s)")).alias("ordinal", "rec"))
-    n, num = r"(-?\d+(?:[.,]\d+)?)", lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
-    pattern = rf"(?s)^(\d{{2}})\.(\d{{2}})\.\s*\n(\d{{2}})\d{{2}}\s+{n}\s*[º°]C.*?\|(\d{{1,3}})%\|.*?(?:\((\d{{1,3}})\s*º\)|--)\s*{n}\s*м/с.*?\d{{3,4}}(?:[.,]\d+)?\s*/\s*(\d{{3,4}}(?:[.,]\d+)?)"
-    g = lambda i: F.regexp_extract("rec", pattern, i)
-    rows = records.where(F.col("rec").rlike(pattern) & (g(1).cast("int") == F.dayofmonth("date")) & (g(2).cast("int") == F.month("date")))
-    return rows.select("date", "ordinal", g(3).cast("int").alias("hour"), num(g(4)).alias("temp_c"), num(g(5)).alias("rh_percent"), num(g(8)).alias("pressure_hpa"), num(g(7)).alias("wind_speed_ms"), F.coalesce(g(6).try_cast("double"), F.lit(0.0)).alias("wind_dir_deg"), (g(6) == "").alias("wind_calm"))
+    number, num = "(-?[0-9]+(?:[.,][0-9]+)?)", lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    head, body = F.trim(F.substring_index("rec", "\n", 1)), F.ltrim(F.expr("substring(rec, instr(rec, '\n') + 1)"))
+    # what stands before and after the humidity, and after the wind
+    before, after = F.substring_index(body, "%|", 1), F.expr("substring(body, instr(body, '%|') + 2)")
+    air = F.expr("substring(after, instr(after, 'м/с') + 3)")
+    cut = records.where(head.rlike("^[0-9]{2}[.][0-9]{2}[.]$")).withColumns({"head": head, "body": body}).withColumns({"before": before, "after": after}).withColumn("air", air)
+    wind = F.replace(F.substring_index("after", "м/с", 1), F.lit("--"), F.lit(" "))
+    own = (F.substring("head", 1, 2).cast("int") == F.dayofmonth("date")) & (F.substring("head", 4, 2).cast("int") == F.month("date"))
+    found = cut.where(own & F.col("body").contains("%|") & F.col("after").contains("м/с")).select(
+        "date",
+        "ordinal",
+        F.substring("body", 1, 2).try_cast("int").alias("hour"),
+        num(F.regexp_extract("before", number + " ?[º°]C", 1)).alias("temp_c"),
+        num(F.substring_index("before", "|", -1)).alias("rh_percent"),
+        num(F.regexp_extract(F.get(F.split("air", "/"), F.lit(1)), "^ ?([0-9]{3,4}(?:[.,][0-9]+)?)", 1)).alias("pressure_hpa"),
+        num(F.regexp_extract(wind, number + " ?$", 1)).alias("wind_speed_ms"),
+        F.regexp_extract(wind, r"[(]([0-9]+) ?º", 1).try_cast("double").alias("direction"),
+        F.substring_index("after", "м/с", 1).contains("--").alias("calm"),
+    )
+    whole = found.dropna("any", subset=["hour", "temp_c", "rh_percent", "pressure_hpa", "wind_speed_ms"]).where(F.col("direction").isNotNull() | F.col("calm"))
+    return whole.select("date", "ordinal", "hour", "temp_c", "rh_percent", "pressure_hpa", "wind_speed_ms", F.coalesce("direction", F.lit(0.0)).alias("wind_dir_deg"), F.col("direction").isNull().alias("wind_calm"))
 
 
 def read_sounding_pages(pages: DataFrame, html: str = "html", stop: str = STOP_TEXT) -> DataFrame:
@@ -149,10 +173,24 @@ def read_grid_ascii(lines: DataFrame, keys: list[str], missing_as_zero: bool = F
     return cells.select(*keys, "block", F.get("ix", F.lit(0)).alias("t"), F.when(n == 3, F.col("ix")[1]).alias("l"), F.when(n >= 2, F.get("ix", n - 1)).alias("i"), "j", (F.coalesce(value, F.lit(0.0)) if missing_as_zero else value).alias("value"))
 
 
-def load_report(files: DataFrame, rows: DataFrame, path: str = "path") -> DataFrame:
-    """A row for each file: rows loaded and a status; a file without rows says why."""
+def load_report(files: DataFrame, rows: DataFrame, path: str = "path", errors: DataFrame | None = None) -> DataFrame:
+    """A row for each file: rows loaded and a status; a file without rows says why. errors: path, error of files that couldn't be read."""
     counts = rows.groupBy(path).agg(F.count(F.lit(1)).alias("rows"))
-    return files.select(path).distinct().join(counts, path, "left").select(path, F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows") > 0, "Loaded").otherwise("Skipped: no rows").alias("status"))
+    out, reason = files.select(path).distinct().join(counts, path, "left"), F.lit("no rows")
+    if errors is not None:
+        out = out.join(errors.groupBy(path).agg(F.min("error").alias("error")), path, "left")
+        reason = F.coalesce("error", reason)
+    status = F.when(F.col("rows") > 0, F.lit("Loaded")).otherwise(F.concat(F.lit("Skipped: "), reason))
+    return out.select(path, F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+
+
+def require_loaded(report: DataFrame) -> DataFrame:
+    """The report's skipped files; fails only if there are files and each of them was skipped."""
+    loaded = report.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("rows") > 0).alias("loaded")).first()
+    if loaded["files"] and not loaded["loaded"]:
+        reasons = [r["status"] for r in report.select("status").distinct().orderBy("status").limit(5).collect()]
+        raise ValueError(f"none of {loaded['files']} files could be loaded: {'; '.join(reasons)}")
+    return report.where(F.col("rows") == 0)
 
 
 def select_source_files(paths: DataFrame, product: str, path: str = "path") -> DataFrame:

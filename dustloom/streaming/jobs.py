@@ -16,16 +16,26 @@ def hourly_points(rows: DataFrame, hour, station: str, ts: str, value: str, hour
     return ticks_asof_rolling(recent, ticks, station, ts, value, k)
 
 
+#: Days before an hour whose rows its points can need.
+HISTORY_DAYS = 64
+
+
 def hourly_rolling_stream(rows: DataFrame, history: str, out: str, checkpoint: str, station: str, ts: str, value: str):
-    """Each batch is added to history; its newest hour's points replace those published."""
+    """Each batch is added to history; its newest hour's points replace those published.
 
-    def batch(df: DataFrame, _: int) -> None:
-        if df.isEmpty():
+    A batch has a folder of its own, so that one that is tried again replaces what it wrote. Of the history only the
+    days from the batch's newest are read to find the hour, and only the last HISTORY_DAYS for the points.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        newest = df.agg(F.max(ts)).first()[0]
+        if newest is None:
             return
-        df.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(history)
-        every = df.sparkSession.read.parquet(history)
-        hour = every.agg(F.date_trunc("hour", F.max(ts))).first()[0]
-        publish_latest(hourly_points(every, F.lit(hour), station, ts, value), out, "tick")
+        df.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch={number}")
+        every = df.sparkSession.read.parquet(history).drop("batch")
+        hour = every.where(F.col("day") >= F.lit(newest.date())).agg(F.date_trunc("hour", F.max(ts))).first()[0]
+        recent = every.where(F.col("day") >= F.date_sub(F.lit(hour.date()), HISTORY_DAYS)).drop("day")
+        publish_latest(hourly_points(recent, F.lit(hour), station, ts, value), out, "tick")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -36,9 +46,19 @@ def publication_hour(newest: Column, now: Column, minutes: int = 5) -> Column:
     return F.when(newest >= hour - F.expr(f"INTERVAL {minutes} MINUTES"), hour).otherwise(F.date_trunc("hour", newest))
 
 
-def settled_files(files: DataFrame, now: Column, seconds: int = 5) -> DataFrame:
-    """files: path, modificationTime, length of a binaryFile scan or a listing; those unchanged for some seconds."""
-    return files.where(F.col("modificationTime") <= now - F.expr(f"INTERVAL {seconds} SECONDS"))
+def settled_files(files: DataFrame, now: Column, seconds: int = 5, tried: DataFrame | None = None, retry_s: int = 60) -> DataFrame:
+    """files: path, modificationTime, length of a binaryFile scan or a listing; those unchanged for some seconds.
+
+    tried: path, modificationTime, length, tried_at, done of earlier reads. A version that was read is skipped, one whose
+    last reading failed is tried again after retry_s; a file that has changed since is a new version.
+    """
+    settled = files.where(F.col("modificationTime") <= now - F.expr(f"INTERVAL {seconds} SECONDS"))
+    if tried is None:
+        return settled
+    version = ["path", "modificationTime", "length"]
+    last = tried.groupBy(*version).agg(F.max("tried_at").alias("_at"), F.bool_or("done").alias("_done"))
+    waits = last.where(F.col("_done") | (F.col("_at") > now - F.expr(f"INTERVAL {retry_s} SECONDS")))
+    return settled.join(waits.select(*version), version, "left_anti")
 
 
 def dedup_messages(messages: DataFrame, ts: str = "timestamp", late: str = "1 hour") -> DataFrame:

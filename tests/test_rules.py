@@ -6,6 +6,7 @@ import re
 import struct
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from dustloom.functions import columns as C
@@ -235,3 +236,100 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
 def test_settled_files(spark):
     df = spark.createDataFrame([("a", dt.datetime(2020, 1, 1, 0, 0, 0)), ("b", dt.datetime(2020, 1, 1, 0, 0, 8))], "path string, modificationTime timestamp")
     assert [r["path"] for r in jobs.settled_files(df, F.lit("2020-01-01 00:00:10").cast("timestamp")).collect()] == ["a"]
+
+
+def test_settled_files_versions(spark):
+    at = lambda s: dt.datetime(2020, 1, 1, 0, 0, s)
+    files_ = spark.createDataFrame([(n, at(0), 5) for n in "abcd"], "path string, modificationTime timestamp, length long")
+    tried = spark.createDataFrame([("a", at(0), 5, at(9), True), ("b", at(0), 5, at(9), False), ("c", at(0), 4, at(9), True)], "path string, modificationTime timestamp, length long, tried_at timestamp, done boolean")
+    got = lambda now: [r["path"] for r in jobs.settled_files(files_, F.lit(now).cast("timestamp"), tried=tried).orderBy("path").collect()]
+    assert got("2020-01-01 00:00:20") == ["c", "d"]
+    assert got("2020-01-01 00:02:00") == ["b", "c", "d"]
+
+
+def test_load_report_reasons(spark):
+    paths = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    rows = spark.createDataFrame([("a",), ("a",)], "path string")
+    errors = spark.createDataFrame([("b", "no zip file")], "path string, error string")
+    report = text.load_report(paths, rows, errors=errors)
+    assert {r["path"]: (r["rows"], r["status"]) for r in report.collect()} == {"a": (2, "Loaded"), "b": (0, "Skipped: no zip file"), "c": (0, "Skipped: no rows")}
+    assert sorted(r["path"] for r in text.require_loaded(report).collect()) == ["b", "c"]
+    with pytest.raises(ValueError, match="no zip file"):
+        text.require_loaded(text.load_report(paths.where("path = 'b'"), rows, errors=errors))
+    assert text.require_loaded(text.load_report(paths.where("false"), rows)).count() == 0
+
+
+def test_element_records(spark):
+    numbers = {n: 0.5 for n in clean.ELEMENT_NUMBERS} | {"norad_cat_id": 7.0}
+    good = {"payload": "p", "object_name": "X", "object_id": "2024-101A", "epoch": "2024-05-01T00:00:00", "ephemeris_type": 0, **numbers}
+    rows = [good, {**good, "payload": "q", "object_id": "none"}, {**good, "payload": "r", "ephemeris_type": 2}, {**good, "payload": "s", "bstar": float("nan")}, {**good, "payload": "t", "rev_at_epoch": None}, {**good, "payload": "u"}, {**good, "payload": "u"}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'string' if k in ('payload', 'object_name', 'object_id', 'epoch') else 'int' if k == 'ephemeris_type' else 'double'}" for k in good))
+    ok, bad = files.read_elements(df, "payload")
+    assert [r["payload"] for r in ok.collect()] == ["p"] and ok.columns == df.columns
+    assert sorted((r["payload"], tuple(r["failed"])) for r in bad.collect()) == [("q", ("designator",)), ("r", ("type",)), ("s", ("finite",)), ("t", ("finite",)), ("u", ("one_record",)), ("u", ("one_record",))]
+    assert files.read_elements(df, object_id="2024-101B")[0].count() == 0
+
+
+def test_retrieval_workbooks_and_stitched_series(spark, tmp_path):
+    (tmp_path / "a.ssa.xlsx").write_bytes(workbook([["note"], ["Date(dd:mm:yyyy)", "Time(hh:mm:ss)", "SSA440", "other"], ["01:02:2020", "10:00:00", "0.91", "7"], ["02:02:2020", "11:00:00", "-999", "8"]]))
+    cells = files.read_workbook_cells(spark, [str(tmp_path / "*.xlsx")])
+    got = files.read_retrieval_workbooks(cells, ["SSA440"]).orderBy("row_no").collect()
+    assert [(r["row_no"], r["metric"], r["value"]) for r in got] == [(3, "SSA440", "0.91"), (4, "SSA440", "-999")]
+    assert files.read_retrieval_workbooks(cells.withColumn("sheet", F.lit("-999")), ["SSA440"]).count() == 0
+    (tmp_path / "s.json").write_text('{"data": [{"forecast_hour": 3, "source_day": "2023-07-19", "timestamp": "19-7-2023 - 3:00", "value": 0.25}, {"forecast_hour": 6, "source_day": "2023-07-19", "timestamp": "bad", "value": null}]}')
+    got = files.read_stitched_series(spark, str(tmp_path / "s.json")).orderBy("forecast_hour").collect()
+    assert [(r["forecast_hour"], str(r["source_day"]), r["ts"], r["value"]) for r in got] == [(3, "2023-07-19", dt.datetime(2023, 7, 19, 3), 0.25), (6, "2023-07-19", None, None)]
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    """Against numpy, with a coarse sketch too, on ties, null keys and groups of one row; no aggregate holds a group's values."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    groups = {"a": draw.normal(0, 1, 3000), "b": np.round(draw.exponential(1, 2000), 1), "c": np.array([4.0]), "d": np.array([1.0, 2.0]), None: draw.integers(0, 3, 500).astype(float), "e": np.full(50, 7.0)}
+    rows = [(k, float(x)) for k, own in groups.items() for x in own] + [("f", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    ps = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+    for accuracy in (10_000, 50):
+        monkeypatch.setattr(stats, "ACCURACY", accuracy)
+        out = stats.exact_quantiles(df, ["k"], ps)
+        got = {r["k"]: r["q"] for r in out.collect()}
+        assert set(got) == set(groups)
+        for k, own in groups.items():
+            assert np.allclose(got[k], np.quantile(own, ps)), (accuracy, k)
+    assert " percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_by_cells(spark):
+    """Every pair within the radius, near the poles and across 180 degrees, by brute force."""
+    import math
+    import random
+
+    draw = random.Random(4)
+    samples = [(i, draw.choice((-89.9, 89.5, 88.0, 70.0, 0.0, 45.0)) + draw.uniform(-1, 1) * 0.4, draw.uniform(-180, 180)) for i in range(1500)]
+    samples = [(i, max(-90.0, min(90.0, a)), o) for i, a, o in samples] + [(2000 + i, a, 179.9) for i, a in enumerate((0.0, 45.0, 70.0, 89.0))]
+    targets = [(j, a, o) for j, (a, o) in enumerate(((0.0, -179.9), (45.0, -179.8), (70.2, -179.5), (89.9, 10.0), (-90.0, 0.0), (88.0, 100.0), (45.0, 20.0), (0.1, 180.0)))]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for radius in (80.0, 700.0):
+        want = sorted((t, i) for t, a, o in targets for i, b, p in samples if km(a, o, b, p) <= radius)
+        s = spark.createDataFrame(samples, "object int, lat double, lon double")
+        t = spark.createDataFrame(targets, "target int, t_lat double, t_lon double")
+        assert sorted((r["target"], r["object"]) for r in joins.targets_x_samples(s, t, radius).collect()) == want and len(want) > 20
+
+
+def test_shared_dir_needs_a_shared_folder(monkeypatch):
+    from dustloom.session import shared_dir
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Fake:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Fake)
