@@ -114,7 +114,10 @@ class Trie:
         return total
 
     def spill(self) -> None:
-        """Writes the heaviest subtree below the first branching to a file, while too much is held."""
+        """Writes the heaviest subtree below the first branching to a file, while too much is held.
+
+        What can't be cut further, such as one text above the budget, doubles it, so that it isn't weighed at each insert.
+        """
         while self.held > self.most:
             node, prefix = self.root, b""
             live = [x for x in (node.kids or {}).values() if x.file is None]
@@ -122,12 +125,11 @@ class Trie:
                 node = live[0]
                 prefix += node.label
                 live = [x for x in node.kids.values() if x.file is None]
-            if not live:
+            kid = max(live, key=self.weight, default=None)
+            if kid is None or kid.kids is None:
+                self.most = 2 * self.held
                 return
-            kid = max(live, key=self.weight)
             freed = self.weight(kid)
-            if kid.kids is None:
-                return
             kid.file = tempfile.TemporaryFile(dir=self.folder)
             for key, value in self.terminals(kid, prefix):
                 pickle.dump((key, value), kid.file, pickle.HIGHEST_PROTOCOL)

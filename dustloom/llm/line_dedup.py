@@ -53,7 +53,15 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _kept() -> Column:
-    return F.filter("lines", lambda x, i: ~F.exists("covers", lambda c: i.between(c["first"], c["last"])))
+    """The lines before, between and behind the covers, which are in order: one slice each."""
+    n = F.size("covers")
+
+    def between(i: Column) -> Column:
+        begin = F.when(i > 0, F.get("covers", i - 1)["last"] + 1).otherwise(0)
+        end = F.when(i < n, F.get("covers", i)["first"]).otherwise(F.size("lines"))
+        return F.slice("lines", begin.cast("int") + 1, (end - begin).cast("int"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), between))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

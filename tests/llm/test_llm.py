@@ -150,6 +150,25 @@ def test_pieces_bound_what_is_kept(model, monkeypatch):
     assert pieces.base.held_bytes() <= 20_000
 
 
+def test_trie_of_one_large_text():
+    """A text above the budget can't be cut; the budget gives way instead of weighing the trie at each insert."""
+    entries = [(b"x" * 50_000, ((False, i, i), 1, [i])) for i in range(200)] + [(b"y%d" % i, ((False, 500 + i, 500 + i), 1, [500 + i])) for i in range(300)]
+    got = sorted((best[1], n) for best, n, _ in exact_dedup.owned(iter(entries), 1000))
+    assert got == sorted([(0, 200)] + [(500 + i, 1) for i in range(300)])
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from dustloom.llm import common
+
+    with common.removed_after(spark):
+        kept = common.scratch(spark.range(5).toDF("x"), "removed")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(path) and kept.count() == 5
+    assert not os.path.exists(path)
+
+
 def test_line_dedup(spark, docs, empty):
     seen, want = set(), {}
     for r in sorted((r for r in rows() if r[0] is not None), key=lambda r: r[0]):
