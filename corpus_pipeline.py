@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dustloom.llm.common import shared_dir, table
+from dustloom.llm.common import removed_after, shared_dir, table
 from dustloom.llm.exact_dedup import drop_exact_copies
 from dustloom.llm.mixing import mixed_rows
 from dustloom.llm.near_dedup import drop_near_copies
@@ -61,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/dustloom-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with removed_after(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs
