@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import great_circle_km
-from dustloom.operators.windows import _islands, local_minima, run_summary, suppress_close_events, track_segments
+from dustloom.operators.joins import targets_x_samples
+from dustloom.operators.windows import suppress_close_events, track_segments
 
 #: Fixed values of the ellipsoid, km.
 A_KM = 6378.137
@@ -61,14 +62,34 @@ def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees:
     return out.drop("_hit", "_along", "_size", "_length", *(f"_{k}{c}" for k in "mutrd" for c in "xyz"))
 
 
-def target_events(near: DataFrame, keys: list[str], ts: str, distance: str, radius: float, start, end) -> DataFrame:
-    """near: every sample's distance from a target. Minima within radius, apart by half an hour, with the run around each."""
-    numbered = _islands(near, keys, ts, F.col(distance) <= radius)
-    minima = local_minima(numbered, keys, ts, distance).where(F.col(distance) <= radius).drop("_in", "_new", "_next")
-    kept = suppress_close_events(minima, keys, ts)
-    # a minimum within radius lies in the run whose number it has
-    runs = run_summary(numbered, keys, ts, distance).select(*keys, "island", F.col("start").alias("entry"), F.col("end").alias("exit"))
-    met = kept.join(runs, [*keys, "island"]).drop("island")
+def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: float, start, end) -> DataFrame:
+    """Closest approaches within radius of each object to each target, apart by half an hour, that overlap start to end.
+
+    samples: object, ts, lat, lon and what else is to be kept of the closest sample, as its footprint. targets: target,
+    t_lat, t_lon. Entry and exit are interpolated between the samples on both sides of the radius; where a scan begins or
+    ends inside, they are its first or last sample. ongoing: entered before start.
+
+    Neighbours in time are taken before the join, so that windows over object and target hold samples within radius only.
+    """
+    w = Window.partitionBy("object").orderBy(ts)
+    beside = samples.withColumns({f"_{side}_{c}": f(c).over(w) for side, f in (("a", F.lag), ("b", F.lead)) for c in (ts, "lat", "lon")})
+    near = targets_x_samples(beside, targets, radius_km)
+    near = near.withColumns({f"_{s}": great_circle_km(F.col("t_lat"), F.col("t_lon"), F.col(f"_{s}_lat"), F.col(f"_{s}_lon")) for s in "ab"})
+    kind = samples.schema[ts].dataType
+    d = F.col("distance_km")
+
+    def crossing(side: str) -> Column:
+        other, outside = F.col(f"_{side}_{ts}"), F.col(f"_{side}")
+        apart = F.timestamp_diff("MICROSECOND", F.col(ts), other) * ((radius_km - d) / (outside - d))
+        return F.when(outside > radius_km, F.timestamp_add("MICROSECOND", F.round(apart).cast("long"), F.col(ts)).cast(kind)).when(outside.isNull(), F.col(ts))
+
+    keys = ["object", "target"]
+    runs = Window.partitionBy(*keys).orderBy(ts)
+    begins = (F.col("_a").isNull() | (F.col("_a") > radius_km)).cast("int")
+    numbered = near.withColumns({"_pass": F.sum(begins).over(runs), "entry": crossing("a"), "exit": crossing("b")})
+    spans = numbered.groupBy(*keys, "_pass").agg(F.min("entry").alias("entry"), F.max("exit").alias("exit"), F.count(F.lit(1)).alias("samples"))
+    minima = numbered.where((d <= F.col("_a")) & (d <= F.col("_b"))).select("target", *samples.columns, "distance_km", "_pass")
+    met = suppress_close_events(minima, keys, ts).join(spans, [*keys, "_pass"]).drop("_pass")
     return met.where((F.col("exit") > start) & (F.col("entry") < end)).withColumn("ongoing", F.col("entry") < start)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dustloom.functions.columns import season_order
+
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str], drop_null: bool = True) -> DataFrame:
     out = df.select(*ids, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(ids, metrics, "metric", "value")
@@ -62,3 +64,13 @@ def union_bases(individual: DataFrame, daily: DataFrame) -> DataFrame:
 
 def union_platforms(frames: dict[str, DataFrame]) -> DataFrame:
     return union_by_name([df.withColumn("platform", F.lit(name)) for name, df in frames.items()])
+
+
+def order_columns(kind: str) -> list[Column]:
+    """The fixed orders of output tables: records, grid, season, wavelength."""
+    wave = F.try_to_number(F.regexp_extract("wavelength", "[0-9]+", 0), F.lit("999999"))
+    return {"records": [F.col("date"), F.col("time"), F.col("site")], "grid": [F.col("date"), F.col("platform")], "season": [F.col("year"), season_order(F.col("season"))], "wavelength": [wave, F.col("wavelength")]}[kind]
+
+
+def ordered_output(df: DataFrame, kind: str) -> DataFrame:
+    return df.orderBy(*order_columns(kind))

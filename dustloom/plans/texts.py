@@ -53,6 +53,38 @@ def parse_date_multi(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(C.parse_date_multi(t).alias("date")).agg(count())
 
 
+def export_dates(spark, sf_dir):
+    """Events as lines of files, a user a file, that write dates with dots, with slashes day first, or month first."""
+    e = table(spark, sf_dir, "events")
+    date = choose(F.col("user_id"), [F.date_format("ts", "dd.MM.yyyy"), F.date_format("ts", "d/M/yyyy"), F.date_format("ts", "M/d/yyyy")])
+    return e.select("user_id", "event_id", "ts", date.alias("date")).withColumn("v", C.date_order_verdict(F.col("date")))
+
+
+@query("f04_detect_date_order", "SELECT user_id, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN bool_or(day(ts) > 12) ELSE false END AS day_first FROM events GROUP BY user_id")
+def detect_date_order(spark, sf_dir):
+    return export_dates(spark, sf_dir).groupBy("user_id").agg(C.detect_date_order(F.col("v"), F.col("event_id")).alias("day_first"))
+
+
+@query("f05_parse_export_timestamp", """WITH f AS (SELECT *, bool_or(day(ts) > 12) OVER (PARTITION BY user_id) AS tells, date_trunc('second', ts) AS s FROM events)
+SELECT CASE WHEN user_id % 3 = 1 AND NOT tells THEN make_timestamp(year(s), day(s), month(s), hour(s), minute(s), second(s)::DOUBLE) ELSE s END AS time, count(*) AS n FROM f GROUP BY 1""")
+def parse_export_timestamp(spark, sf_dir):
+    """Files of even users write 12 hours. Where no day first date tells, day and month change places."""
+    rows = export_dates(spark, sf_dir).withColumn("time", choose(F.col("user_id"), [F.date_format("ts", "h:mm:ss a"), F.date_format("ts", "H:mm:ss")]))
+    facts = rows.groupBy("user_id").agg(C.detect_date_order(F.col("v"), F.col("event_id")).alias("day_first"), F.bool_or(F.lower("time").rlike("[0-9] *[ap]m")).alias("half"))
+    got = C.parse_export_timestamp(F.col("date"), F.col("time"), F.col("day_first"), F.col("half"))
+    return rows.join(facts, "user_id").groupBy(got.alias("time")).agg(count())
+
+
+@query("f09_season", f"SELECT {SEASON.format('o_orderdate')} AS season, count(*) AS n FROM orders GROUP BY 1")
+def season(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(C.season(F.month("o_orderdate")).alias("season")).agg(count())
+
+
+@query("f10_season_year", "SELECT (year(o_orderdate) + (month(o_orderdate) = 12)::INTEGER)::INTEGER AS season_year, count(*) AS n FROM orders GROUP BY 1")
+def season_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(C.season_year(F.col("o_orderdate")).alias("season_year")).agg(count())
+
+
 @query("f06_parse_12h_timestamp", "SELECT date_trunc('second', ts) AS time, count(*) AS n FROM events GROUP BY 1")
 def parse_12h_timestamp(spark, sf_dir):
     got = C.parse_12h_timestamp(F.date_format("ts", "M/d/yyyy"), F.date_format("ts", "h:mm:ss a"))
@@ -308,7 +340,20 @@ def block_spacing_by_text(spark, sf_dir):
     return stats.block_spacing(windows.block_lengths(offsets, ["doc_id"]).where("length IS NOT NULL"), ["doc_id"])
 
 
-@query("s14_binary_blocks")
+#: Marks of each document with their byte offsets and the distance to the next.
+MARKS = """WITH p AS (SELECT doc_id, strlen(text) AS size, len(string_split(text, ' the ')) AS parts, unnest(string_split(text, ' the ')) AS part, unnest(range(1, len(string_split(text, ' the ')) + 1)) AS k FROM documents),
+o AS (SELECT doc_id, size, parts, k, (sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT + 5 * (k - 1) AS o FROM p),
+l AS (SELECT doc_id, size, k, o, lead(o) OVER (PARTITION BY doc_id ORDER BY k) - o AS length FROM o WHERE k < parts)"""
+
+
+@query("w02_block_lengths", MARKS + ' SELECT doc_id, k::INTEGER AS position, o AS "offset", length FROM l')
+def block_lengths(spark, sf_dir):
+    offsets = files.marker_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)
+    return windows.block_lengths(offsets, ["doc_id"]).select("doc_id", "position", "offset", "length")
+
+
+@query("s14_binary_blocks", MARKS + """, c AS (SELECT doc_id, length, count(*) AS n, min(k) AS seen FROM l WHERE length IS NOT NULL GROUP BY 1, 2), m AS (SELECT doc_id, length AS modal FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) = 1)
+SELECT doc_id, count(*) AS n, sum(coalesce(length, least(coalesce(modal, size - o), size - o)))::BIGINT AS bytes FROM l LEFT JOIN m USING (doc_id) GROUP BY 1""")
 def binary_blocks(spark, sf_dir):
     got = files.binary_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)
     return got.groupBy("doc_id").agg(count(), F.sum("length").alias("bytes"))
@@ -320,7 +365,7 @@ def decode_block_candidates(spark, sf_dir):
     return files.decode_block_candidates(blocks, "doc_id", "content", -1000.0, 1e6).groupBy("doc_id").agg(count())
 
 
-@query("r09_printable_strings")
+@query("r09_printable_strings", r"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e]{40,}')) AS t FROM documents) SELECT doc_id, count(*) AS n, max(length(t))::INTEGER AS longest FROM r GROUP BY 1")
 def printable_strings(spark, sf_dir):
     got = files.printable_strings(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
     return got.groupBy("doc_id").agg(count(), F.max(F.length("text")).alias("longest"))

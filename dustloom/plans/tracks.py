@@ -73,19 +73,29 @@ def track_segments(spark, sf_dir):
     return windows.track_segments(samples(spark, sf_dir), ["object"], "ts", "lon").groupBy("object", "segment").agg(count())
 
 
-@query("w09_suppress_close_events")
+#: Greedy by a chain: the first minimum of an object, then each time the next one half an hour or more later.
+MINIMA = TRACK + f""", d AS (SELECT *, round({DISTANCE}, 3) AS km FROM s), n AS (SELECT *, lag(km) OVER w AS a, lead(km) OVER w AS b FROM d WINDOW w AS (PARTITION BY object ORDER BY ts)), m AS MATERIALIZED (SELECT object, ts, event_id, km FROM n WHERE km <= a AND km <= b)"""
+
+
+@query("w09_suppress_close_events", MINIMA.replace("WITH", "WITH RECURSIVE", 1) + """, x AS MATERIALIZED (SELECT a.object, a.ts, b.ts AS later FROM (SELECT DISTINCT object, ts FROM m) a ASOF LEFT JOIN (SELECT DISTINCT object, ts FROM m) b ON a.object = b.object AND a.ts + INTERVAL 30 MINUTE <= b.ts),
+k AS (SELECT object, min(ts) AS ts FROM m GROUP BY 1 UNION ALL SELECT x.object, x.later FROM k JOIN x ON x.object = k.object AND x.ts = k.ts WHERE x.later IS NOT NULL)
+SELECT object, ts, event_id, km FROM m JOIN k USING (object, ts) QUALIFY row_number() OVER (PARTITION BY object, ts ORDER BY event_id, km) = 1""")
 def suppress_close_events(spark, sf_dir):
     minima = windows.local_minima(measured(spark, sf_dir), ["object"], "ts", "km").select("object", "ts", "event_id", "km")
     return windows.suppress_close_events(minima, ["object"], "ts")
 
 
+def suppliers(spark, sf_dir):
+    """Suppliers as targets, each at a place by its key."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("target"), (k * 37 % 160 - 80).cast("double").alias("t_lat"), (k * 91 % 360 - 180).cast("double").alias("t_lon"))
+
+
 @query("j08_targets_x_samples", TRACK + """, t AS (SELECT s_suppkey AS target, (s_suppkey * 37 % 160 - 80)::DOUBLE AS t_lat, (s_suppkey * 91 % 360 - 180)::DOUBLE AS t_lon FROM supplier),
 d AS (SELECT target, event_id, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(lat - t_lat) / 2), 2) + cos(radians(t_lat)) * cos(radians(lat)) * pow(sin(radians(lon - t_lon) / 2), 2)))) AS km FROM s, t)
 SELECT target, event_id, round(km, 3) AS km FROM d WHERE km <= 300""")
 def targets_x_samples(spark, sf_dir):
-    k = F.col("s_suppkey")
-    targets = table(spark, sf_dir, "supplier").select(k.alias("target"), (k * 37 % 160 - 80).cast("double").alias("t_lat"), (k * 91 % 360 - 180).cast("double").alias("t_lon"))
-    return joins.targets_x_samples(samples(spark, sf_dir), targets, 300.0).select("target", "event_id", F.round("distance_km", 3).alias("km"))
+    return joins.targets_x_samples(samples(spark, sf_dir), suppliers(spark, sf_dir), 300.0).select("target", "event_id", F.round("distance_km", 3).alias("km"))
 
 
 @query("j09_bilinear", """WITH g AS (SELECT vec_id, embedding AS e, (vec_id % 17) / 2.0::DOUBLE - 0.5 AS y, (vec_id % 13) / 2.0::DOUBLE AS x FROM embeddings),
@@ -104,16 +114,44 @@ def positions(spark, sf_dir):
     return samples(spark, sf_dir).withColumns({"x": r * F.cos(lat) * F.cos(lon), "y": r * F.cos(lat) * F.sin(lon), "z": r * F.sin(lat)})
 
 
-@query("g01_sample_footprints")
+#: The ray from 400 km above along three degrees behind the vertical, and the nearer of its two points on the ellipsoid.
+FOOTPRINT = """, u AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS ux, cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM s),
+m AS (SELECT *, 6771.0::DOUBLE * (lead(ux) OVER w - lag(ux) OVER w) AS mx, 6771.0::DOUBLE * (lead(uy) OVER w - lag(uy) OVER w) AS my, 6771.0::DOUBLE * (lead(uz) OVER w - lag(uz) OVER w) AS mz FROM u WINDOW w AS (PARTITION BY object ORDER BY ts)),
+t AS (SELECT *, mx - (mx * ux + my * uy + mz * uz) * ux AS tx, my - (mx * ux + my * uy + mz * uz) * uy AS ty, mz - (mx * ux + my * uy + mz * uz) * uz AS tz FROM m),
+r AS (SELECT *, -cos(radians(3)) * ux - sin(radians(3)) * tx / nullif(sqrt(tx * tx + ty * ty + tz * tz), 0) AS rx, -cos(radians(3)) * uy - sin(radians(3)) * ty / nullif(sqrt(tx * tx + ty * ty + tz * tz), 0) AS ry, -cos(radians(3)) * uz - sin(radians(3)) * tz / nullif(sqrt(tx * tx + ty * ty + tz * tz), 0) AS rz FROM t),
+e AS (SELECT *, 6378.137::DOUBLE ^ 2 AS aa, (6378.137::DOUBLE * (1 - 1 / 298.257223563::DOUBLE)) ^ 2 AS bb, 6771.0::DOUBLE * ux AS x, 6771.0::DOUBLE * uy AS y, 6771.0::DOUBLE * uz AS z FROM r),
+q AS (SELECT *, (rx * rx + ry * ry) / aa + rz * rz / bb AS qa, 2 * ((x * rx + y * ry) / aa + z * rz / bb) AS qb, (x * x + y * y) / aa + z * z / bb - 1 AS qc FROM e),
+p AS (SELECT *, (-qb - sqrt(CASE WHEN qb * qb - 4 * qa * qc >= 0 THEN qb * qb - 4 * qa * qc END)) / (2 * qa) AS far FROM q),
+h AS (SELECT *, x + far * rx AS hx, y + far * ry AS hy, z + far * rz AS hz FROM p),
+g AS (SELECT *, degrees(atan2(hz, sqrt(hx * hx + hy * hy) * bb / aa)) AS foot_lat, degrees(atan2(hy, hx)) AS foot_lon FROM h),
+f AS (SELECT *, CASE WHEN foot_lat IS NOT NULL THEN 2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(foot_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(foot_lat)) * pow(sin(radians(foot_lon - lon) / 2), 2)))) END AS offset_km FROM g)"""
+
+
+@query("g01_sample_footprints", TRACK + FOOTPRINT + " SELECT object, event_id, round(foot_lat, 4) AS foot_lat, round(foot_lon, 4) AS foot_lon, round(offset_km, 4) AS offset_km FROM f")
 def sample_footprints(spark, sf_dir):
     return rounded(geo.sample_footprints(positions(spark, sf_dir), ["object"], "ts").select("object", "event_id", "foot_lat", "foot_lon", "offset_km"))
 
 
-@query("g02_target_events")
+def great_circle_sql(lat, lon):
+    return f"CASE WHEN {lat} IS NOT NULL THEN 2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({lat} - t_lat) / 2), 2) + cos(radians(t_lat)) * cos(radians({lat})) * pow(sin(radians({lon} - t_lon) / 2), 2)))) END"
+
+
+@query("g02_target_events", TRACK.replace("WITH", "WITH RECURSIVE", 1) + FOOTPRINT + f""", o AS (SELECT s_suppkey AS target, (s_suppkey * 37 % 160 - 80)::DOUBLE AS t_lat, (s_suppkey * 91 % 360 - 180)::DOUBLE AS t_lon FROM supplier),
+v AS (SELECT object, ts, event_id, lat, lon, foot_lat, foot_lon, lag(ts) OVER w AS ts_a, lag(lat) OVER w AS lat_a, lag(lon) OVER w AS lon_a, lead(ts) OVER w AS ts_b, lead(lat) OVER w AS lat_b, lead(lon) OVER w AS lon_b FROM f WINDOW w AS (PARTITION BY object ORDER BY ts)),
+d AS (SELECT *, {great_circle_sql('lat', 'lon')} AS km, {great_circle_sql('lat_a', 'lon_a')} AS a, {great_circle_sql('lat_b', 'lon_b')} AS b FROM v, o),
+i AS (SELECT *, sum(CASE WHEN a IS NULL OR a > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY object, target ORDER BY ts) AS run FROM d WHERE km <= 1500),
+c AS (SELECT object, target, run, min(CASE WHEN a > 1500 THEN ts + to_microseconds(round((epoch_us(ts_a) - epoch_us(ts)) * ((1500 - km) / (a - km)))::BIGINT) WHEN a IS NULL THEN ts END) AS entry, max(CASE WHEN b > 1500 THEN ts + to_microseconds(round((epoch_us(ts_b) - epoch_us(ts)) * ((1500 - km) / (b - km)))::BIGINT) WHEN b IS NULL THEN ts END) AS "exit", count(*) AS samples FROM i GROUP BY 1, 2, 3),
+l AS MATERIALIZED (SELECT * FROM i WHERE km <= a AND km <= b),
+y AS MATERIALIZED (SELECT a.object, a.target, a.ts, b.ts AS later FROM (SELECT DISTINCT object, target, ts FROM l) a ASOF LEFT JOIN (SELECT DISTINCT object, target, ts FROM l) b ON a.object = b.object AND a.target = b.target AND a.ts + INTERVAL 30 MINUTE <= b.ts),
+k AS (SELECT object, target, min(ts) AS ts FROM l GROUP BY 1, 2 UNION ALL SELECT y.object, y.target, y.later FROM k JOIN y ON y.object = k.object AND y.target = k.target AND y.ts = k.ts WHERE y.later IS NOT NULL)
+SELECT object, target, event_id, round(km, 3) AS km, round(foot_lat, 4) AS foot_lat, round(foot_lon, 4) AS foot_lon, date_trunc('second', entry) AS entry, date_trunc('second', "exit") AS "exit", samples, entry < TIMESTAMP '2024-01-02' AS ongoing
+FROM (SELECT * FROM l JOIN k USING (object, target, ts) QUALIFY row_number() OVER (PARTITION BY object, target, ts ORDER BY event_id) = 1) JOIN c USING (object, target, run) WHERE "exit" > TIMESTAMP '2024-01-02' AND entry < TIMESTAMP '2024-01-30'""")
 def target_events(spark, sf_dir):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
-    near = measured(spark, sf_dir).select("object", "ts", "event_id", "km")
-    return geo.target_events(near, ["object"], "ts", "km", 3000.0, at("2024-01-02"), at("2024-01-30"))
+    feet = geo.sample_footprints(positions(spark, sf_dir), ["object"], "ts").select("object", "ts", "event_id", "lat", "lon", "foot_lat", "foot_lon")
+    got = geo.target_events(feet, suppliers(spark, sf_dir), "ts", 1500.0, at("2024-01-02"), at("2024-01-30"))
+    second = lambda c: F.date_trunc("second", c).cast("timestamp_ntz").alias(c)
+    return got.select("object", "target", "event_id", F.round("distance_km", 3).alias("km"), F.round("foot_lat", 4).alias("foot_lat"), F.round("foot_lon", 4).alias("foot_lon"), second("entry"), second("exit"), "samples", "ongoing")
 
 
 @query("g03_ground_track", TRACK + """, k AS (SELECT * FROM s WHERE abs(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-15')) <= 200000 * 60 AND (epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-15'))::BIGINT % 3 = 0),

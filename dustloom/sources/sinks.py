@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import is_number_like, round6
 
 
+#: Whole microseconds; the default formats cut times to milliseconds.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_csv(df: DataFrame, path: str, digits: int = 6, fixed: bool = False) -> None:
     """With a header; doubles rounded, or with fixed decimals."""
     doubles = [f.name for f in df.schema if f.dataType.typeName() == "double"]
     out = df.withColumns({c: F.format_string(f"%.{digits}f", F.col(c)) for c in doubles}) if fixed else round6(df, digits)
-    out.write.option("header", True).mode("overwrite").csv(path)
+    out.write.options(header=True, **TIMES).mode("overwrite").csv(path)
 
 
 def json_lines(df: DataFrame, pairs: str, raw: str, failed=None):
@@ -32,8 +37,9 @@ def write_jsonl(df: DataFrame, path: str, pairs: str, raw: str, failed=None) ->
 
 
 def write_partitioned_days(df: DataFrame, path: str, ts: str) -> None:
-    """A folder for each day; only the days of df are replaced."""
-    df.withColumn("day", F.to_date(ts)).write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+    """A folder for each day; only the days of df are replaced. Small days are one file; a large day is cut to several tasks."""
+    dealt = df.withColumn("day", F.to_date(ts)).hint("rebalance", "day")
+    dealt.write.partitionBy("day").options(**TIMES).option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
 
 
 def write_report_bundle(tables: dict[str, DataFrame], metadata: DataFrame, path: str) -> None:
@@ -42,10 +48,29 @@ def write_report_bundle(tables: dict[str, DataFrame], metadata: DataFrame, path:
 
 
 def write_events_csv(df: DataFrame, path: str, cols: list[str]) -> None:
-    df.select(*cols).write.option("header", True).option("quoteAll", True).mode("overwrite").csv(path)
+    df.select(*cols).write.options(header=True, quoteAll=True, **TIMES).mode("overwrite").csv(path)
+
+
+def published(spark: SparkSession, path: str) -> int:
+    """The number of the newest publication; 0 before the first."""
+    try:
+        return spark.read.schema("number long").parquet(f"{path}/published").agg(F.max("number")).first()[0] or 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
 def publish_latest(points: DataFrame, path: str, ts: str) -> None:
-    """Replaces the newest table and the archive's days that it holds."""
-    points.write.mode("overwrite").parquet(f"{path}/latest")
+    """Writes the newest table beside the one before, then adds its number to `published`, and replaces the archive's days.
+
+    Two places are written in turn, so that who began to read the last table still finds it whole while the next is written.
+    """
+    number = published(points.sparkSession, path) + 1
+    points.write.mode("overwrite").parquet(f"{path}/latest-{number % 2}")
     write_partitioned_days(points, f"{path}/archive", ts)
+    points.sparkSession.range(1).select(F.lit(number).cast("long").alias("number")).write.mode("append").parquet(f"{path}/published")
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/latest-{published(spark, path) % 2}")

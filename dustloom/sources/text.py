@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dustloom.functions.columns import is_number_like, parse_12h_timestamp, parse_export_timestamp, parse_locale_number, pm_fraction
+from dustloom.functions.columns import date_order_verdict, detect_date_order, is_number_like, parse_12h_timestamp, parse_export_timestamp, parse_locale_number, pm_fraction
 
 #: The 22 channels of a numeric weather line, in order.
 CHANNELS = ("R", "Seq", "Wifi", "Dn", "Dm", "Dx", "Sn", "Sm", "Sx", "Ta", "Ua", "Pa", "Rc", "Rd", "Ri", "Hc", "Hd", "Hi", "Th", "Vh", "Vs", "Vr")
@@ -56,12 +56,8 @@ def read_pm_exports(lines: DataFrame) -> DataFrame:
     rows = cells.where((F.col("line_no") > F.col("header_at")) & (F.size("cells") <= F.col("width")) & (F.trim("line") != ""))
     cell = lambda n: F.when(F.col(f"at_{n}") > 0, F.trim(F.get("cells", F.col(f"at_{n}") - 1)))
     rows = rows.select("path", "line_no", *(cell(n).alias(n) for n in wanted), *(parse_locale_number(cell(c)).alias(c) for c in PM.values()))
-    # day.month.year or day/month/year, told by dots or by a number above twelve
-    parts = F.split(F.trim("date_beginning"), "[./-]")
-    first, second = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
-    verdict = F.when(F.size(parts) >= 3, F.when((F.length(F.col("date_beginning")) - F.length(F.replace("date_beginning", F.lit("."), F.lit(""))) >= 2), True).when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False))
     half = lambda c: F.bool_or(F.coalesce(F.lower(c).rlike("[0-9] *[ap]m"), F.lit(False)))
-    facts = rows.withColumn("v", verdict).groupBy("path").agg(F.coalesce(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("line_no"))), F.lit(False)).alias("day_first"), half("time_beginning").alias("half_a"), half("time_end").alias("half_b"))
+    facts = rows.withColumn("v", date_order_verdict(F.col("date_beginning"))).groupBy("path").agg(detect_date_order(F.col("v"), F.col("line_no")).alias("day_first"), half("time_beginning").alias("half_a"), half("time_end").alias("half_b"))
     rows = rows.join(few(facts), "path")
     start = parse_export_timestamp(F.col("date_beginning"), F.col("time_beginning"), F.col("day_first"), F.col("half_a"))
     end = parse_export_timestamp(F.col("date_end"), F.col("time_end"), F.col("day_first"), F.col("half_b"))

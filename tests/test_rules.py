@@ -219,6 +219,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_report_bundle({"a": df}, df.select("v"), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b" / "metadata")).count() == 1
     sinks.write_events_csv(df, str(tmp_path / "e"), ["raw", "v"])
+    for v in (1.0, 2.0, 3.0):
+        sinks.publish_latest(df.select("ts", F.lit(v).alias("v")), str(tmp_path / "p"), "ts")
+        assert [r["v"] for r in sinks.read_latest(spark, str(tmp_path / "p")).collect()] == [v]
 
 
 def test_hourly_stream_equals_batch(spark, tmp_path):
@@ -229,7 +232,7 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     jobs.hourly_rolling_stream(rows, str(tmp_path / "h"), str(tmp_path / "o"), str(tmp_path / "c"), "user_id", "ts", "value").awaitTermination()
     hour = events.agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz")).first()[0]
     want = sorted(map(tuple, jobs.hourly_points(events, F.lit(hour).cast("timestamp_ntz"), "user_id", "ts", "value").select("user_id", "tick", F.round("mean", 8)).collect()))
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "o" / "latest")).select("user_id", "tick", F.round("mean", 8)).collect()))
+    got = sorted(map(tuple, sinks.read_latest(spark, str(tmp_path / "o")).select("user_id", "tick", F.round("mean", 8)).collect()))
     assert got == want and got
 
 
@@ -300,6 +303,35 @@ def test_exact_quantiles(spark, monkeypatch):
     assert " percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_target_events_by_brute_force(spark):
+    """A straight pass: entry and exit lie where the distance crosses the radius, the closest sample is the minimum."""
+    start = dt.datetime(2020, 1, 1)
+    track = [("o", start + dt.timedelta(minutes=k), float(k) - 10, 20.0, k) for k in range(21)]
+    df = spark.createDataFrame(track, "object string, ts timestamp_ntz, lat double, lon double, k int")
+    targets = spark.createDataFrame([("t", 0.2, 20.0), ("edge", 9.9, 20.0), ("far", 0.0, 60.0)], "target string, t_lat double, t_lon double")
+    at = lambda minutes: F.lit(start + dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+    degree, radius = 6371.0088 * 3.141592653589793 / 180, 500.0
+    got = geo.target_events(df, targets, "ts", radius, at(8), at(30)).collect()
+    assert [(r["target"], r["k"], r["ongoing"], r["samples"]) for r in got] == [("t", 10, True, 9)]
+    for name, lat in (("entry", 0.2 - radius / degree), ("exit", 0.2 + radius / degree)):
+        assert abs((got[0][name] - start).total_seconds() / 60 - (lat + 10)) < 1e-4
+    assert geo.target_events(df, targets, "ts", radius, at(20), at(30)).count() == 0
+
+
+def test_block_candidates_by_brute_force(spark):
+    import struct
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    blocks = docs.select("doc_id", F.lit(1).alias("position"), F.col("text").cast("binary").alias("content"))
+    got = {r["doc_id"]: r["n"] for r in files.decode_block_candidates(blocks, "doc_id", "content", -1000.0, 1e6).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    want = {}
+    for doc_id, text_ in docs.collect():
+        raw = (text_ or "").encode()
+        n = sum(-1000 <= struct.unpack_from(">d", raw, i)[0] <= 1e6 for i in range(len(raw) - 7))
+        want.update({doc_id: n} if n else {})
+    assert got == want
+
+
 def test_targets_by_cells(spark):
     """Every pair within the radius, near the poles and across 180 degrees, by brute force."""
     import math
