@@ -433,6 +433,35 @@ def test_vector_search(spark):
             scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y)))), i) for i, y in ok if i != q)[:5]
             assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == scores
     assert vector_search.top_k(vector_search.build_index(df.where("false")), df, 5).count() == 0
+    assert vector_search.top_k(vector_search.build_index(df), df.where("false"), 5).count() == 0
+    assert vector_search.top_k(vector_search.build_index(df.where("vec_id = 103")), df.where("vec_id = 104"), 5).collect()[0]["score"] == 0
+
+
+def test_vector_search_tiles(spark, monkeypatch):
+    """Whatever the tiles are, the k best of all rows come back."""
+    draw = np.random.default_rng(7)
+    x = draw.normal(0, 1, (600, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    exact = np.floor(256 * x).astype(np.int64)
+    index, asked = vector_search.build_index(df, block_rows=50), df.where("vec_id % 3 = 0")
+    assert index.select("n").distinct().count() == 12
+    scores = exact @ exact.T
+    want = sorted((q, i + 1, int(v), int(scores[q, v])) for q in range(0, 600, 3) for i, v in enumerate([v for v in np.lexsort((np.arange(600), -scores[q])) if v != q][:4]))
+    for tile in ((64, 96 << 20), (5, 96 << 20), (64, 1)):
+        monkeypatch.setattr(vector_search, "TILE_BLOCKS", tile[0])
+        monkeypatch.setattr(vector_search, "TILE_BYTES", tile[1])
+        assert sorted(map(tuple, vector_search.top_k(index, asked, 4, block_queries=30).collect())) == want
+
+
+def test_vector_blocks_round_trip():
+    draw = np.random.default_rng(3)
+    for x in (draw.integers(-300, 300, (37, 5)), draw.integers(-(1 << 20), 1 << 20, (8, 3)), np.zeros((4, 0), np.int64), np.array([[10**40, -1]], dtype=object)):
+        row = vector_search.write_block(list(range(len(x))), x, slices=True)
+        ids, back, cut, slices = vector_search.read_block(row)
+        assert ids.tolist() == list(range(len(x))) and back.tolist() == x.tolist()
+        assert slices is None or (cut, slices) == vector_search.slice_block(x)
+    with pytest.raises(ValueError):
+        vector_search.read_block({**row, "version": 2})
 
 
 def test_bit_sliced_sums():
