@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dustloom.functions.columns import great_circle_km
 from dustloom.operators.joins import targets_x_samples
-from dustloom.operators.windows import suppress_close_events, track_segments
+from dustloom.operators.windows import _by_days, beside, suppress_close_events, track_segments
 
 #: Fixed values of the ellipsoid, km.
 A_KM = 6378.137
@@ -40,9 +40,9 @@ def geodetic_latitude(x: Column, y: Column, z: Column) -> Column:
 
 def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees: float = 3.0) -> DataFrame:
     """samples: lat, lon of the point below and earth-fixed x, y, z. The motion comes from the neighbours in time."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    motion = [F.lead(c).over(w) - F.lag(c).over(w) for c in ("x", "y", "z")]
-    df = samples.withColumns({f"_m{c}": m for c, m in zip("xyz", motion, strict=True)})
+    near = beside(_by_days(samples, ts), keys, ts, ["x", "y", "z"]).drop("_us", "_day")
+    motion = [F.col(f"_b.{c}") - F.col(f"_a.{c}") for c in ("x", "y", "z")]
+    df = near.withColumns({f"_m{c}": m for c, m in zip("xyz", motion, strict=True)})
     lat, lon = F.radians("lat"), F.radians("lon")
     df = df.withColumns({"_ux": F.cos(lat) * F.cos(lon), "_uy": F.cos(lat) * F.sin(lon), "_uz": F.sin(lat)})
     column = lambda kind: [F.col(f"_{kind}{c}") for c in "xyz"]
@@ -59,7 +59,7 @@ def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees:
     hit = [F.col(f"_hit.{c}") for c in "xyz"]
     df = df.withColumns({"foot_lat": geodetic_latitude(*hit), "foot_lon": F.degrees(F.atan2(hit[1], hit[0]))})
     out = df.withColumn("offset_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("foot_lat"), F.col("foot_lon")))
-    return out.drop("_hit", "_along", "_size", "_length", *(f"_{k}{c}" for k in "mutrd" for c in "xyz"))
+    return out.drop("_a", "_b", "_hit", "_along", "_size", "_length", *(f"_{k}{c}" for k in "mutrd" for c in "xyz"))
 
 
 def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: float, start, end) -> DataFrame:
@@ -71,9 +71,9 @@ def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: fl
 
     Neighbours in time are taken before the join, so that windows over object and target hold samples within radius only.
     """
-    w = Window.partitionBy("object").orderBy(ts)
-    beside = samples.withColumns({f"_{side}_{c}": f(c).over(w) for side, f in (("a", F.lag), ("b", F.lead)) for c in (ts, "lat", "lon")})
-    near = targets_x_samples(beside, targets, radius_km)
+    both = beside(_by_days(samples, ts), ["object"], ts, [ts, "lat", "lon"]).drop("_us", "_day")
+    both = both.withColumns({f"_{side}_{c}": F.col(f"_{side}").getField(c) for side in "ab" for c in (ts, "lat", "lon")}).drop("_a", "_b")
+    near = targets_x_samples(both, targets, radius_km)
     near = near.withColumns({f"_{s}": great_circle_km(F.col("t_lat"), F.col("t_lon"), F.col(f"_{s}_lat"), F.col(f"_{s}_lon")) for s in "ab"})
     kind = samples.schema[ts].dataType
     d = F.col("distance_km")

@@ -12,12 +12,50 @@ def block_lengths(offsets: DataFrame, keys: list[str], offset: str = "offset") -
     return offsets.withColumn("length", F.lead(offset).over(w) - F.col(offset)).withColumn("position", F.row_number().over(w))
 
 
-def _islands(df: DataFrame, keys: list[str], order: str, inside: Column) -> DataFrame:
-    """inside rows numbered by their run."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    starts = marked.withColumn("_new", (F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))).cast("int"))
-    return starts.withColumns({"island": F.sum("_new").over(w), "_next": F.lead(order).over(w)})
+def _by_days(df: DataFrame, ts: str) -> DataFrame:
+    """df with _us, its time in microseconds, and _day. Rows without time go."""
+    kind = df.schema[ts].dataType
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(ts)) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.where(F.col(ts).isNotNull()).withColumn("_us", us).withColumn("_day", F.floor(F.col("_us") / 86_400_000_000))
+
+
+def _with_days(df: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with days, one row a key and day; null keys are keys too."""
+    given = days.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), *(c for c in days.columns if c not in (*keys, "_day")))
+    same = F.col("_day") == F.col("_d")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(given, same).drop("_d", *(f"_k{i}" for i in range(len(keys))))
+
+
+def beside(df: DataFrame, keys: list[str], ts: str, cols: list[str]) -> DataFrame:
+    """df (of _by_days) with _a and _b, structs of cols of the rows before and after in time, NULL at a key's ends.
+
+    Rows are sorted by key and day. The rows next to a day come from a table of one row a key and day, whose
+    windows are the only ones over whole keys.
+    """
+    picked, over_days = F.struct(*cols), Window.partitionBy(*keys).orderBy("_day")
+    days = df.groupBy(*keys, "_day").agg(F.min_by(picked, "_us").alias("_first"), F.max_by(picked, "_us").alias("_last"))
+    days = days.select(*keys, "_day", F.lag("_last").over(over_days).alias("_halo_a"), F.lead("_first").over(over_days).alias("_halo_b"))
+    w = Window.partitionBy(*keys, "_day").orderBy("_us")
+    met = _with_days(df, days, keys).withColumn("_picked", picked)
+    return met.withColumns({"_a": F.coalesce(F.lag("_picked").over(w), "_halo_a"), "_b": F.coalesce(F.lead("_picked").over(w), "_halo_b")}).drop("_picked", "_halo_a", "_halo_b")
+
+
+def running_count(df: DataFrame, keys: list[str], flag: str, out: str) -> DataFrame:
+    """df (of _by_days) with out, how often flag was set up to each row in time: a sum within the day and that of the days before."""
+    days = df.groupBy(*keys, "_day").agg(F.sum(F.col(flag).cast("long")).alias("_set"))
+    earlier = F.coalesce(F.sum("_set").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = _with_days(df, days.select(*keys, "_day", earlier.alias("_earlier")), keys)
+    w = Window.partitionBy(*keys, "_day").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    return met.withColumn(out, F.sum(F.col(flag).cast("long")).over(w) + F.col("_earlier")).drop("_earlier")
+
+
+def _islands(df: DataFrame, keys: list[str], order: str, inside: Column, cols: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with _in, the number of its run, the next row's time, and in _a and _b cols of its neighbours."""
+    marked = beside(_by_days(df.withColumn("_in", F.coalesce(inside, F.lit(False))), order), keys, order, ["_in", order, *cols])
+    starts = marked.withColumn("_new", F.col("_in") & ~F.coalesce(F.col("_a._in"), F.lit(False))).withColumn("_next", F.col("_b").getField(order))
+    return running_count(starts, keys, "_new", "island").drop("_us", "_day", "_new")
 
 
 def proximity_intervals(df: DataFrame, keys: list[str], ts: str, distance: str, threshold: float, inclusive: bool = False) -> DataFrame:
@@ -34,29 +72,28 @@ def run_summary(numbered: DataFrame, keys: list[str], ts: str, distance: str) ->
 
 def local_minima(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Samples no higher than both neighbours; ends have one neighbour and aren't minima."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)})
-    return marked.where((F.col(value) <= F.col("_a")) & (F.col(value) <= F.col("_b"))).drop("_a", "_b")
+    marked = beside(_by_days(df, order), keys, order, [value])
+    before, after = (F.col(side).getField(value) for side in ("_a", "_b"))
+    return marked.where((F.col(value) <= before) & (F.col(value) <= after)).select(*df.columns)
 
 
 def passes(df: DataFrame, keys: list[str], ts: str, elevation: str, threshold: float) -> DataFrame:
     """Rise and set by linear interpolation between samples, and the peak, of each run above threshold."""
-    w = Window.partitionBy(*keys).orderBy(ts)
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    marked = df.withColumn("_s", seconds).withColumns({"_ps": F.lag("_s").over(w), "_pe": F.lag(elevation).over(w), "_ns": F.lead("_s").over(w), "_ne": F.lead(elevation).over(w)})
-    runs = _islands(marked, keys, ts, F.col(elevation) > threshold).where("_in")
+    runs = _islands(df.withColumn("_s", seconds), keys, ts, F.col(elevation) > threshold, ("_s", elevation)).where("_in")
     e, s = F.col(elevation), F.col("_s")
-    rise = F.when(F.col("_pe") <= threshold, F.col("_ps") + (s - F.col("_ps")) * (threshold - F.col("_pe")) / (e - F.col("_pe")))
-    fall = F.when(F.col("_ne") <= threshold, s + (F.col("_ns") - s) * (e - threshold) / (e - F.col("_ne")))
+    pe, ps, ne, ns = (F.col(side).getField(c) for side in ("_a", "_b") for c in (elevation, "_s"))
+    rise = F.when(pe <= threshold, ps + (s - ps) * (threshold - pe) / (e - pe))
+    fall = F.when(ne <= threshold, s + (ns - s) * (e - threshold) / (e - ne))
     return runs.groupBy(*keys, "island").agg(F.min_by(rise, ts).alias("rise"), F.max_by(fall, ts).alias("set"), F.max(elevation).alias("peak"), F.max_by("_s", F.struct(elevation, -s)).alias("peak_at")).drop("island")
 
 
 def track_segments(df: DataFrame, keys: list[str], ts: str, lon: str) -> DataFrame:
     """A jump of over 180 degrees begins a segment; segments of one point go."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    jump = F.coalesce((F.abs(F.col(lon) - F.lag(lon).over(w)) > 180).cast("int"), F.lit(0))
-    cut = df.withColumn("_jump", jump).withColumn("segment", F.sum("_jump").over(w))
-    return cut.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "segment"))).where("_n > 1").drop("_jump", "_n")
+    marked = beside(_by_days(df, ts), keys, ts, [lon])
+    jump = F.coalesce(F.abs(F.col(lon) - F.col("_a").getField(lon)) > 180, F.lit(False))
+    cut = running_count(marked.withColumn("_jump", jump), keys, "_jump", "segment").select(*df.columns, "segment")
+    return cut.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "segment"))).where("_n > 1").drop("_n")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -74,24 +111,18 @@ def _cut_at_gaps(df: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFr
 
     Rows are sorted by key and day; what a day needs of earlier ones comes from a table of one row a key and day.
     """
-    kind = df.schema[ts].dataType
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(ts)) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(F.col(ts).cast("timestamp"))
-    df = df.where(F.col(ts).isNotNull()).withColumn("_us", us).withColumn("_day", F.floor(F.col("_us") / 86_400_000_000))
+    df = _by_days(df, ts)
     days = df.groupBy(*keys, "_day").agg(F.max("_us").alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_day")
-    days = days.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), F.lag("_last").over(w).alias("_halo"))
-    same = F.col("_day") == F.col("_d")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     by_day = Window.partitionBy(*keys, "_day").orderBy("_us")
-    met = df.join(days, same).drop("_d", *(f"_k{i}" for i in range(len(keys))))
+    met = _with_days(df, days.select(*keys, "_day", F.lag("_last").over(w).alias("_halo")), keys)
     met = met.withColumn("_before", F.coalesce(F.lag("_us").over(by_day), "_halo"))
     met = met.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= gap_us), F.col("_us")))
     met = met.withColumn("_run", F.max("_start").over(by_day))
     # a run that goes on over midnight began on the last earlier day that has a start
     carried = met.groupBy(*keys, "_day").agg(F.max("_start").alias("_started"))
-    carried = carried.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), F.max("_started").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    out = met.join(carried, same).withColumn("_run", F.coalesce("_run", "_carried"))
+    carried = carried.select(*keys, "_day", F.max("_started").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    out = _with_days(met, carried, keys).withColumn("_run", F.coalesce("_run", "_carried"))
     return out.select(*df.columns, "_run").drop("_day")
 
 

@@ -318,6 +318,24 @@ def test_target_events_by_brute_force(spark):
     assert geo.target_events(df, targets, "ts", radius, at(20), at(30)).count() == 0
 
 
+def test_days_with_halo_equal_whole_keys(spark):
+    """Neighbours and runs over midnight, over days without rows and for a null key are those of the whole key in time."""
+    import random
+
+    draw = random.Random(5)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=m), draw.randint(0, 9)) for k in ("a", "b", None) for m in draw.sample(range(0, 9 * 1440, 7), 60)]
+    df = spark.createDataFrame([*rows, ("a", None, 1)], "k string, ts timestamp_ntz, v int")
+    want = []
+    for key in ("a", "b", None):
+        own, n = sorted(r[1:] for r in rows if r[0] == key), 0
+        for i, (at, v) in enumerate(own):
+            n += v > 3 and not (i and own[i - 1][1] > 3)
+            want.append((str(key), at, own[i - 1][1] if i else None, own[i + 1][1] if i + 1 < len(own) else None, own[i + 1][0] if i + 1 < len(own) else None, n))
+    got = windows._islands(df, ["k"], "ts", F.col("v") > 3, ("v",)).select(F.coalesce("k", F.lit("None")), "ts", "_a.v", "_b.v", "_next", "island").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
 def test_block_candidates_by_brute_force(spark):
     import struct
 
