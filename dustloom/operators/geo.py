@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dustloom.functions.columns import great_circle_km
 from dustloom.operators.joins import targets_x_samples
 from dustloom.operators.windows import _by_days, beside, suppress_close_events, track_segments
+from dustloom.session import written
 
 #: Fixed values of the ellipsoid, km.
 A_KM = 6378.137
@@ -86,9 +87,11 @@ def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: fl
     keys = ["object", "target"]
     runs = Window.partitionBy(*keys).orderBy(ts)
     begins = (F.col("_a").isNull() | (F.col("_a") > radius_km)).cast("int")
-    numbered = near.withColumns({"_pass": F.sum(begins).over(runs), "entry": crossing("a"), "exit": crossing("b")})
+    lowest = (d <= F.col("_a")) & (d <= F.col("_b"))
+    numbered = near.select("target", *samples.columns, "distance_km", F.sum(begins).over(runs).alias("_pass"), crossing("a").alias("entry"), crossing("b").alias("exit"), lowest.alias("_lowest"))
+    numbered = written(numbered, "near")
     spans = numbered.groupBy(*keys, "_pass").agg(F.min("entry").alias("entry"), F.max("exit").alias("exit"), F.count(F.lit(1)).alias("samples"))
-    minima = numbered.where((d <= F.col("_a")) & (d <= F.col("_b"))).select("target", *samples.columns, "distance_km", "_pass")
+    minima = numbered.where("_lowest").select("target", *samples.columns, "distance_km", "_pass")
     met = suppress_close_events(minima, keys, ts).join(spans, [*keys, "_pass"]).drop("_pass")
     return met.where((F.col("exit") > start) & (F.col("entry") < end)).withColumn("ongoing", F.col("entry") < start)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is used more than once."""
+    path = f"{shared_dir(df.sparkSession)}/dustloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is used from a checkout and not installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
