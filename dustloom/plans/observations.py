@@ -378,10 +378,10 @@ def union_by_name(spark, sf_dir):
     return reshape.union_by_name([c, s]).agg(F.count(F.lit(1)).alias("n"), F.count("c_acctbal").alias("n_customer"), F.count("s_acctbal").alias("n_supplier"))
 
 
-@query("u01_union_sources", "WITH a AS (SELECT c_nationkey AS path, 'customer' AS origin FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1), b AS (SELECT s_nationkey AS path, 'supplier' AS origin FROM supplier GROUP BY 1) SELECT path, origin, source_order::INTEGER AS source_order FROM (SELECT *, 0 AS source_order FROM a UNION ALL SELECT *, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY path ORDER BY source_order) = 1")
+@query("u01_union_sources", "WITH a AS (SELECT DISTINCT o_orderdate AS path, 'orders' AS origin FROM orders), b AS (SELECT DISTINCT l_shipdate AS path, 'lineitem' AS origin FROM lineitem) SELECT path, origin, source_order::INTEGER AS source_order FROM (SELECT *, 0 AS source_order FROM a UNION ALL SELECT *, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY path ORDER BY source_order) = 1")
 def union_sources(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("path"), F.lit("customer").alias("origin")).distinct()
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("path"), F.lit("supplier").alias("origin")).distinct()
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("path"), F.lit("orders").alias("origin")).distinct()
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("path"), F.lit("lineitem").alias("origin")).distinct()
     return reshape.union_sources(a, b)
 
 

@@ -292,16 +292,21 @@ def read_station_day_pages(spark, sf_dir):
     return got.groupBy("date", "hour").agg(F.max_by("temp_c", "ordinal").alias("temp_c"), count())
 
 
-@query("s10_read_sounding_pages", "WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text NOT LIKE '%<%'), p AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: contains(x, ' the ')), true) AS k FROM d) SELECT doc_id, k::INTEGER AS n_lines FROM p WHERE k > 0")
+#: Lines of each text up to the first with the stop text, tags removed.
+SOUNDINGS = r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), p AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: contains(x, ' the ')), true) AS k FROM d) SELECT doc_id, k::INTEGER AS n_lines FROM p WHERE k > 0"""
+
+
+@query("s10_read_sounding_pages", SOUNDINGS)
 def read_sounding_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<"))).select("doc_id", F.col("text").alias("html"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html"))
     return text.read_sounding_pages(pages, stop=" the ").select("doc_id", F.size("lines").alias("n_lines"))
 
 
-@query("s10_read_tagged_pages")
+@query("s10_read_tagged_pages", SOUNDINGS)
 def read_tagged_pages(spark, sf_dir):
-    """S10 over all documents, also those with tags, which the SQL of s10_read_sounding_pages leaves out."""
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html"))
+    """The same texts with tags put in, which reading takes out again."""
+    tagged = F.concat(F.lit('<html><pre class="sounding">'), F.replace("text", F.lit(" the "), F.lit(" <b>the</b> ")), F.lit("</pre></html>"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", tagged.alias("html"))
     return text.read_sounding_pages(pages, stop=" the ").select("doc_id", F.size("lines").alias("n_lines"))
 
 
@@ -324,28 +329,26 @@ def read_point_forecast(spark, sf_dir):
 MARK = b" the "
 
 
-@query("a20_block_spacing", r"""WITH d AS (SELECT doc_id, encode(text) AS b, text FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')), o AS (SELECT doc_id, unnest(list_positions) AS o FROM (SELECT doc_id, list_transform(range(1, len(string_split(text, ' the '))), lambda k: (len(array_to_string(string_split(text, ' the ')[1:k], ' the ')))::BIGINT) AS list_positions FROM d)),
-l AS (SELECT doc_id, lead(o) OVER (PARTITION BY doc_id ORDER BY o) - o AS length FROM o) SELECT length, count(*) AS n FROM l WHERE length IS NOT NULL GROUP BY 1 ORDER BY n DESC, length LIMIT 50""")
+#: Marks of each document with their byte offsets and the distance to the next.
+MARKS = """WITH p AS (SELECT doc_id, strlen(text) AS size, len(string_split(text, ' the ')) AS parts, unnest(string_split(text, ' the ')) AS part, unnest(range(1, len(string_split(text, ' the ')) + 1)) AS k FROM documents),
+o AS (SELECT doc_id, size, parts, k, (sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT + 5 * (k - 1) AS o FROM p),
+l AS (SELECT doc_id, size, k, o, lead(o) OVER (PARTITION BY doc_id ORDER BY k) - o AS length FROM o WHERE k < parts)"""
+
+
+@query("a20_block_spacing", MARKS + " SELECT length, count(*) AS n FROM l WHERE length IS NOT NULL GROUP BY 1")
 def block_spacing(spark, sf_dir):
-    """The 50 most frequent distances between marks, of ASCII texts."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text")).select("doc_id", "text")
-    lengths = windows.block_lengths(files.marker_offsets(d, "doc_id", "text", MARK), ["doc_id"]).where("length IS NOT NULL")
-    return windows.top_n(lengths.groupBy("length").agg(count()), [F.desc("n"), F.col("length")], 50)
+    """How often each distance between marks, in bytes, occurs over all documents."""
+    lengths = windows.block_lengths(files.marker_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", MARK), ["doc_id"]).where("length IS NOT NULL")
+    return lengths.groupBy("length").agg(count())
 
 
-@query("a20_block_spacing_by_text")
+@query("a20_block_spacing_by_text", MARKS + ", c AS (SELECT doc_id, length, count(*) AS n, min(k) AS seen FROM l WHERE length IS NOT NULL GROUP BY 1, 2) SELECT doc_id, length, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) = 1 AS modal FROM c")
 def block_spacing_by_text(spark, sf_dir):
-    """A20 of each document in any script, all lengths in bytes with the modal one; the SQL of a20_block_spacing has ASCII texts and 50 lengths."""
+    """A20 of each document, with the modal length."""
     offsets = files.marker_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)
     return stats.block_spacing(windows.block_lengths(offsets, ["doc_id"]).where("length IS NOT NULL"), ["doc_id"])
 
 
-#: Marks of each document with their byte offsets and the distance to the next.
-MARKS = """WITH p AS (SELECT doc_id, strlen(text) AS size, len(string_split(text, ' the ')) AS parts, unnest(string_split(text, ' the ')) AS part, unnest(range(1, len(string_split(text, ' the ')) + 1)) AS k FROM documents),
-o AS (SELECT doc_id, size, parts, k, (sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT + 5 * (k - 1) AS o FROM p),
-l AS (SELECT doc_id, size, k, o, lead(o) OVER (PARTITION BY doc_id ORDER BY k) - o AS length FROM o WHERE k < parts)"""
-
-
 @query("w02_block_lengths", MARKS + ' SELECT doc_id, k::INTEGER AS position, o AS "offset", length FROM l')
 def block_lengths(spark, sf_dir):
     offsets = files.marker_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", MARK)

@@ -189,12 +189,12 @@ def telemetry_windows(spark, sf_dir):
     return rounded(got.withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
-@query("st07_telemetry_stream")
+@query("st07_telemetry_stream", "SELECT user_id AS device_id, time_bucket(INTERVAL 1 DAY, ts) AS start, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def telemetry_stream(spark, sf_dir):
     def build(e):
         return jobs.telemetry_windows(e.select(F.col("user_id").alias("device_id"), "timestamp", "value"), ["value"], "1 day", late="1 day")
 
-    return streamed(spark, sf_dir, build)
+    return rounded(streamed(spark, sf_dir, build).withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
 @query("st07_outage_sessions", """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 DAY)::INTEGER, 0) AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
