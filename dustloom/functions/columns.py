@@ -67,14 +67,15 @@ def detect_date_order(verdict: Column, line_no: Column) -> Column:
 
 
 def parse_export_timestamp(date: Column, time: Column, day_first: Column, twelve_hours: Column) -> Column:
-    """date: three numbers apart by dot, slash or dash; time: h:mm:ss with AM or PM where the file's column has any."""
-    d = [F.regexp_extract(date, r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})", i) for i in (1, 2, 3)]
-    clock, half = F.regexp_extract(time, r"(\d{1,2}:\d{2}:\d{2})", 1), F.upper(F.regexp_extract(time, r"\d{1,2}:\d{2}:\d{2}\s*([APap][Mm])", 1))
-    day, month = F.when(day_first, d[0]).otherwise(d[1]), F.when(day_first, d[1]).otherwise(d[0])
-    stamp = F.concat_ws(" ", F.concat_ws("/", day, month, d[2]), clock)
-    with_half = F.try_to_timestamp(F.concat_ws(" ", stamp, half), F.lit("d/M/yyyy h:mm:ss a"))
-    without = F.when(half == "", F.try_to_timestamp(stamp, F.lit("d/M/yyyy H:mm:ss")))
-    return F.when(twelve_hours, with_half).otherwise(without).cast("timestamp_ntz")
+    """date: three numbers apart by dot, slash or dash; time: h:mm:ss with AM or PM where the file's column has any.
+
+    Each text is brought to one form by one pattern; the order and the clock choose the format.
+    """
+    numbers = F.regexp_replace(date, r"^.*?(\d{1,2})[./-](\d{1,2})[./-](\d{4}).*$", "$1/$2/$3")
+    clock = F.rtrim(F.upper(F.regexp_replace(time, r"^.*?(\d{1,2}:\d{2}:\d{2})(?:\s*([APap][Mm]))?.*$", "$1 $2")))
+    parsed = lambda pattern: F.try_to_timestamp(F.concat_ws(" ", numbers, clock), F.lit(pattern))
+    by_order = lambda hours: F.when(day_first, parsed(f"d/M/yyyy {hours}")).otherwise(parsed(f"M/d/yyyy {hours}"))
+    return F.when(twelve_hours, by_order("h:mm:ss a")).otherwise(by_order("H:mm:ss")).cast("timestamp_ntz")
 
 
 def parse_12h_timestamp(date: Column, time: Column) -> Column:
@@ -151,10 +152,13 @@ def pm_fraction(header: Column) -> Column:
         rest = F.when(word.startswith("pm"), F.substring(word, 3, 100)).when(device & word.startswith("p"), F.substring(word, 2, 100))
         return F.replace(rest, F.lit("ambient"), F.lit(""))
 
-    sizes = F.transform(words, size)
-    whole = lambda digits: F.exists(sizes, lambda s: F.substring_index(s, ".", 1) == digits)
-    half = F.exists(sizes, lambda s: s.startswith("2.5") | (F.substring_index(s, ".", 1) == "25"))
-    return F.when(whole("10"), "PM10").when(whole("4"), "PM4").when(half, "PM2.5").when(whole("1"), "PM1")
+    def told(sizes: Column) -> Column:
+        whole = lambda digits: F.exists(sizes, lambda s: F.substring_index(s, ".", 1) == digits)
+        half = F.exists(sizes, lambda s: s.startswith("2.5") | (F.substring_index(s, ".", 1) == "25"))
+        return F.when(whole("10"), "PM10").when(whole("4"), "PM4").when(half, "PM2.5").when(whole("1"), "PM1")
+
+    # within an array of one, so that the words are made once for all tests
+    return F.get(F.transform(F.array(F.transform(words, size)), told), F.lit(0))
 
 
 def metric_family(metric: Column) -> Column:

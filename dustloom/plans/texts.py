@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dustloom.functions import columns as C
 from dustloom.operators import reshape, stats, windows
 from dustloom.plans.observations import SEASON, rounded, table
+from dustloom.session import written
 from dustloom.sources import files, sinks, text
 
 QUERIES: dict = {}
@@ -213,16 +214,19 @@ def month_day_text(spark, sf_dir):
 
 
 def export_lines(spark, sf_dir):
-    """A file for each user: metadata, header, rows; odd users have dotted dates and decimal commas."""
+    """A file for each user: metadata, header, rows; odd users have dotted dates and decimal commas.
+
+    Its lines are written, as exports are: reading meets them several times and shouldn't make them anew.
+    """
     odd = F.col("user_id") % 2 == 1
-    e = table(spark, sf_dir, "events").withColumn("t", F.date_trunc("second", "ts"))
+    e = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism).withColumn("t", F.date_trunc("second", "ts"))
     end = F.col("t") + F.expr("INTERVAL 15 MINUTES")
     date = lambda t: F.when(odd, F.date_format(t, "dd.MM.yyyy")).otherwise(F.date_format(t, "MM/dd/yyyy"))
     time = lambda t: F.when(odd, F.date_format(t, "HH:mm:ss")).otherwise(F.date_format(t, "h:mm:ss a"))
     number = F.when(odd, F.replace(F.format_string("%.2f", "value"), F.lit("."), F.lit(","))).otherwise(F.format_string("%.2f", "value"))
     rows = e.select(F.col("user_id").cast("string").alias("path"), (F.col("event_id") + 2).cast("int").alias("line_no"), F.concat_ws("\t", date("t"), time("t"), date(end), time(end), number, F.lit("")).alias("line"))
     head = e.select(F.col("user_id").cast("string").alias("path")).distinct().select("path", F.explode(F.array(F.struct(F.lit(0).alias("line_no"), F.lit("Device 1").alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit("﻿Date beginning\tTime beginning\tDate end\tTime end\tPM_ENVIRO_0011 - PM2.5_ambient\tPM10").alias("line")))).alias("h")).select("path", "h.*")
-    return rows.unionByName(head)
+    return written(rows.unionByName(head), "exports")
 
 
 EXPORT_SQL = "SELECT user_id::VARCHAR AS path, date_trunc('second', ts) + INTERVAL 15 MINUTE AS ts, round(value, 2) AS pm25 FROM events"

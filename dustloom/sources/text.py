@@ -46,10 +46,10 @@ def read_pm_exports(lines: DataFrame) -> DataFrame:
     names = F.transform(F.split(F.regexp_replace(low, "\ufeff", ""), "\t", -1), lambda c: F.trim(c))
     headers = may_be.select("path", "line_no", names.alias("names")).where(F.array_contains("names", "date beginning") & F.array_contains("names", "time beginning"))
     headers = headers.groupBy("path").agg(F.min_by(F.struct(F.col("line_no").alias("at"), "names"), "line_no").alias("h"))
-    kinds = F.transform("h.names", lambda c: pm_fraction(c))
+    headers = headers.withColumn("kinds", F.transform("h.names", lambda c: pm_fraction(c)))
     at = lambda array, name: F.array_position(array, F.lit(name)).cast("int")
     wanted = [f"{a}_{b}" for a in ("date", "time") for b in ("beginning", "end")]
-    places = {n: at(F.col("h.names"), n.replace("_", " ")) for n in wanted} | {c: at(kinds, k) for k, c in PM.items()}
+    places = {n: at(F.col("h.names"), n.replace("_", " ")) for n in wanted} | {c: at(F.col("kinds"), k) for k, c in PM.items()}
     headers = headers.select("path", F.col("h.at").alias("header_at"), F.size("h.names").alias("width"), *(F.coalesce(x, F.lit(0)).alias(f"at_{n}") for n, x in places.items()))
     few = F.broadcast if headers.limit(FEW_FILES + 1).count() <= FEW_FILES else lambda df: df
     cells = lines.select("path", "line_no", "line", F.split("line", "\t", -1).alias("cells")).join(few(headers), "path")
