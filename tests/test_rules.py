@@ -161,6 +161,33 @@ def test_close_events_in_runs(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_export_timestamps(spark):
+    """Texts around dates and clocks, either order, missing and superfluous halves of the day; by Python's patterns."""
+    dates = ["1/2/2024", "31.01.2024", "on 02-03-2024.", "13/01/2024", "01/13/2024", "1/2/24", "1/2/20245", "0/1/2024", "x", "", None]
+    times = ["1:02:03 PM", "13:02:03", "at 01:02:03am", "12:00:00 AM", "00:00:00", "0:00:00 AM", "24:00:00", "7:08", "1:02:03", "7:08:09 Pm.", "", None]
+    given = [(d, t, f, h) for d in dates for t in times for f in (True, False) for h in (True, False)]
+
+    def want(date, time, day_first, half_day):
+        d, t = re.search(r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})", date or ""), re.search(r"(\d{1,2}):(\d{2}):(\d{2})(?:\s*([AP]M))?", time or "", re.IGNORECASE)
+        if not d or not t or half_day != bool(t[4]):
+            return None
+        day, month = (d[1], d[2]) if day_first else (d[2], d[1])
+        hour = int(t[1])
+        if half_day and not 1 <= hour <= 12:
+            return None
+        if half_day:
+            hour = hour % 12 + (12 if t[4].upper() == "PM" else 0)
+        try:
+            return dt.datetime(int(d[3]), int(month), int(day), hour, int(t[2]), int(t[3]))
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame(given, "d string, t string, f boolean, h boolean")
+    got = df.select("d", "t", "f", "h", C.parse_export_timestamp(F.col("d"), F.col("t"), F.col("f"), F.col("h")).alias("ts")).collect()
+    assert [(tuple(r)[:4], r["ts"]) for r in got if r["ts"] != want(*tuple(r)[:4])] == []
+    assert sum(r["ts"] is not None for r in got) > 30
+
+
 def test_whole_text_queries(spark, tmp_path):
     """Tagged and non-ASCII documents count; by brute force."""
     texts = ["a the b the c the d the é the f", "é日 the x\nü the <b> the 😀 the y", "<p>one</p>\n\n<i>\n</i>two<a\nb> the end\nx", "x\n<b the c>\n", "", None, "no mark", " the  the é the "]
