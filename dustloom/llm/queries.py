@@ -1,4 +1,4 @@
-"""The queries of the ten operators, op1_ to op10_, and their SQL where DuckDB can express it."""
+"""The queries of the operators, op1_ to op13_, and their SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -122,5 +122,60 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_piece_sampling": op3_piece_sampling, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_toxicity": op6_toxicity, "op7_personal_data": op7_personal_data, "op8_near_dedup": op8_near_dedup, "op9_vector_search": op9_vector_search, "op10_sharding": op10_sharding}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_vector_search": OP9_SQL}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 bit by bit; prefixes as text in JSON; a leaf counts for each depth of its smallest member up to its own.
+OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS v FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(v ORDER BY p) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 AS h FROM o),
+b AS (SELECT a.c, list_concat(coalesce(f.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM h a LEFT JOIN o f ON f.c = a.c - a.c % 5),
+m AS MATERIALIZED (SELECT c, d, to_json(l[1:d])::VARCHAR AS k, CASE WHEN d > 0 THEN to_json(l[1:d - 1])::VARCHAR END AS pk, CASE WHEN d > 0 THEN strlen(l[d].t) ELSE 0 END AS z, d = len(l) AS ends FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+n AS MATERIALIZED (SELECT k, any_value(d) AS d, min(c) AS c, count(*) AS n, any_value(pk) AS pk, any_value(z) AS z, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS e FROM m GROUP BY k),
+u AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.pk = n.k) AS children FROM n),
+s AS (SELECT m.k, sum(CASE WHEN u.children = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((u.n - 1) * u.z)::BIGINT AS saved FROM u JOIN m ON m.c = u.c AND m.d <= u.d GROUP BY m.k)
+SELECT u.c AS conv_id, u.d AS depth, q.c AS parent_conv_id, u.n AS n_convs, u.children AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, u.e AS ends_sha256
+FROM u JOIN s USING (k) LEFT JOIN n q ON q.k = u.pk
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.lexical_search import ranked_documents
+
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS length FROM d WHERE len(t) > 0),
+f AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+p AS (SELECT i, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // length)))))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dustloom.llm.warc import warc_digest
+
+    return warc_digest(spark, table(spark, sf_dir, "pages"))
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS largest FROM p WHERE payload_bytes >= 1000 GROUP BY 1),
+r AS (SELECT *, largest IS NOT NULL AND page_id IS DISTINCT FROM largest AS again FROM p LEFT JOIN g USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN largest END AS refers_to FROM r
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_piece_sampling, op4_line_dedup, op5_token_files, op6_toxicity, op7_personal_data, op8_near_dedup, op9_vector_search, op10_sharding, op11_prefix_trie, op12_lexical_search, op13_warc)}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_vector_search": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_warc": OP13_SQL}
