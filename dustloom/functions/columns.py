@@ -66,14 +66,35 @@ def detect_date_order(verdict: Column, line_no: Column) -> Column:
     return F.coalesce(F.min_by(verdict, F.when(verdict.isNotNull(), line_no)), F.lit(False))
 
 
+def _first_triple(text: Column, cut: str, fits) -> Column:
+    """Of text cut to parts, the first result of fits(part, next, next but one) that isn't NULL; the first three parts are tried before others are looked at."""
+    parts = F.split(text, cut)
+    at = lambda i: fits(F.get(parts, i), F.get(parts, i + 1), F.get(parts, i + 2))
+    later = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 3, F.lit(1))), at), lambda x: x.isNotNull())
+    return F.coalesce(at(F.lit(0)), F.when(F.size(parts) > 3, F.get(later, F.lit(0))))
+
+
+def _last_digits(part: Column) -> Column:
+    """The last one or two digits that a part ends with."""
+    last, two = F.right(part, F.lit(1)), F.right(part, F.lit(2))
+    return F.when(two.rlike("^[0-9][0-9]$"), two).when(last.rlike("^[0-9]$"), last)
+
+
 def parse_export_timestamp(date: Column, time: Column, day_first: Column, twelve_hours: Column) -> Column:
     """date: three numbers apart by dot, slash or dash; time: h:mm:ss with AM or PM where the file's column has any.
 
-    Each text is brought to one form by one pattern; the order and the clock choose the format.
+    Texts are cut at their separators; the first three parts in a row that can be a date or a clock count, whatever stands
+    around them. The order and the clock choose the format.
     """
-    numbers = F.regexp_replace(date, r"^.*?(\d{1,2})[./-](\d{1,2})[./-](\d{4}).*$", "$1/$2/$3")
-    clock = F.rtrim(F.upper(F.regexp_replace(time, r"^.*?(\d{1,2}:\d{2}:\d{2})(?:\s*([APap][Mm]))?.*$", "$1 $2")))
-    parsed = lambda pattern: F.try_to_timestamp(F.concat_ws(" ", numbers, clock), F.lit(pattern))
+    ymd = lambda a, b, c: F.when(b.rlike("^[0-9]{1,2}$") & c.rlike("^[0-9]{4}"), F.concat(_last_digits(a), F.lit("/"), b, F.lit("/"), F.left(c, F.lit(4))))
+
+    def hms(a: Column, b: Column, c: Column) -> Column:
+        half = F.upper(F.left(F.ltrim(F.substring(c, 3, 100)), F.lit(2)))
+        clock = F.concat(_last_digits(a), F.lit(":"), b, F.lit(":"), F.left(c, F.lit(2)), F.when(half.isin("AM", "PM"), F.concat(F.lit(" "), half)).otherwise(""))
+        return F.when(b.rlike("^[0-9]{2}$") & c.rlike("^[0-9]{2}"), clock)
+
+    text = F.concat(_first_triple(date, "[./-]", ymd), F.lit(" "), _first_triple(time, ":", hms))
+    parsed = lambda pattern: F.try_to_timestamp(text, F.lit(pattern))
     by_order = lambda hours: F.when(day_first, parsed(f"d/M/yyyy {hours}")).otherwise(parsed(f"M/d/yyyy {hours}"))
     return F.when(twelve_hours, by_order("h:mm:ss a")).otherwise(by_order("H:mm:ss")).cast("timestamp_ntz")
 
@@ -140,25 +161,34 @@ def interval_timestamp(start: Column, end: Column) -> Column:
 def pm_fraction(header: Column) -> Column:
     """The particle size that a column's name tells: PM10, PM4, PM2.5 or PM1, tested in this order.
 
-    The name's words, with and without its spaces, are compared: one that begins with pm (p in names of enviro
-    devices) and goes on with a size, then nothing, a dot or "ambient".
+    First a word that is a size: between dashes, underscores and the name's ends, and up to a space. Then, in the name without
+    spaces and without a device's number, a size after pm and a p or pm of its own, if an underscore, a dot, a dash,
+    "ambient" or the end follows.
     """
-    low = F.replace(F.lower(header), F.lit("2_5"), F.lit("2.5"))
-    split = lambda x: F.split(x, "[^a-z0-9.]+")
-    words = F.concat(split(low), split(F.replace(low, F.lit(" "), F.lit(""))))
-    device = low.contains("pm_enviro_")
-
-    def size(word: Column) -> Column:
-        rest = F.when(word.startswith("pm"), F.substring(word, 3, 100)).when(device & word.startswith("p"), F.substring(word, 2, 100))
-        return F.replace(rest, F.lit("ambient"), F.lit(""))
-
-    def told(sizes: Column) -> Column:
-        whole = lambda digits: F.exists(sizes, lambda s: F.substring_index(s, ".", 1) == digits)
-        half = F.exists(sizes, lambda s: s.startswith("2.5") | (F.substring_index(s, ".", 1) == "25"))
-        return F.when(whole("10"), "PM10").when(whole("4"), "PM4").when(half, "PM2.5").when(whole("1"), "PM1")
-
-    # within an array of one, so that the words are made once for all tests
-    return F.get(F.transform(F.array(F.transform(words, size)), told), F.lit(0))
+    end = F.lit("\u0001")
+    sizes = {"PM10": ("10",), "PM4": ("4",), "PM2.5": ("25", "2.5", "2_5"), "PM1": ("1",)}
+    low = F.lower(header)
+    words = F.transform(F.split(F.replace(F.trim(low), F.lit("pm2_5"), F.lit("pm2.5")), "[-_]"), lambda w: F.substring_index(w, " ", 1))
+    bare = F.regexp_replace(F.replace(low, F.lit(" "), F.lit("")), "pm_enviro_[0-9]+-", "pm")
+    rests = F.transform(F.filter(F.split(F.concat(bare, end), "(?=pmp)"), lambda x: x.startswith("pmp")), lambda x: F.substring(x, 4, 200))
+    rests = F.transform(rests, lambda x: F.when(x.startswith("m"), F.substring(x, 2, 200)).otherwise(x))
+
+    def follows(rest: Column, digits: str) -> Column:
+        n = len(digits) + 1
+        return rest.startswith(digits) & (F.substring(rest, n, 1).isin("_", ".", "-", "\u0001") | (F.substring(rest, n, 7) == "ambient"))
+
+    def told(found) -> Column:
+        out = F
+        for label, forms in sizes.items():
+            hit = found(forms[0])
+            for form in forms[1:]:
+                hit = hit | found(form)
+            out = out.when(hit, label)
+        return out
+
+    by_words = told(lambda form: F.array_contains(words, f"pm{form}"))
+    by_rests = told(lambda form: F.exists(rests, lambda r: follows(r, form)))
+    return F.coalesce(by_words, by_rests)
 
 
 def metric_family(metric: Column) -> Column:

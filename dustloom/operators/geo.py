@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import great_circle_km
 from dustloom.operators.joins import targets_x_samples
-from dustloom.operators.windows import _by_days, beside, suppress_close_events, track_segments
+from dustloom.operators.ranges import beside, ordered, running
+from dustloom.operators.windows import in_time, suppress_close_events, track_segments
 from dustloom.session import written
 
 #: Fixed values of the ellipsoid, km.
@@ -41,7 +42,7 @@ def geodetic_latitude(x: Column, y: Column, z: Column) -> Column:
 
 def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees: float = 3.0) -> DataFrame:
     """samples: lat, lon of the point below and earth-fixed x, y, z. The motion comes from the neighbours in time."""
-    near = beside(_by_days(samples, ts), keys, ts, ["x", "y", "z"]).drop("_us", "_day")
+    near = beside(in_time(samples, keys, ts), ["x", "y", "z"]).drop("_part")
     motion = [F.col(f"_b.{c}") - F.col(f"_a.{c}") for c in ("x", "y", "z")]
     df = near.withColumns({f"_m{c}": m for c, m in zip("xyz", motion, strict=True)})
     lat, lon = F.radians("lat"), F.radians("lon")
@@ -63,16 +64,17 @@ def sample_footprints(samples: DataFrame, keys: list[str], ts: str, aft_degrees:
     return out.drop("_a", "_b", "_hit", "_along", "_size", "_length", *(f"_{k}{c}" for k in "mutrd" for c in "xyz"))
 
 
-def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: float, start, end) -> DataFrame:
-    """Closest approaches within radius of each object to each target, apart by half an hour, that overlap start to end.
+def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: float, start, end, required: tuple[str, ...] = ()) -> DataFrame:
+    """Closest approaches within radius of each object to each target that overlap start to end, apart by half an hour.
 
-    samples: object, ts, lat, lon and what else is to be kept of the closest sample, as its footprint. targets: target,
-    t_lat, t_lon. Entry and exit are interpolated between the samples on both sides of the radius; where a scan begins or
-    ends inside, they are its first or last sample. ongoing: entered before start.
+    samples: object, ts, lat, lon and what else is to be kept of the closest sample, as its footprint; where a column of required
+    is NULL there is no event. targets: target, t_lat, t_lon. Entry and exit are interpolated between the samples on both sides
+    of the radius; where a scan begins or ends inside, they are its first or last sample. ongoing: entered before start.
+    Approaches that don't count, as they are before start, suppress none.
 
-    Neighbours in time are taken before the join, so that windows over object and target hold samples within radius only.
+    Neighbours in time are taken before the join, so what is sorted by object and target are samples within radius only.
     """
-    both = beside(_by_days(samples, ts), ["object"], ts, [ts, "lat", "lon"]).drop("_us", "_day")
+    both = beside(in_time(samples, ["object"], ts), [ts, "lat", "lon"]).drop("_part")
     both = both.withColumns({f"_{side}_{c}": F.col(f"_{side}").getField(c) for side in "ab" for c in (ts, "lat", "lon")}).drop("_a", "_b")
     near = targets_x_samples(both, targets, radius_km)
     near = near.withColumns({f"_{s}": great_circle_km(F.col("t_lat"), F.col("t_lon"), F.col(f"_{s}_lat"), F.col(f"_{s}_lon")) for s in "ab"})
@@ -85,15 +87,17 @@ def target_events(samples: DataFrame, targets: DataFrame, ts: str, radius_km: fl
         return F.when(outside > radius_km, F.timestamp_add("MICROSECOND", F.round(apart).cast("long"), F.col(ts)).cast(kind)).when(outside.isNull(), F.col(ts))
 
     keys = ["object", "target"]
-    runs = Window.partitionBy(*keys).orderBy(ts)
-    begins = (F.col("_a").isNull() | (F.col("_a") > radius_km)).cast("int")
+    begins = (F.col("_a").isNull() | (F.col("_a") > radius_km)).cast("long")
     lowest = (d <= F.col("_a")) & (d <= F.col("_b"))
-    numbered = near.select("target", *samples.columns, "distance_km", F.sum(begins).over(runs).alias("_pass"), crossing("a").alias("entry"), crossing("b").alias("exit"), lowest.alias("_lowest"))
-    numbered = written(numbered, "near")
+    o = ordered(near.select("target", *samples.columns, "distance_km", begins.alias("_begins"), crossing("a").alias("entry"), crossing("b").alias("exit"), lowest.alias("_lowest")), keys, [ts])
+    numbered = written(running(o.rows, o, {"_pass": ("sum", F.col("_begins"))}, write=False), "near")
     spans = numbered.groupBy(*keys, "_pass").agg(F.min("entry").alias("entry"), F.max("exit").alias("exit"), F.count(F.lit(1)).alias("samples"))
-    minima = numbered.where("_lowest").select("target", *samples.columns, "distance_km", "_pass")
-    met = suppress_close_events(minima, keys, ts).join(spans, [*keys, "_pass"]).drop("_pass")
-    return met.where((F.col("exit") > start) & (F.col("entry") < end)).withColumn("ongoing", F.col("entry") < start)
+    counts = F.col("_lowest")
+    for c in required:
+        counts = counts & F.col(c).isNotNull()
+    minima = numbered.where(counts).select("target", *samples.columns, "distance_km", "_pass")
+    met = minima.join(spans, [*keys, "_pass"]).where((F.col("exit") > start) & (F.col("entry") < end)).drop("_pass")
+    return suppress_close_events(met, keys, ts).withColumn("ongoing", F.col("entry") < start)
 
 
 def ground_track(samples: DataFrame, keys: list[str], ts: str, lon: str, centre, half_minutes: float = 52, step_s: int = 45) -> DataFrame:

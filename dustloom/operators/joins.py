@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dustloom.functions.columns import MEAN_EARTH_KM, great_circle_km
+from dustloom.functions.columns import MEAN_EARTH_KM, SEASONS, great_circle_km, season, season_year
 
 
 def daily_with_retrievals(daily: DataFrame, retrievals: DataFrame, date: str = "date") -> DataFrame:
@@ -16,14 +16,38 @@ def daily_with_retrievals(daily: DataFrame, retrievals: DataFrame, date: str = "
     return daily.join(wide, date, "left")
 
 
-def calendar_spine(df: DataFrame, month: str, keys: list[str], years: list[int], months: list[int] | None = None) -> DataFrame:
+def _of_season(months, season_name: str | None) -> list[int]:
+    """The months, or all, that are of a season, if one is chosen."""
+    return [m for m in (months or range(1, 13)) if season_name is None or SEASONS[m % 12 // 3] == season_name]
+
+
+def calendar_spine(df: DataFrame, month: str, keys: list[str], years: list[int], months: list[int] | None = None, season_name: str | None = None) -> DataFrame:
     """Every selected month for every key present; df has one row a key and month (yyyy-MM)."""
     spark = df.sparkSession
-    rows = [(f"{y:04d}-{m:02d}",) for y in years for m in (months or range(1, 13))]
+    rows = [(f"{y:04d}-{m:02d}",) for y in years for m in _of_season(months, season_name)]
     spine = F.broadcast(spark.createDataFrame(rows, f"{month} string"))  # twelve rows a year
     return df.select(*keys).distinct().join(spine).join(df, [*keys, month], "left")
 
 
+def calendar_days(df: DataFrame, date: str, keys: list[str], years: list[int] | None = None, months: list[int] | None = None, season_name: str | None = None) -> DataFrame:
+    """df (a row a key and date) with year, month, month_name, season, season_year, day and label, by day.
+
+    If years or months are chosen the view is dense: every day of them, in the years that df has if none are chosen, for every
+    key present, with NULL where df has no row; the label is the day of the month, before it the year if all years are shown.
+    Otherwise df's own days are all there are, and the label is the date.
+    """
+    d = F.col(date)
+    chosen = F.month(d).isin(_of_season(months, season_name)) & (F.year(d).isin(years) if years else F.lit(True))
+    if years or months:
+        every = df.select(F.year(d).alias("y")).where("y IS NOT NULL").distinct() if not years else df.sparkSession.createDataFrame([(y,) for y in sorted(set(years))], "y int")
+        days = every.select(F.explode(F.sequence(F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(31)))).alias(date)).where(chosen)
+        df = df.select(*keys).distinct().join(F.broadcast(days)).join(df, [*keys, date], "left")  # 366 rows a year
+        label = F.date_format(d, "dd") if years else F.date_format(d, "yyyy-dd")
+    else:
+        df, label = df.where(chosen), d.cast("string")
+    return df.withColumns({"year": F.year(d), "month": F.month(d), "month_name": F.date_format(d, "MMMM"), "season": season(F.month(d)), "season_year": season_year(d), "day": F.dayofmonth(d), "label": label})
+
+
 def fixed_domain(df: DataFrame, domain: list, column: str, kind: str, zero: list[str] = ()) -> DataFrame:
     """Results on the full domain, with its order; columns in zero become 0 where absent."""
     spine = df.sparkSession.createDataFrame(list(enumerate(domain)), f"place int, {column} {kind}")

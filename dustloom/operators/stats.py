@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import CLASSES, SEASONS, season, season_year
+from dustloom.session import written
 
 GRAINS = ("year", "month", "season", "hour", "weekday")
 
@@ -24,8 +25,10 @@ def adjusted_skewness(v: Column) -> Column:
     return F.when(n < 3, F.lit(None).cast("double")).when(F.stddev_samp(v) == 0, F.lit(0.0)).otherwise(F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-#: Of the sketch that brackets a quantile: its ranks are off by a group's rows over this at most.
-ACCURACY = 10_000
+#: Bits that a level of a quantile's search resolves, and values a rank may leave for the last level.
+LEVEL_BITS, LAST_VALUES = 16, 1 << 14
+#: Groups up to which their state is broadcast.
+FEW_GROUPS = 20_000
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -35,41 +38,81 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(named, on, how).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
+def ordered_bits(v: Column) -> Column:
+    """A double's 64 bits as a long in the order of the values: -0 is 0, NaN the largest."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)))
+    # the logarithm may be off by one next to a power of two
+    power = guess + (size >= F.pow(F.lit(2.0), guess + 1)).cast("long") - (size < F.pow(F.lit(2.0), guess)).cast("long")
+    power = F.greatest(F.least(power, F.lit(1023)), F.lit(-1022))
+    bits = (power + 1022) * (1 << 52) + F.when(size < float("inf"), size / F.pow(F.lit(2.0), power) * float(1 << 52)).otherwise(0.0).cast("long")
+    whole = F.when(F.isnan(v), (1 << 63) - 1).when(size == 0, 0).when(size == float("inf"), 0x7FF << 52).otherwise(bits)
+    return F.when((v < 0) & ~F.isnan(v), -whole).otherwise(whole)
+
+
+def from_ordered_bits(b: Column) -> Column:
+    size = F.abs(b)
+    power, rest = F.shiftright(size, 52), size.bitwiseAND((1 << 52) - 1).cast("double")
+    near = F.when(power == 0, rest * 2.0**-1074).otherwise((rest / float(1 << 52) + 1) * F.pow(F.lit(2.0), F.least(power, F.lit(2046)) - 1023))
+    v = F.when(b == (1 << 63) - 1, float("nan")).when(power == 0x7FF, float("inf")).otherwise(near)
+    return F.when(b < 0, -v).otherwise(v)
+
+
+def _located(bins: Column, slots: Column) -> Column:
+    """bins: array of (parent, bin, n); slots: array of (rank, parent, below). Each slot's bin, the values below it and those in it.
+
+    A slot's parent is the bin of the level above that holds its rank, and below the values before that.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
+
+    def one(slot: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            mine = x["parent"].eqNullSafe(slot["parent"])
+            upto = acc["upto"] + F.when(mine, x["n"]).otherwise(F.lit(0))
+            hit = mine & acc["bin"].isNull() & (slot["below"] + upto > slot["rank"])
+            return F.struct(upto.alias("upto"), F.when(hit, x["bin"]).otherwise(acc["bin"]).alias("bin"), F.when(hit, slot["below"] + acc["upto"]).otherwise(acc["below"]).alias("below"), F.when(hit, x["n"]).otherwise(acc["inside"]).alias("inside"))
+
+        found = F.aggregate(bins, start, step)
+        return F.transform(F.array(found), lambda f: F.struct(slot["rank"].alias("rank"), f["bin"].alias("parent"), f["below"].alias("below"), f["inside"].alias("inside")))[0]
+
+    return F.transform(slots, one)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], ps: tuple[float, ...], value: str = "value") -> DataFrame:
     """keys and q, the array of linearly interpolated quantiles of each group's values; groups without any have no row.
 
-    Exact, with bounded buffers: a sketch gives each quantile's bracket, outside of which values are only counted (and the
-    nearest on each side kept, for ranks next to the bracket); the few inside are counted by value and ranked in order.
+    Exact selection on ordered bits, for all groups and ranks at once. A level counts values by their next LEVEL_BITS bits,
+    in the bins of the level above that hold a rank, so a group has at most 2**LEVEL_BITS bins a rank however many values
+    it has. Once the bins that hold ranks have LAST_VALUES values or fewer, those are counted one by one. Each level
+    reads the values once and sorts none; two levels do unless a group has many millions of values.
     """
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ends = [min(1.0, max(0.0, p + s * 2 / ACCURACY)) for p in ps for s in (-1, 1)]
-    sketch = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_a"))
-    met, v, each = _joined(base, sketch, keys, "inner"), F.col("_v"), range(len(ps))
-    low, high = (lambda i: F.col("_a")[2 * i]), (lambda i: F.col("_a")[2 * i + 1])
-    inside = [(v >= low(i)) & (v <= high(i)) for i in each]
-    facts = met.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        *(F.count_if(v < low(i)).alias(f"_below{i}") for i in each),
-        *(F.max(F.when(v < low(i), v)).alias(f"_under{i}") for i in each),
-        *(F.min(F.when(v > high(i), v)).alias(f"_over{i}") for i in each),
-    )
-    counted = met.where(reduce(or_, inside)).groupBy(*keys, "_v").agg(F.first("_a").alias("_a"), F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*keys).orderBy("_v")
-    ranked = counted.withColumns({f"_upto{i}": F.sum(F.when(inside[i], F.col("_c")).otherwise(0)).over(order) for i in each})
-    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in ps]
-    picks = []
-    both = _joined(ranked, facts, keys, "inner")
-    for i in each:
-        for side in (F.floor, F.ceil):
-            picks.append(F.min(F.when(inside[i] & (F.col(f"_below{i}") + F.col(f"_upto{i}") > side(place[i])), v)).alias(f"_pick{len(picks)}"))
-    firsts = [F.first(c).alias(c) for c in facts.columns if c not in keys]
-    found = both.groupBy(*keys).agg(*firsts, *picks)
+    base = df.select(*keys, ordered_bits(F.col(value).cast("double")).alias("_b")).where(F.col(value).isNotNull())
+    shift = 64 - LEVEL_BITS
+    counts = base.groupBy(*keys, F.shiftright("_b", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    entry = F.struct(F.lit(None).cast("long").alias("parent"), F.col("_bin").alias("bin"), F.col("_c").alias("n"))
+    state = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_bins"))
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = F.array_distinct(F.array(*(side(place(p)) for p in ps for side in (F.floor, F.ceil))))
+    first = F.transform(ranks, lambda r: F.struct(r.alias("rank"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside")))
+    state = written(state.select(*keys, "_n", _located(F.col("_bins"), first).alias("_slots")), "quantiles")
+    while shift:
+        groups, most = state.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("_slots", lambda x: x["inside"])))).first()
+        up, shift = shift, 0 if (most or 0) <= LAST_VALUES else shift - LEVEL_BITS
+        known = F.broadcast(state) if groups <= FEW_GROUPS else state
+        parents = state.withColumn("_in", F.array_distinct(F.transform("_slots", lambda x: x["parent"]))).drop("_n", "_slots")
+        met = _joined(base, F.broadcast(parents) if groups <= FEW_GROUPS else parents, keys, "inner").withColumn("_parent", F.shiftright("_b", up))
+        counts = met.where(F.array_contains("_in", F.col("_parent"))).groupBy(*keys, "_parent", F.shiftright("_b", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+        entry = F.struct(F.col("_parent").alias("parent"), F.col("_bin").alias("bin"), F.col("_c").alias("n"))
+        bins = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_bins"))
+        found = _joined(bins, known, keys, "inner").select(*keys, "_n", _located(F.col("_bins"), F.col("_slots")).alias("_slots"))
+        state = written(found, "quantiles") if shift else found
+    at = F.map_from_entries(F.transform("_slots", lambda x: F.struct(x["rank"], from_ordered_bits(x["parent"]))))
     values = []
-    for i in each:
-        at = [F.when(side(place[i]) < F.col(f"_below{i}"), F.col(f"_under{i}")).otherwise(F.coalesce(f"_pick{2 * i + k}", f"_over{i}")) for k, side in enumerate((F.floor, F.ceil))]
-        lower, upper = F.floor(place[i]), F.ceil(place[i])
-        values.append(F.when(lower == upper, at[0]).otherwise((upper - place[i]) * at[0] + (place[i] - lower) * at[1]))
-    return found.select(*keys, F.array(*values).alias("q"))
+    for p in ps:
+        lower, upper = F.floor(place(p)), F.ceil(place(p))
+        low, high = F.element_at("_at", lower), F.element_at("_at", upper)
+        values.append(F.when(lower == upper, low).otherwise((upper - place(p)) * low + (place(p) - lower) * high))
+    return state.withColumn("_at", at).select(*keys, F.array(*values).alias("q"))
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: list[str], names: dict[str, float], value: str = "value") -> DataFrame:

@@ -6,56 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dustloom.operators.ranges import Ordered, beside, ordered, running
+from dustloom.session import written
+
 
 def block_lengths(offsets: DataFrame, keys: list[str], offset: str = "offset") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(offset)
     return offsets.withColumn("length", F.lead(offset).over(w) - F.col(offset)).withColumn("position", F.row_number().over(w))
 
 
-def _by_days(df: DataFrame, ts: str) -> DataFrame:
-    """df with _us, its time in microseconds, and _day. Rows without time go."""
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """df with _us, its time in microseconds. Rows without time go."""
     kind = df.schema[ts].dataType
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(ts)) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.where(F.col(ts).isNotNull()).withColumn("_us", us).withColumn("_day", F.floor(F.col("_us") / 86_400_000_000))
-
-
-def _with_days(df: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
-    """df joined with days, one row a key and day; null keys are keys too."""
-    given = days.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), *(c for c in days.columns if c not in (*keys, "_day")))
-    same = F.col("_day") == F.col("_d")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(given, same).drop("_d", *(f"_k{i}" for i in range(len(keys))))
-
-
-def beside(df: DataFrame, keys: list[str], ts: str, cols: list[str]) -> DataFrame:
-    """df (of _by_days) with _a and _b, structs of cols of the rows before and after in time, NULL at a key's ends.
-
-    Rows are sorted by key and day. The rows next to a day come from a table of one row a key and day, whose
-    windows are the only ones over whole keys.
-    """
-    picked, over_days = F.struct(*cols), Window.partitionBy(*keys).orderBy("_day")
-    days = df.groupBy(*keys, "_day").agg(F.min_by(picked, "_us").alias("_first"), F.max_by(picked, "_us").alias("_last"))
-    days = days.select(*keys, "_day", F.lag("_last").over(over_days).alias("_halo_a"), F.lead("_first").over(over_days).alias("_halo_b"))
-    w = Window.partitionBy(*keys, "_day").orderBy("_us")
-    met = _with_days(df, days, keys).withColumn("_picked", picked)
-    return met.withColumns({"_a": F.coalesce(F.lag("_picked").over(w), "_halo_a"), "_b": F.coalesce(F.lead("_picked").over(w), "_halo_b")}).drop("_picked", "_halo_a", "_halo_b")
+    return df.where(F.col(ts).isNotNull()).withColumn("_us", us)
 
 
-def running_count(df: DataFrame, keys: list[str], flag: str, out: str) -> DataFrame:
-    """df (of _by_days) with out, how often flag was set up to each row in time: a sum within the day and that of the days before."""
-    days = df.groupBy(*keys, "_day").agg(F.sum(F.col(flag).cast("long")).alias("_set"))
-    earlier = F.coalesce(F.sum("_set").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = _with_days(df, days.select(*keys, "_day", earlier.alias("_earlier")), keys)
-    w = Window.partitionBy(*keys, "_day").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
-    return met.withColumn(out, F.sum(F.col(flag).cast("long")).over(w) + F.col("_earlier")).drop("_earlier")
+def in_time(df: DataFrame, keys: list[str], ts: str) -> Ordered:
+    """df in ranges of key, time and, for rows of one time, all other columns. Rows without time go."""
+    return ordered(df.where(F.col(ts).isNotNull()), keys, [ts])
 
 
 def _islands(df: DataFrame, keys: list[str], order: str, inside: Column, cols: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with _in, the number of its run, the next row's time, and in _a and _b cols of its neighbours."""
-    marked = beside(_by_days(df.withColumn("_in", F.coalesce(inside, F.lit(False))), order), keys, order, ["_in", order, *cols])
-    starts = marked.withColumn("_new", F.col("_in") & ~F.coalesce(F.col("_a._in"), F.lit(False))).withColumn("_next", F.col("_b").getField(order))
-    return running_count(starts, keys, "_new", "island").drop("_us", "_day", "_new")
+    """Rows with _in, the number of its run, the next row's time, and in _a and _b cols of its neighbours. Rows of one time are in the order of their other columns."""
+    o = in_time(df.withColumn("_in", F.coalesce(inside, F.lit(False))), keys, order)
+    marked = beside(o, ["_in", order, *cols])
+    starts = marked.withColumn("_new", (F.col("_in") & ~F.coalesce(F.col("_a._in"), F.lit(False))).cast("long")).withColumn("_next", F.col("_b").getField(order))
+    return running(starts, o, {"island": ("sum", F.col("_new"))}).drop("_part", "_new")
 
 
 def proximity_intervals(df: DataFrame, keys: list[str], ts: str, distance: str, threshold: float, inclusive: bool = False) -> DataFrame:
@@ -66,34 +43,52 @@ def proximity_intervals(df: DataFrame, keys: list[str], ts: str, distance: str,
 
 def run_summary(numbered: DataFrame, keys: list[str], ts: str, distance: str) -> DataFrame:
     """One row a run of what _islands gives, with its number."""
-    out = numbered.where("_in").groupBy(*keys, "island").agg(F.min(ts).alias("start"), F.max_by(F.coalesce("_next", F.col(ts)), ts).alias("end"), F.min_by(ts, F.struct(distance, ts)).alias("closest"), F.min(distance).alias("min_distance"), F.count(F.lit(1)).alias("samples"))
-    return out
+    return numbered.where("_in").groupBy(*keys, "island").agg(F.min(ts).alias("start"), F.max(F.coalesce("_next", F.col(ts))).alias("end"), F.min_by(ts, F.struct(distance, ts)).alias("closest"), F.min(distance).alias("min_distance"), F.count(F.lit(1)).alias("samples"))
 
 
 def local_minima(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Samples no higher than both neighbours; ends have one neighbour and aren't minima."""
-    marked = beside(_by_days(df, order), keys, order, [value])
+    """Samples no higher than both neighbours, which of samples of one time are those in the order of the other columns; ends have one neighbour and aren't minima."""
+    marked = beside(in_time(df, keys, order), [value])
     before, after = (F.col(side).getField(value) for side in ("_a", "_b"))
     return marked.where((F.col(value) <= before) & (F.col(value) <= after)).select(*df.columns)
 
 
-def passes(df: DataFrame, keys: list[str], ts: str, elevation: str, threshold: float) -> DataFrame:
-    """Rise and set by linear interpolation between samples, and the peak, of each run above threshold."""
+def passes(df: DataFrame, keys: list[str], ts: str, elevation: str, threshold: float, azimuth: str | None = None, distance: str | None = None, start: float | None = None, end: float | None = None, closed: bool = True) -> DataFrame:
+    """Runs at or above threshold: rise and set (seconds, by linear interpolation between samples), peak and peak_at.
+
+    With azimuth also rise_azimuth, peak_azimuth and set_azimuth (degrees, interpolated the shorter way round), with distance
+    peak_range. Passes that the samples don't show whole are left out if closed. With start and end (seconds) only passes
+    that overlap them stay, and ongoing tells that one rose before start. Of equal peaks the first holds.
+    """
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    runs = _islands(df.withColumn("_s", seconds), keys, ts, F.col(elevation) > threshold, ("_s", elevation)).where("_in")
+    more = tuple(c for c in (azimuth,) if c)
+    runs = _islands(df.withColumn("_s", seconds), keys, ts, F.col(elevation) >= threshold, ("_s", elevation, *more)).where("_in")
     e, s = F.col(elevation), F.col("_s")
     pe, ps, ne, ns = (F.col(side).getField(c) for side in ("_a", "_b") for c in (elevation, "_s"))
-    rise = F.when(pe <= threshold, ps + (s - ps) * (threshold - pe) / (e - pe))
-    fall = F.when(ne <= threshold, s + (ns - s) * (e - threshold) / (e - ne))
-    return runs.groupBy(*keys, "island").agg(F.min_by(rise, ts).alias("rise"), F.max_by(fall, ts).alias("set"), F.max(elevation).alias("peak"), F.max_by("_s", F.struct(elevation, -s)).alias("peak_at")).drop("island")
+    up, down = (threshold - pe) / (e - pe), (e - threshold) / (e - ne)
+    found = {"rise": F.min(F.when(pe < threshold, ps + (s - ps) * up)), "set": F.max(F.when(ne < threshold, s + (ns - s) * down)), "peak": F.max(elevation), "peak_at": F.max_by("_s", F.struct(e, -s))}
+    if azimuth:
+        turned = lambda a, b, part: F.pmod(a + (F.pmod(b - a + 180, F.lit(360.0)) - 180) * part, F.lit(360.0))
+        az, pa, na = F.col(azimuth), F.col("_a").getField(azimuth), F.col("_b").getField(azimuth)
+        found |= {"rise_azimuth": F.max(F.when(pe < threshold, turned(pa, az, up))), "peak_azimuth": F.max_by(azimuth, F.struct(e, -s, -az)), "set_azimuth": F.max(F.when(ne < threshold, turned(az, na, down)))}
+    if distance:
+        found["peak_range"] = F.max_by(distance, F.struct(e, -s, -F.col(distance)))
+    out = runs.groupBy(*keys, "island").agg(*(c.alias(n) for n, c in found.items())).drop("island")
+    out = out.where(F.col("rise").isNotNull() & F.col("set").isNotNull()) if closed else out
+    if start is not None:
+        out = out.where((F.col("set") > start) & (F.col("rise") < end)).withColumn("ongoing", F.col("rise") < start)
+    return out
 
 
 def track_segments(df: DataFrame, keys: list[str], ts: str, lon: str) -> DataFrame:
-    """A jump of over 180 degrees begins a segment; segments of one point go."""
-    marked = beside(_by_days(df, ts), keys, ts, [lon])
-    jump = F.coalesce(F.abs(F.col(lon) - F.col("_a").getField(lon)) > 180, F.lit(False))
-    cut = running_count(marked.withColumn("_jump", jump), keys, "_jump", "segment").select(*df.columns, "segment")
-    return cut.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "segment"))).where("_n > 1").drop("_n")
+    """A jump of over 180 degrees begins a segment; segments of one point go, which neighbours tell without counting."""
+    o = in_time(df, keys, ts)
+    marked = beside(o, [lon])
+    jumps = {side: F.abs(F.col(lon) - F.col(f"_{side}").getField(lon)) > 180 for side in "ab"}
+    marked = marked.withColumns({f"_jump_{side}": F.coalesce(jump, F.lit(False)) for side, jump in jumps.items()})
+    alone = (F.col("_a").isNull() | F.col("_jump_a")) & (F.col("_b").isNull() | F.col("_jump_b"))
+    cut = running(marked.withColumn("_alone", alone), o, {"segment": ("sum", F.col("_jump_a").cast("long"))})
+    return cut.where(~F.col("_alone")).select(*df.columns, "segment")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -106,51 +101,49 @@ def rolling_last_k(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_n": F.count(value).over(w)})
 
 
-def _cut_at_gaps(df: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
-    """df with _us, its time in microseconds, and _run, the time at which its run without such gaps began.
+def _chains(times: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Of distinct times (keys, _us): those that the greedy rule keeps, from each key's first to the first that is least later, and so on.
 
-    Rows are sorted by key and day; what a day needs of earlier ones comes from a table of one row a key and day.
+    One pass in falling order of time finds each time's next one: events and, least later than each, a question lie in one
+    order, and the running value is the earliest event so far. Then the kept ones spread from the first by pointers of one,
+    two, four steps, ..., so the rounds grow with the logarithm of the longest chain; no task reads a chain.
     """
-    df = _by_days(df, ts)
-    days = df.groupBy(*keys, "_day").agg(F.max("_us").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_day")
-    by_day = Window.partitionBy(*keys, "_day").orderBy("_us")
-    met = _with_days(df, days.select(*keys, "_day", F.lag("_last").over(w).alias("_halo")), keys)
-    met = met.withColumn("_before", F.coalesce(F.lag("_us").over(by_day), "_halo"))
-    met = met.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= gap_us), F.col("_us")))
-    met = met.withColumn("_run", F.max("_start").over(by_day))
-    # a run that goes on over midnight began on the last earlier day that has a start
-    carried = met.groupBy(*keys, "_day").agg(F.max("_start").alias("_started"))
-    carried = carried.select(*keys, "_day", F.max("_started").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    out = _with_days(met, carried, keys).withColumn("_run", F.coalesce("_run", "_carried"))
-    return out.select(*df.columns, "_run").drop("_day")
+    asked = times.select(*keys, (-(F.col("_us") + least)).alias("_n"), F.lit(1).alias("_asks"), F.col("_us").alias("_of"))
+    given = times.select(*keys, (-F.col("_us")).alias("_n"), F.lit(0).alias("_asks"), F.col("_us").alias("_of"))
+    o = ordered(asked.unionByName(given), keys, ["_n", "_asks"])
+    seen = running(o.rows, o, {"_next": ("max", F.when(F.col("_asks") == 0, F.col("_n")))}, write=False)
+    # kept or not is carried by the node itself, which points to the one 2^k steps later
+    first = times.groupBy(*keys).agg(F.min("_us").alias("_us")).withColumn("_kept", F.lit(True))
+    nodes = seen.where("_asks = 1").select(*keys, F.col("_of").alias("_us"), (-F.col("_next")).alias("_to"))
+    nodes = written(_same(nodes, first, keys, "_us").withColumn("_kept", F.coalesce("_kept", F.lit(False))), "chain")
+    while nodes.where("_kept AND _to IS NOT NULL").limit(1).count():
+        # what kept ones point to is kept, and all point on to what their next one points to
+        reached = nodes.where("_kept AND _to IS NOT NULL").select(*keys, F.col("_to").alias("_us")).distinct().withColumn("_hit", F.lit(True))
+        onward = nodes.where("_to IS NOT NULL").select(*keys, F.col("_us").alias("_to"), F.col("_to").alias("_then"))
+        met = _same(_same(nodes, reached, keys, "_us"), onward, keys, "_to")
+        nodes = written(met.select(*keys, "_us", F.col("_then").alias("_to"), (F.col("_kept") | F.coalesce("_hit", F.lit(False))).alias("_kept")), "chain")
+    return nodes.where("_kept").select(*keys, "_us")
+
+
+def _same(df: DataFrame, other: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """df left joined with other on keys (null keys are keys too) and at, with what else other has."""
+    rest = [c for c in other.columns if c not in (*keys, at)]
+    there = other.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(at).alias("_at"), *rest)
+    same = F.col(at) == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(there, same, "left").drop("_at", *(f"_k{i}" for i in range(len(keys))))
 
 
 def suppress_close_events(events: DataFrame, keys: list[str], ts: str, minutes: float = 30) -> DataFrame:
-    """An event within minutes of the last kept one of its key goes; of events at one time the first by the other columns stays.
-
-    The rule starts anew after a gap of minutes, so keys are cut there in Spark. Workers read sorted runs batch by batch and
-    hold one time only, however long a run is. Events without time go.
-    """
-    least = round(60_000_000 * minutes)
-
-    def keep(batches):
-        import pyarrow as pa
-
-        state, last = None, 0
-        for batch in batches:
-            kept = []
-            for now, us in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("_us").to_pylist(), strict=True):
-                ok = now != state or us - last >= least
-                kept.append(ok)
-                if ok:
-                    state, last = now, us
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns).filter(pa.array(kept, pa.bool_()))
-
-    columns, names = events.columns, ["_run", *keys]
-    rest = [f.name for f in events.schema.fields if f.name not in (*keys, ts) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    sorted_ = _cut_at_gaps(events, keys, ts, least).repartition(*names).sortWithinPartitions(*names, "_us", *rest)
-    return sorted_.mapInArrow(keep, events.schema)
+    """An event within minutes of the last kept one of its key goes; of events at one time the first by the other columns stays. Events without time go."""
+    timed = _timed(events, ts)
+    rest = [c for c in events.columns if c not in keys]
+    order = [f.name for f in events.schema.fields if f.name not in (*keys, ts) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = timed.groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.struct(*order) if order else F.lit(0)).alias("_row"))
+    first = written(first, "events")
+    kept = _chains(first.select(*keys, "_us"), keys, round(60_000_000 * minutes)).withColumn("_stays", F.lit(True))
+    return _same(first, kept, keys, "_us").where("_stays").select(*keys, "_row.*").select(*events.columns)
 
 
 def episodes(days: DataFrame, keys: list[str], date: str, least: int = 2) -> DataFrame:

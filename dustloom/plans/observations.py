@@ -444,6 +444,26 @@ def calendar_spine(spark, sf_dir):
     return joins.calendar_spine(m, "month", ["o_orderstatus"], [1995, 1996])
 
 
+@query("j02_calendar_spine_of_season", """WITH m AS (SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS month, round(avg(o_totalprice), 2) AS mean FROM orders WHERE month(o_orderdate) <> 7 GROUP BY 1, 2),
+s AS (SELECT y::VARCHAR || '-' || lpad(k::VARCHAR, 2, '0') AS month FROM range(1995, 1997) t(y), range(6, 9) u(k))
+SELECT o_orderstatus, s.month, mean FROM (SELECT DISTINCT o_orderstatus FROM m) CROSS JOIN s LEFT JOIN m USING (o_orderstatus, month)""")
+def calendar_spine_of_season(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").where(F.month("o_orderdate") != 7).groupBy("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return joins.calendar_spine(m, "month", ["o_orderstatus"], [1995, 1996], season_name="Summer")
+
+
+#: Every February and March day of all years that orders have, by status, with the days without orders.
+@query("j02_calendar_days", """WITH m AS (SELECT o_orderstatus, o_orderdate::DATE AS date, round(sum(o_totalprice), 2) AS total FROM orders WHERE day(o_orderdate) % 5 <> 0 GROUP BY 1, 2),
+y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE day(o_orderdate) % 5 <> 0),
+s AS (SELECT unnest(generate_series(make_date(y, 2, 1), make_date(y, 3, 31), INTERVAL 1 DAY))::DATE AS date FROM y)
+SELECT k.o_orderstatus, s.date, total, year(s.date)::INTEGER AS year, month(s.date)::INTEGER AS month, monthname(s.date) AS month_name, CASE WHEN month(s.date) = 2 THEN 'Winter' ELSE 'Spring' END AS season, year(s.date)::INTEGER AS season_year, day(s.date)::INTEGER AS day, strftime(s.date, '%Y-%d') AS label
+FROM (SELECT DISTINCT o_orderstatus FROM m) k CROSS JOIN s LEFT JOIN m ON m.o_orderstatus = k.o_orderstatus AND m.date = s.date""")
+def calendar_days(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") % 5 != 0)
+    m = o.groupBy("o_orderstatus", F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return joins.calendar_days(m, "date", ["o_orderstatus"], months=[2, 3])
+
+
 @query("j04_cross_source_days", """WITH a AS (SELECT ts::DATE AS date, count(*) AS n0 FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) >= 5), b AS (SELECT ts::DATE AS date, count(*) AS n1 FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) >= 8), c AS (SELECT ts::DATE AS date, count(*) AS n2 FROM events GROUP BY 1 HAVING count(*) >= 20)
 SELECT date, n0, n1, n2 FROM a JOIN b USING (date) JOIN c USING (date)""")
 def cross_source_days(spark, sf_dir):

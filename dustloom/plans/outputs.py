@@ -79,6 +79,20 @@ def publish_latest(spark, sf_dir):
     return sinks.read_latest(spark, path)
 
 
+#: Users of each of the 24 hours up to three publications, by the day of the last one on that day.
+@query("k06_read_archive", """WITH p AS (SELECT * FROM (VALUES (TIMESTAMP '2024-01-05 23:00:00'), (TIMESTAMP '2024-01-06 05:00:00'), (TIMESTAMP '2024-01-06 22:00:00')) t(last)),
+d AS (SELECT last::DATE AS day, max(last) AS last FROM p GROUP BY 1)
+SELECT day, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM d JOIN events ON ts >= last - INTERVAL 23 HOUR AND ts < last + INTERVAL 1 HOUR GROUP BY 1, 2""")
+def read_archive(spark, sf_dir):
+    """Each day keeps all 24 hours of its last publication, whatever is published on the days after."""
+    path = place(spark)
+    hourly = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(count(), F.round(F.sum("value"), 4).alias("total"))
+    for at in ("2024-01-05 23:00:00", "2024-01-06 05:00:00", "2024-01-06 22:00:00"):
+        last = F.lit(at).cast("timestamp_ntz")
+        sinks.publish_latest(hourly.where(F.col("hour").between(last - F.expr("INTERVAL 23 HOURS"), last)), path, "hour", keep=1)
+    return sinks.read_archive(spark, path).select("day", "hour", "n", "total")
+
+
 def sheet_cells(spark, sf_dir, names: list[str], values: list, sheet):
     """Events as rows of cells, a user a workbook, below a title and a header."""
     e = table(spark, sf_dir, "events").withColumn("path", F.col("user_id").cast("string"))

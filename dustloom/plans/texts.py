@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dustloom.functions import columns as C
 from dustloom.operators import reshape, stats, windows
 from dustloom.plans.observations import SEASON, rounded, table
-from dustloom.session import written
-from dustloom.sources import files, sinks, text
+from dustloom.session import shared_dir, written
+from dustloom.sources import binary, files, sinks, text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -195,12 +197,6 @@ def extrapolated(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(got.alias("extrapolated")).agg(count())
 
 
-@query("f27_round6", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS a, round(embedding[2]::DOUBLE, 6) AS b, label FROM embeddings")
-def round6(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return C.round6(e.select("vec_id", e["embedding"][0].cast("double").alias("a"), e["embedding"][1].cast("double").alias("b"), "label"))
-
-
 @query("f27_round_vector", "WITH v AS (SELECT unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT pos::INTEGER AS pos, count(*) AS n, round(min(round(x, 6)), 6) AS low, round(max(round(x, 6)), 6) AS high, round(sum(round(x, 6)), 3) AS total FROM v GROUP BY 1")
 def round_vector(spark, sf_dir):
     """All components of all vectors."""
@@ -372,6 +368,54 @@ def decode_block_candidates(spark, sf_dir):
     return files.decode_block_candidates(blocks, "doc_id", "content", -1000.0, 1e6).groupBy("doc_id").agg(count())
 
 
+def document_blocks(spark, sf_dir):
+    """Blocks of documents between marks, with their bytes and how many a document has."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = files.binary_blocks(docs, "doc_id", "text", MARK)
+    blocks = blocks.join(blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks")), "doc_id").join(docs.select("doc_id", F.col("text").cast("binary").alias("bytes")), "doc_id")
+    return blocks.withColumn("content", F.substring("bytes", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))).drop("bytes")
+
+
+@query("r08_scan_encodings")
+def scan_encodings(spark, sf_dir):
+    """How many numbers each document's first block can hold, in four encodings."""
+    got = files.scan_encodings(document_blocks(spark, sf_dir).where("position = 1"), "doc_id", "content")
+    return got.groupBy("doc_id", "encoding").agg(count(), F.min("at").alias("first"))
+
+
+@query("r08_block_series")
+def block_series(spark, sf_dir):
+    got = files.block_series(document_blocks(spark, sf_dir), "doc_id", "content")
+    return got.groupBy("doc_id", "position").agg(count(), F.max("at").alias("last"))
+
+
+#: Whole blocks: as long as their document's most frequent length, or longer.
+@query("r08_wide_blocks", MARKS + """, c AS (SELECT doc_id, length, count(*) AS n, min(k) AS seen FROM l WHERE length IS NOT NULL GROUP BY 1, 2), m AS (SELECT doc_id, length AS normal FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) = 1)
+SELECT doc_id, k::INTEGER AS position, least(coalesce(length, least(normal, size - o)), size - o)::BIGINT AS length, greatest(0, ceil((normal - 8) / 8.0))::INTEGER AS width FROM l JOIN m USING (doc_id) WHERE coalesce(length, least(normal, size - o)) >= normal""")
+def wide_blocks(spark, sf_dir):
+    got = files.wide_blocks(document_blocks(spark, sf_dir), "doc_id", "content")
+    return got.select("doc_id", "position", "length", F.size("values").alias("width"))
+
+
+#: Forecasts of a customer's orders as one JSON text, taken apart again.
+@query("s13_stitched_series", """SELECT o_custkey AS series, (o_orderkey % 25 * 3)::INTEGER AS forecast_hour, o_orderdate::DATE AS source_day, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::TIMESTAMP + INTERVAL (o_orderkey % 24) HOUR END AS ts, o_totalprice AS value FROM orders""")
+def read_stitched(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    stamp = F.concat(F.date_format("o_orderdate", "d-M-yyyy"), F.lit(" - "), F.col("o_orderkey") % 24, F.lit(":00"))
+    entry = F.struct((F.col("o_orderkey") % 25 * 3).alias("forecast_hour"), F.to_date("o_orderdate").alias("source_day"), F.when(F.col("o_orderkey") % 7 > 0, stamp).otherwise("no time").alias("timestamp"), F.col("o_totalprice").alias("value"))
+    texts = o.groupBy(F.col("o_custkey").alias("series")).agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("json"))
+    return files.stitched_series(texts, "json", ["series"])
+
+
+#: Marks in files by language, which are read by ranges of a million bytes.
+@query("s14_marked_files", "SELECT lang, sum((strlen(text) - strlen(replace(text, 'the', ''))) // 3)::BIGINT AS n FROM documents GROUP BY 1 HAVING n > 0")
+def marked_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/marked-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").option("lineSep", "\n").text(path)
+    blocks = binary.marked_blocks(spark, [path], b"the", 1 << 20)
+    return blocks.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(count())
+
+
 @query("r09_printable_strings", r"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e]{40,}')) AS t FROM documents) SELECT doc_id, count(*) AS n, max(length(t))::INTEGER AS longest FROM r GROUP BY 1")
 def printable_strings(spark, sf_dir):
     got = files.printable_strings(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
@@ -384,13 +428,16 @@ def explode_arrays(spark, sf_dir):
     return files.explode_arrays(table(spark, sf_dir, "embeddings").withColumn("a", nested), ["vec_id"], "a", 2)
 
 
-@query("s16_read_monthly_grid", "SELECT date_trunc('month', o_orderdate)::DATE AS month, CASE WHEN o_orderkey % 2 = 0 THEN 'Terra' ELSE 'Aqua' END AS platform, count(*) AS n, round(sum(o_totalprice * 0.001), 4) AS aod FROM orders WHERE o_custkey % 180 - 90 = 42 AND o_custkey % 360 - 180 = 23 - 1 AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2")
+@query("s16_read_monthly_grid", """WITH g AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, CASE WHEN o_orderkey % 2 = 0 THEN 'Terra' ELSE 'Aqua' END AS platform, o_custkey % 4 + 40 AS lat_cell, o_custkey % 6 + 20 AS lon_cell, count(*) AS rows_, CASE WHEN count(*) > 1 THEN sum(o_totalprice) END AS raw FROM orders GROUP BY ALL)
+SELECT month, platform, rows_ AS n, round(raw * 0.001, 4) AS aod, round(raw * 0.001, 4) AS angstrom FROM g WHERE lat_cell = 42 AND lon_cell = 22 AND month BETWEEN DATE '1996-01-01' AND DATE '1998-07-01'""")
 def read_monthly_grid(spark, sf_dir):
+    """Orders as a grid of cells, two platforms and months; cells with one row have no value. The last month counts."""
     import datetime
 
-    o = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("month"), F.when(F.col("o_orderkey") % 2 == 0, "Terra").otherwise("Aqua").alias("platform"), (F.col("o_custkey") % 180 - 90).alias("lat_cell"), (F.col("o_custkey") % 360 - 180).alias("lon_cell"), F.col("o_totalprice").alias("aod_raw"), F.col("o_totalprice").alias("ae_raw"))
-    got = files.read_monthly_grid(o, 42.7, 22.3, datetime.date(1996, 1, 1), datetime.date(1999, 12, 31), ["Terra", "Aqua"])
-    return rounded(got.groupBy("month", "platform").agg(count(), F.sum("aod_550_nm").alias("aod")))
+    by = {"month": F.trunc("o_orderdate", "month"), "platform": F.when(F.col("o_orderkey") % 2 == 0, "Terra").otherwise("Aqua"), "lat_cell": F.col("o_custkey") % 4 + 40, "lon_cell": F.col("o_custkey") % 6 + 20}
+    grid = table(spark, sf_dir, "orders").groupBy(*(c.alias(n) for n, c in by.items())).agg(count(), F.when(F.count(F.lit(1)) > 1, F.sum("o_totalprice")).alias("aod_raw"))
+    got = files.read_monthly_grid(grid.withColumn("ae_raw", F.col("aod_raw")), 42.7, 22.3, datetime.date(1996, 1, 1), datetime.date(1998, 7, 1), ["Terra", "Aqua"], kept=("n",))
+    return rounded(got.select("month", "platform", "n", F.col("aod_550_nm").alias("aod"), F.col("angstrom_exponent").alias("angstrom")))
 
 
 @query("s17_read_profile_sheet", "SELECT profile_time, wavelength, count(v) AS n, round(sum(v), 4) AS total FROM (SELECT '10:00' AS profile_time, '355' AS wavelength, l_tax AS v FROM lineitem UNION ALL SELECT '10:30', '532', CASE WHEN l_orderkey % 2 = 0 THEN l_discount END FROM lineitem) GROUP BY 1, 2")

@@ -63,10 +63,25 @@ def local_minima(spark, sf_dir):
 i AS (SELECT *, sum(CASE WHEN lat > 40 AND NOT coalesce(pe > 40, false) THEN 1 ELSE 0 END) OVER (PARTITION BY object ORDER BY ts) AS island FROM m)
 SELECT object, round(arg_min(coalesce(CASE WHEN pe <= 40 THEN ps + (s - ps) * (40 - pe) / (lat - pe) END, -1), ts), 2) AS rise, round(arg_max(coalesce(CASE WHEN ne <= 40 THEN s + (ns - s) * (lat - 40) / (lat - ne) END, -1), ts), 2) AS "set", max(lat) AS peak FROM i WHERE lat > 40 GROUP BY object, island""")
 def passes(spark, sf_dir):
-    got = windows.passes(samples(spark, sf_dir), ["object"], "ts", "lat", 40.0)
+    got = windows.passes(samples(spark, sf_dir), ["object"], "ts", "lat", 40.0, closed=False)
     return got.select("object", F.round(F.coalesce("rise", F.lit(-1.0)), 2).alias("rise"), F.round(F.coalesce("set", F.lit(-1.0)), 2).alias("set"), "peak")
 
 
+#: Passes above 40 that the samples show whole and that overlap three weeks, with longitudes as azimuths and numbers as ranges.
+@query("w05_passes_in_full", TRACK + """, z AS (SELECT object, ts, lat, event_id, epoch_us(ts) / 1e6 AS s, (event_id * 7) % 360 AS az FROM s),
+m AS (SELECT *, lag(lat) OVER w AS pe, lag(s) OVER w AS ps, lag(az) OVER w AS pa, lead(lat) OVER w AS ne, lead(s) OVER w AS ns, lead(az) OVER w AS na FROM z WINDOW w AS (PARTITION BY object ORDER BY ts)),
+i AS (SELECT *, sum(CASE WHEN lat >= 40 AND NOT coalesce(pe >= 40, false) THEN 1 ELSE 0 END) OVER (PARTITION BY object ORDER BY ts) AS island, (40 - pe) / (lat - pe) AS up, (lat - 40) / (lat - ne) AS down FROM m),
+g AS (SELECT object, min(CASE WHEN pe < 40 THEN ps + (s - ps) * up END) AS rise, max(CASE WHEN ne < 40 THEN s + (ns - s) * down END) AS "set", max(lat) AS peak, arg_max(s, (lat, -s)) AS peak_at,
+  max(CASE WHEN pe < 40 THEN pa + (((az - pa + 540) % 360) - 180) * up END) AS ra, arg_max(az, (lat, -s)) AS peak_azimuth, max(CASE WHEN ne < 40 THEN az + (((na - az + 540) % 360) - 180) * down END) AS sa, arg_max(event_id, (lat, -s)) AS peak_range
+  FROM i WHERE lat >= 40 GROUP BY object, island)
+SELECT object, round(rise, 2) AS rise, round("set", 2) AS "set", peak, round(peak_at, 2) AS peak_at, round(ra - 360 * floor(ra / 360), 3) AS rise_azimuth, peak_azimuth, round(sa - 360 * floor(sa / 360), 3) AS set_azimuth, peak_range, rise < 1704672000 AS ongoing
+FROM g WHERE rise IS NOT NULL AND "set" > 1704672000 AND rise < 1706400000""")
+def passes_in_full(spark, sf_dir):
+    seen = samples(spark, sf_dir).withColumn("az", F.col("event_id") * 7 % 360)
+    got = windows.passes(seen, ["object"], "ts", "lat", 40.0, "az", "event_id", 1704672000.0, 1706400000.0)
+    return got.select("object", F.round("rise", 2).alias("rise"), F.round("set", 2).alias("set"), "peak", F.round("peak_at", 2).alias("peak_at"), F.round("rise_azimuth", 3).alias("rise_azimuth"), "peak_azimuth", F.round("set_azimuth", 3).alias("set_azimuth"), "peak_range", "ongoing")
+
+
 @query("w06_track_segments", TRACK + """, j AS (SELECT *, coalesce((abs(lon - lag(lon) OVER (PARTITION BY object ORDER BY ts)) > 180)::INTEGER, 0) AS jump FROM s), g AS (SELECT *, (sum(jump) OVER (PARTITION BY object ORDER BY ts))::BIGINT AS segment FROM j)
 SELECT object, segment, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) > 1""")
 def track_segments(spark, sf_dir):
@@ -141,11 +156,11 @@ v AS (SELECT object, ts, event_id, lat, lon, foot_lat, foot_lon, lag(ts) OVER w
 d AS (SELECT *, {great_circle_sql('lat', 'lon')} AS km, {great_circle_sql('lat_a', 'lon_a')} AS a, {great_circle_sql('lat_b', 'lon_b')} AS b FROM v, o),
 i AS (SELECT *, sum(CASE WHEN a IS NULL OR a > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY object, target ORDER BY ts) AS run FROM d WHERE km <= 1500),
 c AS (SELECT object, target, run, min(CASE WHEN a > 1500 THEN ts + to_microseconds(round((epoch_us(ts_a) - epoch_us(ts)) * ((1500 - km) / (a - km)))::BIGINT) WHEN a IS NULL THEN ts END) AS entry, max(CASE WHEN b > 1500 THEN ts + to_microseconds(round((epoch_us(ts_b) - epoch_us(ts)) * ((1500 - km) / (b - km)))::BIGINT) WHEN b IS NULL THEN ts END) AS "exit", count(*) AS samples FROM i GROUP BY 1, 2, 3),
-l AS MATERIALIZED (SELECT * FROM i WHERE km <= a AND km <= b),
+l AS MATERIALIZED (SELECT * FROM i JOIN c USING (object, target, run) WHERE km <= a AND km <= b AND foot_lat IS NOT NULL AND "exit" > TIMESTAMP '2024-01-02' AND entry < TIMESTAMP '2024-01-30'),
 y AS MATERIALIZED (SELECT a.object, a.target, a.ts, b.ts AS later FROM (SELECT DISTINCT object, target, ts FROM l) a ASOF LEFT JOIN (SELECT DISTINCT object, target, ts FROM l) b ON a.object = b.object AND a.target = b.target AND a.ts + INTERVAL 30 MINUTE <= b.ts),
 k AS (SELECT object, target, min(ts) AS ts FROM l GROUP BY 1, 2 UNION ALL SELECT y.object, y.target, y.later FROM k JOIN y ON y.object = k.object AND y.target = k.target AND y.ts = k.ts WHERE y.later IS NOT NULL)
 SELECT object, target, event_id, round(km, 3) AS km, round(foot_lat, 4) AS foot_lat, round(foot_lon, 4) AS foot_lon, date_trunc('second', entry) AS entry, date_trunc('second', "exit") AS "exit", samples, entry < TIMESTAMP '2024-01-02' AS ongoing
-FROM (SELECT * FROM l JOIN k USING (object, target, ts) QUALIFY row_number() OVER (PARTITION BY object, target, ts ORDER BY event_id) = 1) JOIN c USING (object, target, run) WHERE "exit" > TIMESTAMP '2024-01-02' AND entry < TIMESTAMP '2024-01-30'""")
+FROM (SELECT * FROM l JOIN k USING (object, target, ts) QUALIFY row_number() OVER (PARTITION BY object, target, ts ORDER BY event_id) = 1)""")
 def target_events(spark, sf_dir):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
     feet = geo.sample_footprints(positions(spark, sf_dir), ["object"], "ts").select("object", "ts", "event_id", "lat", "lon", "foot_lat", "foot_lon")

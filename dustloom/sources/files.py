@@ -139,21 +139,90 @@ def binary_blocks(blobs: DataFrame, key: str, content: str, marker: bytes = MARK
     return offsets.join(modal, key, "left").select(key, "position", "offset", F.coalesce("length", F.least(F.coalesce("modal", rest), rest)).alias("length"))
 
 
-def decode_block_candidates(blocks: DataFrame, key: str, content: str, low: float, high: float, aligned: bool = False) -> DataFrame:
-    """blocks: key, position, content. Each big-endian double within range: key, position, at, value."""
+#: The encodings in which a number may be stored, in the order in which they are tried.
+ENCODINGS = {"float64_be": ">f8", "float64_le": "<f8", "float32_be": ">f4", "float32_le": "<f4"}
+#: Offsets that are decoded at once.
+DECODED_AT_ONCE = 1 << 16
+
+
+def _numbers(raw: bytes, form: str, step: int, stop: int, low: float, high: float):
+    """Offsets below stop, step apart, and values there that are finite and within range, some offsets at a time."""
+    width = np.dtype(form).itemsize
+    stop = min(stop, len(raw) - width + 1)
+    for at in range(0, max(0, stop), DECODED_AT_ONCE):  # a multiple of any step
+        end = min(stop, at + DECODED_AT_ONCE)
+        values = np.ndarray((-(-(end - at) // step),), np.dtype(form), raw, at, (step,)).astype(float)
+        ok = np.flatnonzero(np.isfinite(values) & (values >= low) & (values <= high))
+        yield at + ok * step, values[ok]
+
+
+def _decoded(blocks: DataFrame, key: str, content: str, schema: str, rows) -> DataFrame:
+    """rows(data) gives tuples of arrays, one for each column of schema after key and position."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def decode(batches):
         for pdf in batches:
             for k, p, data in zip(pdf["key"], pdf["position"], pdf["content"], strict=True):
-                raw = np.frombuffer(bytes(data or b""), np.uint8)
-                starts = np.arange(0, max(0, len(raw) - 7), 8 if aligned else 1)
-                values = raw[starts[:, None] + np.arange(8)].copy().view(">f8")[:, 0].astype(float) if len(starts) else np.zeros(0)
-                ok = np.isfinite(values) & (values >= low) & (values <= high)
-                yield pd.DataFrame({key: pd.Series([k] * int(ok.sum()), dtype=object), "position": [p] * int(ok.sum()), "at": starts[ok], "value": values[ok]})
+                for columns in rows(bytes(data or b"")):
+                    n = len(columns[0])
+                    yield pd.DataFrame({key: pd.Series([k] * n, dtype=object), "position": [p] * n, **dict(zip(names, columns, strict=True))})
 
     kind = blocks.schema[key].dataType.simpleString()
     given = blocks.select(F.col(key).alias("key"), F.col("position").cast("int").alias("position"), F.col(content).cast("binary").alias("content"))
-    return given.mapInPandas(decode, f"{key} {kind}, position int, at long, value double")
+    return given.mapInPandas(decode, f"{key} {kind}, position int, {schema}")
+
+
+def decode_block_candidates(blocks: DataFrame, key: str, content: str, low: float, high: float, aligned: bool = False) -> DataFrame:
+    """blocks: key, position, content. Each big-endian double within range: key, position, at, value."""
+    return _decoded(blocks, key, content, "at long, value double", lambda raw: _numbers(raw, ">f8", 8 if aligned else 1, len(raw), low, high))
+
+
+def scan_encodings(blocks: DataFrame, key: str, content: str, low: float = -1000.0, high: float = 1e6) -> DataFrame:
+    """Every offset of a block in four encodings: key, position, at, encoding, value. Meant for a file's first block."""
+
+    def rows(raw: bytes):
+        for name, form in ENCODINGS.items():
+            for at, values in _numbers(raw, form, 1, len(raw), low, high):
+                yield at, np.full(len(at), name, dtype=object), values
+
+    return _decoded(blocks, key, content, "at long, encoding string, value double", rows)
+
+
+def _whole(blocks: DataFrame, key: str) -> DataFrame:
+    """blocks (key, position, length and more) that are as long as their file's most frequent length, with _normal, that length."""
+    from dustloom.operators.stats import block_spacing
+
+    followed = blocks.where(F.col("position") < F.col("blocks")).select(key, "position", "length")
+    normal = block_spacing(followed, [key]).where("modal").select(key, F.col("length").alias("_normal"))
+    return blocks.join(normal, key).where(F.col("length") >= F.col("_normal"))
+
+
+def block_series(blocks: DataFrame, key: str, content: str, low: float = -100.0, high: float = 1e5) -> DataFrame:
+    """Of whole blocks each big-endian double within range, at every offset that leaves more than eight bytes of the usual length.
+
+    blocks: key, position, length, blocks (how many its file has) and content. Shorter blocks are left out, longer ones are cut.
+    """
+    cut = _whole(blocks, key).select(key, "position", F.substring(F.col(content).cast("binary"), F.lit(1), F.col("_normal").cast("int")).alias("content"))
+    return _decoded(cut, key, "content", "at long, value double", lambda raw: _numbers(raw, ">f8", 1, len(raw) - 8, low, high))
+
+
+def wide_blocks(blocks: DataFrame, key: str, content: str, low: float = -1000.0, high: float = 1e6) -> DataFrame:
+    """Of whole blocks (as for block_series) one row: key, position, length and values, the doubles at each eighth offset that
+    leaves more than eight bytes, NULL where not within range."""
+
+    def widen(batches):
+        for pdf in batches:
+            rows = []
+            for raw in pdf["content"]:
+                values = np.ndarray((max(0, -(-(len(raw) - 8) // 8)),), np.dtype(">f8"), bytes(raw), 0, (8,)).astype(float)
+                ok = np.isfinite(values) & (values >= low) & (values <= high)
+                rows.append([float(v) if keep else None for v, keep in zip(values, ok, strict=True)])
+            yield pd.DataFrame({key: pdf["key"], "position": pdf["position"], "length": pdf["length"], "values": pd.Series(rows, dtype=object)})
+
+    whole = _whole(blocks, key)
+    kind = blocks.schema[key].dataType.simpleString()
+    given = whole.select(F.col(key).alias("key"), F.col("position").cast("int").alias("position"), F.col("length").cast("long").alias("length"), F.substring(F.col(content).cast("binary"), F.lit(1), F.col("_normal").cast("int")).alias("content"))
+    return given.mapInPandas(widen, f"{key} {kind}, position int, length long, values array<double>")
 
 
 def printable_strings(blobs: DataFrame, key: str, content: str, least: int = 4) -> DataFrame:
@@ -187,15 +256,15 @@ def explode_arrays(df: DataFrame, keys: list[str], array: str, dims: int, width:
     return out.withColumnRenamed("_v", "value").drop(*sizes)
 
 
-def read_monthly_grid(df: DataFrame, lat: float, lon: float, first, last, platforms: list[str], factor: float = 0.001) -> DataFrame:
-    """df: platform, month, lat_cell, lon_cell, raw values. The cell of a point; last is inclusive; missing values stay."""
+def read_monthly_grid(df: DataFrame, lat: float, lon: float, first, last, platforms: list[str], factor: float = 0.001, kept: tuple[str, ...] = ()) -> DataFrame:
+    """df: platform, month, lat_cell, lon_cell, raw values. The cell of a point; last is inclusive; missing values stay, as do columns named in kept."""
     if not (-90 <= lat <= 90 and -180 <= lon <= 180):
         raise ValueError("coordinates out of range")
     if first > last:
         raise ValueError("dates in the wrong order")
     cell = (F.col("lat_cell") == F.floor(F.lit(lat))) & (F.col("lon_cell") == F.floor(F.lit(lon)))
     kept = df.where(cell & F.col("month").between(first, last) & F.col("platform").isin(platforms))
-    return kept.select("month", "platform", (F.col("aod_raw") * factor).alias("aod_550_nm"), (F.col("ae_raw") * factor).alias("angstrom_exponent"), F.lit(lat).alias("latitude"), F.lit(lon).alias("longitude")).orderBy("month", "platform")
+    return kept.select("month", "platform", (F.col("aod_raw") * factor).alias("aod_550_nm"), (F.col("ae_raw") * factor).alias("angstrom_exponent"), F.lit(lat).alias("latitude"), F.lit(lon).alias("longitude"), *kept).orderBy("month", "platform")
 
 
 def read_profile_sheet(df: DataFrame, altitude: str) -> DataFrame:
@@ -238,9 +307,14 @@ def read_point_forecast(docs: DataFrame, json: str = "json") -> DataFrame:
     return flat.unionByName(deep.select("timestamp_utc", "forecast_hour", "variable", F.col("k").try_cast("double").alias("level_m"), finite(F.col("v")).alias("value")))
 
 
+def stitched_series(texts: DataFrame, json: str, kept: list[str] = ()) -> DataFrame:
+    """Of a column of JSON texts {"data": [...]}: kept columns, forecast_hour, source_day, ts, value. Texts that aren't such give no rows."""
+    raw = texts.select(*kept, F.from_json(json, "data array<struct<forecast_hour int, source_day date, timestamp string, value double>>").alias("_j"))
+    return raw.select(*kept, F.explode("_j.data").alias("d")).select(*kept, "d.forecast_hour", "d.source_day", F.try_to_timestamp("d.timestamp", F.lit("d-M-yyyy - H:mm")).alias("ts"), "d.value")
+
+
 def read_stitched_series(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema("data array<struct<forecast_hour int, source_day date, timestamp string, value double>>").json(path)
-    return raw.select(F.explode("data").alias("d")).select("d.forecast_hour", "d.source_day", F.try_to_timestamp("d.timestamp", F.lit("d-M-yyyy - H:mm")).alias("ts"), "d.value")
+    return stitched_series(spark.read.text(path, wholetext=True), "value")
 
 
 #: Payload fields by message type.

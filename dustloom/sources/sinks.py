@@ -51,26 +51,45 @@ def write_events_csv(df: DataFrame, path: str, cols: list[str]) -> None:
     df.select(*cols).write.options(header=True, quoteAll=True, **TIMES).mode("overwrite").csv(path)
 
 
-def published(spark: SparkSession, path: str) -> int:
-    """The number of the newest publication; 0 before the first."""
+def publications(spark: SparkSession, path: str) -> DataFrame:
+    """number and day of each publication that was finished; none before the first."""
     try:
-        return spark.read.schema("number long").parquet(f"{path}/published").agg(F.max("number")).first()[0] or 0
+        return spark.read.schema("number long, day date").parquet(f"{path}/published")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0
+        return spark.createDataFrame([], "number long, day date")
 
 
-def publish_latest(points: DataFrame, path: str, ts: str) -> None:
-    """Writes the newest table beside the one before, then adds its number to `published`, and replaces the archive's days.
+def publish_latest(points: DataFrame, path: str, ts: str, keep: int = 24) -> None:
+    """Adds a table of its own number, then one row with that number and the day of the table's newest time to the log.
 
-    Two places are written in turn, so that who began to read the last table still finds it whole while the next is written.
+    Tables aren't changed once they are in the log, so who reads one keeps it whole while the next are written. The archive of a
+    day is the last table that was published on it. Tables older than the last keep ones go, unless they are an archive's. One
+    job publishes to a path at a time; a table that it didn't bring to the log is replaced by the next. A table without times isn't published.
     """
-    number = published(points.sparkSession, path) + 1
-    points.write.mode("overwrite").parquet(f"{path}/latest-{number % 2}")
-    write_partitioned_days(points, f"{path}/archive", ts)
-    points.sparkSession.range(1).select(F.lit(number).cast("long").alias("number")).write.mode("append").parquet(f"{path}/published")
+    spark = points.sparkSession
+    log = publications(spark, path)
+    number = (log.agg(F.max("number")).first()[0] or 0) + 1
+    table = f"{path}/tables/number={number}"
+    points.write.mode("overwrite").parquet(table)
+    entry = spark.read.schema(points.schema).parquet(table).agg(F.lit(number).cast("long").alias("number"), F.to_date(F.max(ts)).alias("day")).where("day IS NOT NULL")
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/published")
+    # one row a publication: the log alone tells what can go
+    last = publications(spark, path).groupBy("day").agg(F.max("number").alias("number"))
+    old = log.join(last, "number", "left_anti").where(F.col("number") <= number - keep).where(F.col("number") > number - 3 * keep)
+    for row in old.select("number").collect():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tables/number={row['number']}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/latest-{published(spark, path) % 2}")
+    """The newest table, as it was when this was called, for as long as keep publications."""
+    number = publications(spark, path).agg(F.max("number")).first()[0]
+    return spark.read.parquet(f"{path}/tables/number={number}")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """day, the day of publication, and the last table that was published on it, for all days."""
+    last = publications(spark, path).groupBy("day").agg(F.max("number").alias("number"))
+    return spark.read.parquet(f"{path}/tables").join(F.broadcast(last), "number").drop("number")

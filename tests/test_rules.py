@@ -311,25 +311,6 @@ def test_retrieval_workbooks_and_stitched_series(spark, tmp_path):
     assert [(r["forecast_hour"], str(r["source_day"]), r["ts"], r["value"]) for r in got] == [(3, "2023-07-19", dt.datetime(2023, 7, 19, 3), 0.25), (6, "2023-07-19", None, None)]
 
 
-def test_exact_quantiles(spark, monkeypatch):
-    """Against numpy, with a coarse sketch too, on ties, null keys and groups of one row; no aggregate holds a group's values."""
-    import numpy as np
-
-    draw = np.random.default_rng(8)
-    groups = {"a": draw.normal(0, 1, 3000), "b": np.round(draw.exponential(1, 2000), 1), "c": np.array([4.0]), "d": np.array([1.0, 2.0]), None: draw.integers(0, 3, 500).astype(float), "e": np.full(50, 7.0)}
-    rows = [(k, float(x)) for k, own in groups.items() for x in own] + [("f", None)]
-    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
-    ps = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
-    for accuracy in (10_000, 50):
-        monkeypatch.setattr(stats, "ACCURACY", accuracy)
-        out = stats.exact_quantiles(df, ["k"], ps)
-        got = {r["k"]: r["q"] for r in out.collect()}
-        assert set(got) == set(groups)
-        for k, own in groups.items():
-            assert np.allclose(got[k], np.quantile(own, ps)), (accuracy, k)
-    assert " percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_target_events_by_brute_force(spark):
     """A straight pass: entry and exit lie where the distance crosses the radius, the closest sample is the minimum."""
     start = dt.datetime(2020, 1, 1)
@@ -345,7 +326,7 @@ def test_target_events_by_brute_force(spark):
     assert geo.target_events(df, targets, "ts", radius, at(20), at(30)).count() == 0
 
 
-def test_days_with_halo_equal_whole_keys(spark):
+def test_runs_over_days_equal_whole_keys(spark):
     """Neighbours and runs over midnight, over days without rows and for a null key are those of the whole key in time."""
     import random
 
