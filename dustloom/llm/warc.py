@@ -5,7 +5,7 @@ line a record, and a list of both. Sizes may pass 4 GiB: the directories are ZIP
 the shared folder and only those count that are in the table which the writing job returns, so a task that is run again leaves none twice.
 
 Reading has three steps, each a distributed one: packages' ends give the directories (plain or ZIP64) and with them where
-members begin; index members give offsets of records, in ranges of lines; records are sorted by place and read in ranges
+members begin; index members give places of records, in ranges of lines (lines of archives that the package doesn't have count for nothing); records are sorted by place and read in ranges
 where neighbours are read as one. A package without an index is walked record by record. Members that are not stored
 can't be read by ranges: an index is inflated as a stream, an archive is an error.
 
@@ -243,14 +243,15 @@ def members(paths: DataFrame) -> DataFrame:
 
 
 def _lines(batches):
-    """Lines of index members that begin in given ranges, to the archive's name and the record's range in it."""
-    schema = pa.schema([("path", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+    """Lines of index members that begin in given ranges, to the places of their records in the package."""
+    schema = _schema(RECORDS)
     for batch in batches:
-        for path, method, offset, stored, begin in zip(*(batch.column(c).to_pylist() for c in ("path", "method", "offset", "stored_bytes", "begin")), strict=True):
+        for path, method, offset, stored, begin, archives in zip(*(batch.column(c).to_pylist() for c in ("path", "method", "offset", "stored_bytes", "begin", "archives")), strict=True):
+            at = {a["file"]: (a["member"], a["offset"]) for a in archives}
             files, where = opened(path)
             with files.open_input_file(where) as file:
                 for rows in _parsed(_owned_lines(file, method, offset, stored, begin)):
-                    yield _batch(schema, [(path, *r) for r in rows])
+                    yield _batch(schema, [(path, at[name][0], at[name][1] + start, length) for name, start, length in rows if name in at])
 
 
 def _owned_lines(file, method: int, offset: int, stored: int, begin: int) -> Iterator[bytes]:
@@ -335,11 +336,11 @@ def record_ranges(paths: DataFrame) -> DataFrame:
         raise ValueError(f"{bad['member']} of {bad['path']} is deflated, so its records can't be read by ranges")
     indexes = named.where(F.col("member").rlike(r"^indexes/[^/]+\.cdxj?$"))
     begins = F.when(F.col("method") == 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("stored_bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    parts = indexes.select("path", "method", "offset", "stored_bytes", F.explode(begins).alias("begin")).repartition("path", "begin")
-    lines = parts.mapInArrow(_lines, "path string, file string, start long, length long")
-    at = archives.select("path", "member", "offset", F.regexp_extract("member", "[^/]+$", 0).alias("file"))
-    listed = lines.join(at, ["path", "file"]).select("path", "member", (F.col("offset") + F.col("start")).alias("start"), "length")
-    bare = archives.join(indexes.select("path").distinct(), "path", "left_anti").select("path", "member", "offset", "stored_bytes").repartition("path", "member")
+    # what archives a package has goes with the ranges of its index, so that no join meets the lines
+    held = archives.groupBy("path").agg(F.collect_list(F.struct(F.regexp_extract("member", "[^/]+$", 0).alias("file"), "member", "offset")).alias("archives"))
+    parts = indexes.hint("merge").join(held, "path").select("path", "method", "offset", "stored_bytes", "archives", F.explode(begins).alias("begin")).repartition("path", "begin")
+    listed = parts.mapInArrow(_lines, RECORDS)
+    bare = archives.hint("merge").join(indexes.select("path").distinct(), "path", "left_anti").select("path", "member", "offset", "stored_bytes").repartition("path", "member")
     return listed.unionByName(bare.mapInArrow(_walked, RECORDS))
 
 

@@ -189,21 +189,25 @@ def package(path, index=True, index_kind=zipfile.ZIP_STORED, archive_kind=zipfil
             z.comment = comment
 
 
-@pytest.mark.parametrize("how", [{}, {"index": False}, {"index_kind": zipfile.ZIP_DEFLATED}, {"comment": b"PK\x05\x06" + b"z" * 300}, {"before": b"#!stub\n" * 9}, {"key": ""}])
-@pytest.mark.parametrize("large", [False, True])
-def test_packages_of_others(spark, tmp_path, monkeypatch, how, large):
-    """With comments, with bytes before, without an index, with a deflated one, and with ZIP64 directories."""
-    if large:
-        monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)
-        monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
-    package(tmp_path / "a.wacz", **how)
-    got = warc.read_packages(spark.createDataFrame([(str(tmp_path / "a.wacz"),)], "path string")).orderBy("page_id").collect()
-    assert [(r["page_id"], r["payload_bytes"], bytes(r["payload"])[:1]) for r in got] == [(0, 10, b"a"), (1, 5000, b"b"), (2, 0, b"")]
-    if how.get("comment"):  # Python's reader takes the comment for a directory
-        return
-    with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "a.wacz")) as f, zipfile.ZipFile(tmp_path / "a.wacz") as z:
-        assert [(m[0], m[1], m[4], m[5], m[6]) for m in warc.directory(f, f.size())] == [(i.filename, i.compress_type, i.compress_size, i.file_size, i.CRC) for i in z.infolist()]
-        assert (b"PK\x06\x06" in (tmp_path / "a.wacz").read_bytes()) == large
+HOWS = [{}, {"index": False}, {"index_kind": zipfile.ZIP_DEFLATED}, {"comment": b"PK\x05\x06" + b"z" * 300}, {"before": b"#!stub\n" * 9}, {"key": ""}]
+
+
+def test_packages_of_others(spark, tmp_path, monkeypatch):
+    """With comments, with bytes before, without an index, with a deflated one; all also with ZIP64 directories."""
+    for i, how in enumerate(HOWS):
+        package(tmp_path / f"{i}.wacz", **how)
+        with monkeypatch.context() as m:
+            m.setattr(zipfile, "ZIP64_LIMIT", 100)
+            m.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+            package(tmp_path / f"{i}-64.wacz", **how)
+        assert [b"PK\x06\x06" in (tmp_path / f"{i}{x}.wacz").read_bytes() for x in ("", "-64")] == [False, True]
+    paths = sorted(str(p) for p in tmp_path.glob("*.wacz"))
+    got = warc.read_packages(spark.createDataFrame([(p,) for p in paths], "path string")).orderBy("path", "page_id").collect()
+    assert [(r["path"], r["page_id"], r["payload_bytes"], bytes(r["payload"])[:1]) for r in got] == [(p, *x) for p in paths for x in ((0, 10, b"a"), (1, 5000, b"b"), (2, 0, b""))]
+    for path in paths:
+        if "comment" not in HOWS[int(path.rpartition("/")[2][0])]:  # Python's reader takes that comment for a directory
+            with pyarrow.fs.LocalFileSystem().open_input_file(path) as f, zipfile.ZipFile(path) as z:
+                assert [(m[0], m[1], m[4], m[5], m[6]) for m in warc.directory(f, f.size())] == [(i.filename, i.compress_type, i.compress_size, i.file_size, i.CRC) for i in z.infolist()]
 
 
 def test_broken_packages(spark, tmp_path):
