@@ -10,6 +10,10 @@ retries don't change a segmentation.
 A piece of merge rank n has weight (n + 2) ** -alpha, after Zipf's law; a character without piece is spelled in
 byte pieces. As in the library a space is put before a text and white space is kept, so decoding gives the text.
 
+A chunk of LONG_CHUNK characters or more (text without spaces) has no lattice of its own in memory: only the logarithms of
+its forward sums are held, eight bytes a character, and the pieces that end at a node are looked up again on the way back.
+The random numbers and the order of pieces are the same.
+
 Lattices are kept for a worker's later batches while they and their chunks' texts take KEPT_BYTES at most. A model
 with a piece that holds a space after another character is refused, as chunks would lose it.
 
@@ -21,7 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from itertools import chain, repeat
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,8 @@ ALPHA = 0.7
 CHUNK_BYTES = 2 << 20
 #: Most memory for the lattices that a worker keeps.
 KEPT_BYTES = 96 << 20
+#: Characters from which a chunk is sampled without a lattice in memory.
+LONG_CHUNK = 1 << 18
 _SPACED = re.compile(r" *[^ ]+| +")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -78,6 +86,7 @@ class Pieces:
                 nodes[key] = (i, (2.0 - model.get_score(i)) ** -alpha)
         self.byte_weight = (2.0 + size) ** -alpha
         self.base: Lattices | None = None
+        self.texts: tuple[dict, dict] | None = None
         self.number: dict[str, int] = {}
         # all prefixes of pieces in an open table: hash, piece or -1, weight
         bits = max(4, len(nodes).bit_length() + 1)  # at most half full
@@ -103,6 +112,18 @@ class Pieces:
             odd = odd[seen[odd] != key[odd]]
         return out
 
+    def by_text(self) -> tuple[dict[str, tuple[int, float]], dict[str, int]]:
+        """For long chunks, each piece's identifier and the logarithm of its weight, and the longest piece by its last character."""
+        if self.texts is None:
+            texts, longest = {}, {}
+            for key in np.flatnonzero(self.ids >= 0).tolist():
+                i = int(self.ids[key])
+                piece = self.bytes[i].decode()
+                texts[piece] = (i, log(self.weights[key]))
+                longest[piece[-1]] = max(longest.get(piece[-1], 1), len(piece))
+            self.texts = texts, longest
+        return self.texts
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8")
 
@@ -145,7 +166,7 @@ class Lattices:
         # nodes: one more than characters in each chunk
         node_from, offset = start + word, start - begin[word] + size
         node_to = node_from + size
-        order = np.argsort((offset << 40) + (node_to << 8) + size)
+        order = np.argsort((offset << 40) + (node_to << 8) + size)  # offsets are below LONG_CHUNK, nodes below 2**32
         start, size, piece, weight, node_from, node_to, offset = (x[order] for x in (start, size, piece, weight, node_from, node_to, offset))
         alpha = np.zeros(len(codes) + len(texts))
         alpha[begin + np.arange(len(texts))] = 1.0
@@ -221,6 +242,42 @@ class Lattices:
         return self.piece[out], steps
 
 
+class LongChunk:
+    """One chunk too long for a lattice: logarithms of the forward sums of its nodes."""
+
+    def __init__(self, pieces: Pieces, text: str):
+        self.pieces, self.text = pieces, text
+        self.sums = array("d", [0.0])
+        for to in range(1, len(text) + 1):
+            found = [self.sums[to - n] + weight for n, _, weight in self.ending(to)]
+            most = max(found)
+            self.sums.append(most + log(sum(exp(x - most) for x in found)))
+
+    def ending(self, to: int):
+        """Size, piece and logarithm of its weight of each piece that ends at a node, shorter ones first."""
+        by_text, longest = self.pieces.by_text()
+        for n in range(1, min(longest.get(self.text[to - 1], 1), to) + 1):
+            hit = by_text.get(self.text[to - n : to])
+            if hit:
+                yield n, *hit
+            elif n == 1:
+                code = ord(self.text[to - 1])
+                yield 1, -1 - code, log(self.pieces.byte_weight) * (1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4)
+
+    def sample(self, seed: int) -> np.ndarray:
+        out, node = array("q"), len(self.text)
+        while node:
+            mixing = np.array([(seed + (len(out) + 1) * int(_BASE)) & (2**64 - 1)], np.uint64)
+            u, upto = float(mixed(mixing)[0] >> _U(11)) * 2.0**-53, 0.0
+            for n, piece, weight in self.ending(node):
+                upto += exp(self.sums[node - n] + weight - self.sums[node])
+                if upto > u:
+                    break
+            out.append(piece)
+            node -= n
+        return np.array(out, np.int64)[::-1]
+
+
 def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
     """The sampled piece identifiers of each text. keys: 64 bits a row."""
     split = []
@@ -238,18 +295,27 @@ def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> lis
         return [np.zeros(0, np.int32) for _ in texts]
     fresh_at = np.flatnonzero(word < 0)
     number: dict[str, int] = {}
+    long_at, flat = [], []
     if len(fresh_at):
         flat = list(chain.from_iterable(split))
+        long_at = [i for i in fresh_at.tolist() if len(flat[i]) >= LONG_CHUNK]
+        fresh_at = np.setdiff1d(fresh_at, long_at, assume_unique=True)
         word[fresh_at] = [base_words + number.setdefault(flat[i], len(number)) for i in fresh_at.tolist()]
     per_text = np.fromiter(map(len, split), np.int64, len(split))
     place = np.arange(len(word)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     row = np.repeat(mixed(keys.view(np.uint64) ^ mixed(np.array([seed & (2**64 - 1)], np.uint64))), per_text)
     seeds = mixed(row + place.astype(np.uint64) * _BASE)
-    old_at = np.flatnonzero(word < base_words)
+    old_at = np.flatnonzero((word >= 0) & (word < base_words))
     parts = [(old_at, *pieces.base.sample(word[old_at], seeds[old_at]))] if len(old_at) else []
     if number:
         fresh = Lattices(pieces, [" " + x for x in number])
         parts.append((fresh_at, *fresh.sample(word[fresh_at] - base_words, seeds[fresh_at])))
+    known_long: dict[str, LongChunk] = {}
+    for i in long_at:
+        if flat[i] not in known_long:
+            known_long = {flat[i]: LongChunk(pieces, " " + flat[i])}  # one at a time
+        own = known_long[flat[i]].sample(int(seeds[i]))
+        parts.append((np.array([i]), own, np.array([len(own)])))
     steps = np.zeros(len(word), np.int64)
     for at, _, n in parts:
         steps[at] = n

@@ -9,7 +9,9 @@ Two tests on all of these rows choose the terms, both likelihood ratios of prese
 MOST_TERMS terms by themselves; and the words of the best MOST_PAIRS pairs of words, at most PAIR_WORDS apart, that
 tell at least LEAST_RATIO more together than the better of them alone, so that an insult and a mention, each common
 in clean texts too, reach the machine. Pairs are counted where a label 1 has them in LEAST_DOCUMENTS rows. These
-bounds are those of the fit on its bounded sample; scores know no bound.
+bounds are those of the fit on its bounded sample; scores know no bound. A long text's pairs are made in passes of PASS_PAIRS
+pairs at most, by their hash. The pairs that label 1 has often aren't gathered anywhere: workers get PAIR_BITS bits that
+tell which pairs may be among them, and a join tells which are.
 
 Defined results: null counts as empty; a text without known terms scores what the bias alone gives; without any
 label, or if all usable labels are the same, there is nothing to tell apart: every score is 0.5 less a little, so
@@ -35,6 +37,8 @@ TRAIN_ROWS = 20_000
 MOST_TERMS, LEAST_DOCUMENTS, LEAST_RATIO = 4096, 4, 20.0
 #: Words of a pair are at most so far apart; most pairs whose words a machine has.
 PAIR_WORDS, MOST_PAIRS = 8, 1024
+#: Pairs of one text that are held at once; bits of the filter of pairs, a power of two.
+PASS_PAIRS, PAIR_BITS = 1 << 22, 1 << 24
 FACTORS = 8
 #: A fit takes EPOCHS rounds, and on few rows as many as LEAST_STEPS batches need.
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 30, 800, 256, 0.1, 1e-5
@@ -147,15 +151,32 @@ def _term_lists(machine: Machine | None):
 _U = np.uint64
 
 
-def _pairs(text: str | None, known: _Known) -> tuple[np.ndarray, ...]:
-    """The different pairs of a text's words at most PAIR_WORDS apart: hashes in ascending order, low and high."""
-    words = np.array([known[w] for w in _WORDS.findall((text or "").lower())], np.int64)
-    reach = range(1, min(PAIR_WORDS, len(words) - 1) + 1)
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([words[:-k] for k in reach], [words[k:] for k in reach]))
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    key, first = np.unique(_pair_key(low, high), return_index=True)
-    other = low[first] != high[first]
-    return key[other], low[first][other], high[first][other]
+def _pairs(text: str | None, known: _Known):
+    """The different pairs of a text's words at most PAIR_WORDS apart, in parts: hashes in ascending order, low and high."""
+    words = np.fromiter((known[m[0]] for m in _WORDS.finditer((text or "").lower())), np.int64)
+    passes = max(1, -(-len(words) * PAIR_WORDS // PASS_PAIRS))
+    step = max(PASS_PAIRS // PAIR_WORDS, PAIR_WORDS + 1)
+    for nth in range(passes):
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(words), step):
+            for k in range(1, PAIR_WORDS + 1):
+                a, b = words[at : at + step], words[at + k : at + k + step]
+                a = a[: len(b)]
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                key = _pair_key(low, high)
+                mine = low != high
+                if passes > 1:
+                    mine &= (key >> _U(7)) % _U(passes) == nth
+                parts.append((key[mine], low[mine], high[mine]))
+            if passes > 1:  # what repeats doesn't pile up
+                parts = [_different(parts)]
+        yield _different(parts)
+
+
+def _different(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    key, low, high = map(np.concatenate, zip(*parts, strict=True))
+    key, first = np.unique(key, return_index=True)
+    return key, low[first], high[first]
 
 
 def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,30 +184,56 @@ def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low * _U(0x9E3779B97F4A7C15) + (high ^ (high >> _U(29))) * _U(0xBF58476D1CE4E5B9)
 
 
-def _pair_counts(found: tuple[np.ndarray, np.ndarray] | None):
-    """low, high, d, p: rows that have the pair, and those of them with label 1. found: the pairs to count; None: all of label 1."""
+def _pair_counts(bits: np.ndarray | None):
+    """low, high, d, p: rows that have the pair, and those of them with label 1. bits: of pairs to count; None: all of label 1."""
 
     def run(batches):
         known = _Known(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
-        asked = np.sort(_pair_key(*found)) if found is not None else None
+        asked = np.unpackbits(bits, bitorder="little").view(bool) if bits is not None else None
         for part in chunks(batches, CHUNK_BYTES):
-            own = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)]
+            own, held = [], 0
             for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                 if asked is None and label != 1:
                     continue
-                pairs = _pairs(text, known)
-                if asked is not None and len(asked):
-                    at = np.minimum(np.searchsorted(asked, pairs[0]), len(asked) - 1)
-                    pairs = tuple(x[asked[at] == pairs[0]] for x in pairs)
-                own.append((*pairs, np.full(len(pairs[0]), label == 1, np.int64)))
-            key, low, high, toxic = map(np.concatenate, zip(*own, strict=True))
-            _, first, place = np.unique(key, return_index=True, return_inverse=True)
-            d, p = (np.bincount(place, w, len(first)).astype(np.int64) for w in (None, toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low[first], high[first], d, p)], names=["low", "high", "d", "p"])
+                for pairs in _pairs(text, known):
+                    if asked is not None:
+                        hit = asked[pairs[0] & _U(PAIR_BITS - 1)]
+                        pairs = tuple(x[hit] for x in pairs)
+                    own.append((*pairs, np.full(len(pairs[0]), label == 1, np.int64)))
+                    held += len(pairs[0])
+                    if held > PASS_PAIRS:
+                        yield _summed(own)
+                        own, held = [], 0
+            if own:
+                yield _summed(own)
 
     return run
 
 
+def _summed(own: list[tuple]) -> pa.RecordBatch:
+    key, low, high, toxic = map(np.concatenate, zip(*own, strict=True))
+    _, first, place = np.unique(key, return_index=True, return_inverse=True)
+    d, p = (np.bincount(place, w, len(first)).astype(np.int64) for w in (None, toxic))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (low[first], high[first], d, p)], names=["low", "high", "d", "p"])
+
+
+def _pair_bits(pairs: DataFrame) -> np.ndarray:
+    """PAIR_BITS bits, set for the hashes of pairs; made by tasks in pieces of 32,768 bits."""
+
+    def places(batches):
+        for batch in batches:
+            low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+            yield pa.RecordBatch.from_arrays([pa.array((_pair_key(low, high) & _U(PAIR_BITS - 1)).astype(np.int64) + 1)], names=["place"])
+
+    pieces = pairs.select("low", "high").mapInArrow(places, "place long").groupBy(F.bitmap_bucket_number("place").alias("nth")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(PAIR_BITS // 8, np.uint8)
+    for r in pieces.collect():  # at most PAIR_BITS / 32768 rows
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["nth"] - 1) * 4096
+        out[at : at + len(piece)] = piece
+    return out
+
+
 def _ratio(d: Column, p: Column, n: int, positive: int) -> Column:
     """The likelihood ratio of d rows, p of them with label 1, against n rows, positive of them with label 1."""
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
@@ -195,14 +242,14 @@ def _ratio(d: Column, p: Column, n: int, positive: int) -> Column:
 
 
 def _paired_words(sample: DataFrame, seen: DataFrame, n: int, positive: int) -> list[int]:
-    """The words of pairs that tell more together than the better one alone. sample is bounded, so what is collected is."""
+    """The words of pairs that tell more together than the better one alone; MOST_PAIRS of them at most."""
     counts = "low long, high long, d long, p long"
     total = lambda df: df.groupBy("low", "high").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
     # a pair that no other row has tells most, so what fails even then can't pass
     often = total(sample.mapInArrow(_pair_counts(None), counts)).where((F.col("p") >= LEAST_DOCUMENTS) & (_ratio(F.col("p"), F.col("p"), n, positive) >= LEAST_RATIO))
-    found = often.select("low", "high").toArrow()
-    found = tuple(np.ascontiguousarray(found.column(c).to_numpy(), np.int64) for c in ("low", "high"))
-    every = total(sample.mapInArrow(_pair_counts(found), counts)).withColumn("ratio", _ratio(F.col("d"), F.col("p"), n, positive)).where(F.col("ratio") >= LEAST_RATIO)
+    often = scratch(often.select("low", "high"), "toxic-pairs")
+    counted = total(sample.mapInArrow(_pair_counts(_pair_bits(often)), counts)).join(often, ["low", "high"], "left_semi")
+    every = counted.withColumn("ratio", _ratio(F.col("d"), F.col("p"), n, positive)).where(F.col("ratio") >= LEAST_RATIO)
     alone = lambda name: seen.select(F.col("term").alias(name), F.col("ratio").alias(f"{name}_ratio"))
     gain = F.col("ratio") - F.greatest("low_ratio", "high_ratio")
     best = every.join(alone("low"), "low").join(alone("high"), "high").withColumn("gain", gain).where(F.col("gain") >= LEAST_RATIO)
