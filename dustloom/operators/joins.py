@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dustloom.functions.columns import MEAN_EARTH_KM, SEASONS, great_circle_km, season, season_year
+from dustloom.operators.ranges import ordered, running
+from dustloom.operators.windows import numbered_last_k
+from dustloom.session import written
 
 
 def daily_with_retrievals(daily: DataFrame, retrievals: DataFrame, date: str = "date") -> DataFrame:
@@ -72,18 +76,19 @@ def attach_file_facts(rows: DataFrame, facts: DataFrame, path: str = "path") ->
 def ticks_asof_rolling(rows: DataFrame, ticks: DataFrame, station: str, ts: str, value: str, k: int = 60, order: list[str] = ()) -> DataFrame:
     """station, tick, mean of the last k rows strictly before the tick, of the month of the hour before it.
 
-    Rows and ticks are united and sorted once a station and month; no range join. Ticks without rows are left out.
+    Rows and ticks are united and sorted by ranges; no range join, and a station's month may lie in many partitions.
+    Ticks without rows are left out.
     """
     month = lambda t: F.date_format(t, "yyyy-MM")
-    last_k = Window.partitionBy(station, "month").orderBy(ts, *order).rowsBetween(-(k - 1), 0)
-    means = rows.where(F.col(ts).isNotNull()).select(station, F.col(ts).alias(ts), *order, month(ts).alias("month"), F.col(value).alias("_v"))
-    means = means.withColumn("mean", F.avg("_v").over(last_k)).withColumn("seen", F.row_number().over(Window.partitionBy(station, "month").orderBy(ts, *order)))
-    both = means.select(station, "month", F.col(ts).alias("t"), F.lit(1).alias("kind"), "seen", F.struct("mean", F.col(ts).alias("at")).alias("m")).unionByName(
-        ticks.select(station, month(F.col("tick") - F.expr("INTERVAL 1 HOUR")).alias("month"), F.col("tick").alias("t"), F.lit(0).alias("kind"), F.lit(0).alias("seen"), F.lit(None).cast(means.select(F.struct("mean", F.col(ts).alias("at")).alias("m")).schema["m"].dataType).alias("m"))
-    )
-    before = Window.partitionBy(station, "month").orderBy("t", "kind", "seen").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("m", F.last("m", ignorenulls=True).over(before)).where((F.col("kind") == 0) & F.col("m").isNotNull())
-    return found.select(station, F.col("t").alias("tick"), F.col("m.mean").alias("mean"), F.col("m.at").alias("newest_row"))
+    given = rows.where(F.col(ts).isNotNull()).select(station, month(ts).alias("month"), F.col(ts).alias("t"), *order, F.col(value).alias("_v"))
+    means = numbered_last_k(given, [station, "month"], ["t", *order], "_v", k)
+    newest = F.struct("t", "_part", "_at", F.col("rolling_mean").alias("mean"))
+    both = means.select(station, "month", "t", F.lit(1).alias("kind"), newest.alias("m"))
+    asked = ticks.select(station, month(F.col("tick") - F.expr("INTERVAL 1 HOUR")).alias("month"), F.col("tick").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(both.schema["m"].dataType).alias("m"))
+    o = ordered(both.unionByName(asked), [station, "month"], ["t", "kind"])
+    # of rows in order, the largest so far is the newest
+    found = running(o.rows, o, {"_m": ("max", F.col("m"))}, write=False).where((F.col("kind") == 0) & F.col("_m").isNotNull())
+    return found.select(station, F.col("t").alias("tick"), F.col("_m.mean").alias("mean"), F.col("_m.t").alias("newest_row"))
 
 
 def best_forecast(runs: DataFrame, days: DataFrame, keys: list[str] = (), per_day: int = 8, most_lead: float = 84.0) -> DataFrame:
@@ -95,26 +100,51 @@ def best_forecast(runs: DataFrame, days: DataFrame, keys: list[str] = (), per_da
     return valid.join(best, [*keys, "date", "run_day"])
 
 
-def targets_x_samples(samples: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
+#: Samples from which a cell is split, dense cells at most, and halvings of a cell at most.
+DENSE_CELL, DENSE_CELLS, MOST_HALVINGS = 50_000, 20_000, 8
+
+
+def targets_x_samples(samples: DataFrame, targets: DataFrame, radius_km: float, dense: int = DENSE_CELL) -> DataFrame:
     """Samples (object, ts, lat, lon) within radius of targets (target, t_lat, t_lon).
 
     Both sides are dealt by cells: bands of latitude as high as the radius, cut along the longitude to cells at least
     as wide as the radius anywhere in the band and its neighbours, so fewer of them towards the poles. A target is
     dealt to its own cell and those around it, across 180 degrees too, so the join is an equi-join; the exact distance
     is computed for the few that are left.
+
+    Cells with more than dense samples (or, on very many samples, the few cells that have the most) are halved in both
+    directions until their parts should have fewer; a target goes to those parts that its radius reaches. A dense place
+    is many tasks so, and fewer pairs are out of reach. The list of dense cells is all that is broadcast, DENSE_CELLS at most.
     """
     height = radius_km / 110.0
     # sine of the radius over the cosine of the band's farthest latitude, one band beyond, bounds the longitudes apart
     far = F.least(F.lit(90.0), (F.abs(F.col("band") + 0.5) + 1.5) * height)
     reach = F.sin(F.lit(radius_km / MEAN_EARTH_KM)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
-    cells = F.when(reach < 1, F.greatest(F.lit(1), F.floor(360 / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.0001)))).otherwise(1).cast("long")
-    cell = lambda lon: F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * F.col("cells")).cast("long")
+    apart = F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.0001
+    cells = F.when(reach < 1, F.greatest(F.lit(1), F.floor(360 / apart))).otherwise(1).cast("long")
+    along = lambda lon: F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * F.col("cells")
+    dealt = samples.withColumn("band", F.floor(F.col("lat") / height)).withColumn("cells", cells).withColumn("_x", along("lon")).withColumn("cell", F.floor("_x").cast("long"))
+    counts = written(dealt.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    limit = max(dense, (counts.agg(F.sum("n")).first()[0] or 0) // DENSE_CELLS)
+    halvings = F.least(F.lit(MOST_HALVINGS), F.ceil(F.log(F.col("n") / limit) / math.log(4.0))).cast("int")
+    crowded = F.broadcast(counts.where(F.col("n") > limit).select("band", "cell", F.shiftleft(F.lit(1), halvings).alias("_parts")))
+    part = lambda x: F.greatest(F.lit(0), F.least(F.col("_parts") - 1, F.floor(x * F.col("_parts")))).cast("int")
+    dealt = dealt.join(crowded, ["band", "cell"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumns({"_row": part(F.col("lat") / height - F.col("band")), "_col": part(F.col("_x") - F.col("cell"))}).drop("cells", "_x", "_parts")
     around = targets.select("target", "t_lat", "t_lon", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("t_lat") / height) + i)).alias("band"))
-    around = around.withColumn("cells", cells).withColumn("own", cell("t_lon"))
-    around = around.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.pmod(F.col("own") + i, F.col("cells")))))).drop("own", "cells")
-    dealt = samples.withColumn("band", F.floor(F.col("lat") / height)).withColumn("cells", cells).withColumn("cell", cell("lon")).drop("cells")
+    around = around.withColumn("cells", cells).withColumn("_x", along("t_lon")).withColumn("_w", apart / 360 * F.col("cells"))
+    around = around.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.pmod(F.floor("_x").cast("long") + i, F.col("cells"))))))
+    around = around.join(crowded, ["band", "cell"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    # the target's place in units of the cell, on the shorter way round; in bands of few cells all columns are near
+    x = F.pmod(F.col("_x") - F.col("cell") + F.col("cells") / 2, F.col("cells").cast("double")) - F.col("cells") / 2
+    y = F.col("t_lat") / height - F.col("band")
+    narrow = F.col("cells") < 4
+    first, last = F.when(narrow, 0).otherwise(part(x - F.col("_w"))), F.when(narrow, F.col("_parts") - 1).otherwise(part(x + F.col("_w")))
+    near = (y + 1.0001 >= 0) & (y - 1.0001 <= 1) & (narrow | ((x + F.col("_w") >= 0) & (x - F.col("_w") <= 1)))
+    around = around.where(near).withColumn("_row", F.explode(F.sequence(part(y - 1.0001), part(y + 1.0001)))).withColumn("_col", F.explode(F.sequence(first, last)))
+    around = around.select("target", "t_lat", "t_lon", "band", "cell", "_row", "_col")
     distance = great_circle_km(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("lon"))
-    return dealt.join(around, ["band", "cell"]).drop("band", "cell").withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    return dealt.join(around, ["band", "cell", "_row", "_col"]).drop("band", "cell", "_row", "_col").withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
 
 
 def _corner(x: Column, size: int) -> Column:
@@ -132,3 +162,47 @@ def bilinear(grid: DataFrame, points: DataFrame, keys: list[str], rows: int, col
     out = met.groupBy(*keys, "point", "y", "x").agg(F.sum(weight * F.col("value")).alias("value"), F.count(F.lit(1)).alias("corners"))
     outside = (F.col("y") < 0) | (F.col("y") > rows - 1) | (F.col("x") < 0) | (F.col("x") > cols - 1)
     return out.withColumn("extrapolated", outside)
+
+
+#: Cells along a side of a tile, without the row and column that it shares with the next ones.
+TILE = 64
+
+
+def tiled(grid: DataFrame, keys: list[str], side: int = TILE) -> DataFrame:
+    """grid (keys, i, j, value; one row a cell) as tiles: keys, ti, tj, width, height, cells.
+
+    cells are (at, value) by row; a tile also has the first row and column of the tiles after it, so that what lies between
+    two cells needs one tile. at is a cell's number in a whole tile; where no cell is missing it is found by its place.
+    """
+    i, j, wide = F.col("i"), F.col("j"), side + 1
+    ti, tj = F.floor(i / side).cast("int"), F.floor(j / side).cast("int")
+    held = lambda a, b: F.struct((ti - a).alias("ti"), (tj - b).alias("tj"))
+    first_row, first_col = (i % side == 0) & (i > 0), (j % side == 0) & (j > 0)
+    tiles = F.array_compact(F.array(held(0, 0), F.when(first_row, held(1, 0)), F.when(first_col, held(0, 1)), F.when(first_row & first_col, held(1, 1))))
+    rows = grid.select(*keys, "i", "j", "value", F.explode(tiles).alias("t")).select(*keys, "t.*", "value", (i - F.col("t.ti") * side).alias("y"), (j - F.col("t.tj") * side).alias("x"))
+    cells = F.sort_array(F.collect_list(F.struct((F.col("y") * wide + F.col("x")).cast("int").alias("at"), "value")))  # wide * wide at most
+    return rows.groupBy(*keys, "ti", "tj").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), cells.alias("cells"))
+
+
+def bilinear_in_tiles(tiles: DataFrame, points: DataFrame, keys: list[str], rows: int, cols: int, side: int = TILE) -> DataFrame:
+    """What bilinear gives, from tiles of tiled(): a point meets one row, that of its tile."""
+    p = points.withColumns({"i0": _corner(F.col("y"), rows), "j0": _corner(F.col("x"), cols)})
+    p = p.withColumns({"ti": F.floor(F.col("i0") / side).cast("int"), "tj": F.floor(F.col("j0") / side).cast("int")})
+    met = p.join(tiles, [*keys, "ti", "tj"])
+    fy, fx = F.col("y") - F.col("i0"), F.col("x") - F.col("j0")
+    whole = F.size("cells") == F.col("width") * F.col("height")
+
+    def corner(di: int, dj: int) -> Column:
+        y, x = F.col("i0") - F.col("ti") * side + di, F.col("j0") - F.col("tj") * side + dj
+        at = y * (side + 1) + x
+        place = F.when(F.col("cells")[0]["at"] == 0, (y * F.col("width") + x).cast("int"))
+        cell = F.when(whole & place.isNotNull(), F.get("cells", place)).otherwise(F.get(F.filter("cells", lambda c: c["at"] == at), F.lit(0)))
+        weight = (fy if di else 1 - fy) * (fx if dj else 1 - fx)
+        return F.struct((weight * F.when(cell["at"] == at, cell["value"])).alias("part"), (cell["at"] == at).alias("there"))
+
+    four = F.filter(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1))), lambda c: F.coalesce(c["there"], F.lit(False)))
+    known = F.filter(four, lambda c: c["part"].isNotNull())
+    value = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, c: a + c["part"]))
+    outside = (F.col("y") < 0) | (F.col("y") > rows - 1) | (F.col("x") < 0) | (F.col("x") > cols - 1)
+    out = met.select(*keys, "point", "y", "x", value.alias("value"), F.size(four).cast("long").alias("corners"), outside.alias("extrapolated"))
+    return out.where("corners > 0")

@@ -84,3 +84,27 @@ def running(df: DataFrame, o: Ordered, values: dict[str, tuple[str, Column]], wr
         agg, add = _KINDS[kind]
         out[name] = add(F.when(o.of_key("_first"), F.col("_carried").getField(name)), agg(c).over(rows))
     return met.withColumns(out).drop("_first", "_carried")
+
+
+def with_last_rows(o: Ordered, k: int, cols: list[str]) -> DataFrame:
+    """The rows, and in front of each partition once more the last k rows of its first key from the partitions before it.
+
+    Those have _before true, cols and o's keys and order; their other columns are NULL. A window of k rows before each
+    row then needs its partition alone. What is passed on is k rows a partition at most.
+    """
+    names = list(dict.fromkeys([*o.keys, *o.order, *cols]))
+    last = o.rows.join(F.broadcast(o.edges.select("_part", "_last")), "_part").where(o.of_key("_last"))
+    back = Window.partitionBy("_part").orderBy(*(F.desc(c) for c in o.order))
+    tails = last.withColumn("_nth", F.row_number().over(back)).where(F.col("_nth") <= k)
+    tails = tails.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(-F.col("_nth"), F.struct(*names).alias("row")))).alias("_rows"))
+    key = F.struct(*(F.col("_last").getField(c) for c in o.keys))
+    # a short partition hands on what it got, so a partition looks back over k of them at most
+    upto = Window.partitionBy(key).orderBy("_part").rowsBetween(-(k - 1), 0)
+    held = o.edges.join(tails, "_part").withColumn("_rows", F.flatten(F.collect_list("_rows").over(upto)))
+    given = held.select("_part", "_first", "_before", F.lag("_rows").over(Window.orderBy("_part")).alias("_rows"))
+    goes_on = F.col("_before").isNotNull()
+    for c in o.keys:
+        goes_on = goes_on & F.col("_before").getField(c).eqNullSafe(F.col("_first").getField(c))
+    passed = given.where(goes_on).select("_part", F.explode(F.slice("_rows", -F.least(F.lit(k), F.size("_rows")), F.lit(k))).alias("_r"))
+    passed = passed.select("_part", "_r.row.*", F.lit(True).alias("_before"))
+    return o.rows.withColumn("_before", F.lit(False)).unionByName(passed, allowMissingColumns=True)

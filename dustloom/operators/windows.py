@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dustloom.operators.ranges import Ordered, beside, ordered, running
+from dustloom.operators.ranges import Ordered, beside, ordered, running, with_last_rows
 from dustloom.session import written
 
 
@@ -97,8 +97,21 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def rolling_last_k(df: DataFrame, keys: list[str], order: list[str], value: str, k: int = 60) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(k - 1), 0)
-    return df.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_n": F.count(value).over(w)})
+    """df with the mean and number of the values of the last k rows of its key, each row itself one of them.
+
+    Rows that order doesn't tell apart are in the order of their other columns. A key may lie in many partitions: each gets
+    the k - 1 rows before it.
+    """
+    return numbered_last_k(df, keys, order, value, k).select(*df.columns, "rolling_mean", "rolling_n")
+
+
+def numbered_last_k(df: DataFrame, keys: list[str], order: list[str], value: str, k: int) -> DataFrame:
+    """What rolling_last_k gives, with _part and _at, which together are in the order of a key's rows, of rows alike too."""
+    o = ordered(df, keys, order)
+    rows = with_last_rows(o, k - 1, [value]) if k > 1 else o.rows.withColumn("_before", F.lit(False))
+    w = o.window().rowsBetween(-(k - 1), 0)
+    out = rows.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_n": F.count(value).over(w), "_at": F.row_number().over(o.window())})
+    return out.where(~F.col("_before")).drop("_before")
 
 
 def _chains(times: DataFrame, keys: list[str], least: int) -> DataFrame:

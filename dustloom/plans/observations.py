@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustloom.functions import columns as C
 from dustloom.operators import clean, joins, reshape, stats, windows
+from dustloom.session import shared_dir
+from dustloom.sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -205,6 +209,20 @@ def drop_exact_duplicates(spark, sf_dir):
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
 
 
+#: The rows of A13, added in three files, one after the other.
+@query("a13_merge_in_files", ORACLE["a13_merge_observations"])
+def merge_in_files(spark, sf_dir):
+    """Each file changes the days it has; the end is what all rows at once give."""
+    v, path = F.col("value"), f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("user_id").alias("site"), "event_id", "event_type", F.when(F.col("event_id") % 3 != 0, v).alias("a"), F.when(F.col("event_id") % 2 == 0, v * 2).alias("b"))
+    one = e.select("hour", "site", "a", F.when(F.col("a").isNotNull(), F.col("event_id")).alias("a_at"), "b", F.when(F.col("b").isNotNull(), F.col("event_id")).alias("b_at"), F.array("event_type").alias("types"))
+    first = lambda c: (F.min_by(c, f"{c}_at").alias(c), F.min(f"{c}_at").alias(f"{c}_at"))
+    merge = lambda df: df.groupBy("hour", "site").agg(*first("a"), *first("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
+    for part in (F.dayofmonth("hour") > 20, F.dayofmonth("hour").between(8, 22) & (F.hour("hour") < 12), F.lit(True)):
+        tables.merge_into(one.where(part), path, F.to_date("hour"), merge)
+    return tables.read_merged(spark, path, one.schema).select("hour", "site", "a", "b", F.array_join("types", ",").alias("sources"))
+
+
 @query("a15_last_per_hour", """SELECT user_id AS site, date_trunc('hour', ts) AS hour_start, arg_max(value, (ts, event_id)) AS value, max((ts, event_id)).event_id AS event_id FROM (SELECT *, {'ts': ts, 'event_id': event_id} AS k FROM events) GROUP BY 1, 2""".replace("max((ts, event_id)).event_id", "arg_max(event_id, (ts, event_id))"))
 def last_per_hour(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), "ts", "value", "event_id")

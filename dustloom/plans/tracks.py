@@ -123,6 +123,16 @@ def bilinear(spark, sf_dir):
     return joins.bilinear(grid, points, ["vec_id"], 8, 8).select("vec_id", F.round("value", 6).alias("value"), "extrapolated")
 
 
+@query("j09_bilinear_in_tiles", ORACLE["j09_bilinear"])
+def bilinear_in_tiles(spark, sf_dir):
+    """The same points in grids as tiles of three cells a side."""
+    e = table(spark, sf_dir, "embeddings")
+    grid = e.select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", F.floor(F.col("k") / 8).cast("int").alias("i"), (F.col("k") % 8).alias("j"), F.col("v").cast("double").alias("value"))
+    points = e.select("vec_id", F.lit(0).alias("point"), ((F.col("vec_id") % 17) / 2 - 0.5).alias("y"), ((F.col("vec_id") % 13) / 2).alias("x"))
+    got = joins.bilinear_in_tiles(joins.tiled(grid, ["vec_id"], 3), points, ["vec_id"], 8, 8, 3)
+    return got.select("vec_id", F.round("value", 6).alias("value"), "extrapolated")
+
+
 def positions(spark, sf_dir):
     """Samples with earth-fixed positions 400 km above the ground below."""
     lat, lon, r = F.radians("lat"), F.radians("lon"), 6771.0

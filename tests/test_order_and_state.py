@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dustloom.functions import columns as C
 from dustloom.operators import joins, ranges, stats, windows
-from dustloom.sources import binary, files, sinks
+from dustloom.sources import binary, files, sinks, tables
 from dustloom.streaming import state
 
 START = dt.datetime(2020, 1, 1)
@@ -78,6 +78,33 @@ def test_one_dense_key_lies_in_many_tasks(spark):
     assert ranges.beside(ranges.ordered(df.limit(0), ["k"], ["t"]), ["t"]).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_last_rows_over_partitions(spark, parts):
+    """Means of the last seven rows, and ticks that look back over them, with more partitions than rows of a key and with ties."""
+    draw = random.Random(6)
+    rows = [(k, START + dt.timedelta(hours=draw.randint(0, 400)), draw.randint(0, 9) if draw.random() < 0.9 else None) for k in ("dense",) * 300 + ("b", None) * 20]
+    want = []
+    for own in in_order([(k, at, (-1 if v is None else v)) for k, at, v in rows]).values():
+        for i, r in enumerate(own):
+            values = [x[2] for x in own[max(0, i - 6) : i + 1] if x[2] >= 0]
+            want.append((str(r[0]), r[1], r[2], round(sum(values) / len(values), 9) if values else -1, len(values)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v int")
+        got = windows.rolling_last_k(df, ["k"], ["ts"], "v", 7)
+        key = F.coalesce("k", F.lit("None"))
+        assert sorted(tuple(r) for r in got.select(key, "ts", F.coalesce("v", F.lit(-1)), F.coalesce(F.round("rolling_mean", 9), F.lit(-1.0)), "rolling_n").collect()) == sorted(want)
+        ticks = spark.createDataFrame([(k, START + dt.timedelta(hours=h)) for k in ("dense", "b") for h in range(0, 500, 50)], "k string, tick timestamp_ntz")
+        means = {(r["k"], r["tick"]): (None if r["mean"] is None else round(r["mean"], 9), r["newest_row"]) for r in joins.ticks_asof_rolling(df, ticks, "k", "ts", "v", 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k, tick in [(k, START + dt.timedelta(hours=h)) for k in ("dense", "b") for h in range(0, 500, 50)]:
+        month = (tick - dt.timedelta(hours=1)).month
+        before = [(at, v) for kk, at, v in sorted(rows, key=lambda r: (str(r[0]), r[1], -1 if r[2] is None else r[2])) if kk == k and at < tick and at.month == month][-7:]
+        values = [v for _, v in before if v is not None]
+        assert means.get((k, tick)) == ((round(sum(values) / len(values), 9) if values else None, before[-1][0]) if before else None)
+
+
 def test_passes_in_full(spark):
     """Rise, set and azimuths between samples, the peak's range, threshold inclusive; passes that aren't whole or don't overlap are left out."""
     at = lambda m: START + dt.timedelta(minutes=m)
@@ -194,6 +221,41 @@ def test_archive_keeps_every_day(spark, tmp_path):
     assert sinks.publications(spark, path).count() == before
 
 
+def test_merges_touch_their_buckets(spark, tmp_path):
+    """Files one after the other give what all rows give; a bucket without new rows isn't written again; a merge that wasn't logged doesn't count."""
+    path = str(tmp_path / "t")
+    schema = "day date, k int, at long, v int"
+    day = lambda n: dt.date(2020, 1, n)
+    parts = [[(day(1), 1, 5, 50), (day(2), 1, 1, 7)], [(day(1), 1, 3, 30), (day(1), 2, 9, 1), (None, 1, 1, 2)], [(day(3), 1, 1, 1)]]
+    merge = lambda df: df.groupBy("day", "k").agg(F.min("at").alias("at"), F.min_by("v", "at").alias("v")).select("day", "k", "at", "v")
+    assert tables.read_merged(spark, path, spark.createDataFrame([], schema).schema).count() == 0
+    made = []
+    for part in parts:
+        df = spark.createDataFrame(part, schema)
+        tables.merge_into(df, path, F.col("day"), merge)
+        made.append({p.parent.name: {f.name for f in p.parent.iterdir()} for p in (tmp_path / "t" / "rows").glob("*/version=*")})
+    every = spark.createDataFrame([r for part in parts for r in part], schema)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, tables.read_merged(spark, path, every.schema).collect()), key=key) == sorted(map(tuple, merge(every).collect()), key=key)
+    assert [len(made[2][f"bucket={b}"]) for b in ("2020-01-01", "2020-01-02", "2020-01-03", "-")] == [2, 1, 1, 1]
+    every.withColumns({"bucket": F.lit("2020-01-03"), "version": F.lit("lost")}).write.mode("append").partitionBy("bucket", "version").parquet(f"{path}/rows")
+    assert tables.read_merged(spark, path, every.schema).count() == merge(every).count()
+
+
+def test_tiles_equal_cells(spark):
+    """Points in and outside the grid, with missing cells and empty values, in tiles of all sizes."""
+    draw = random.Random(8)
+    grid = [(g, i, j, None if draw.random() < 0.05 else draw.random()) for g in ("a", "b") for i in range(9) for j in range(13) if g == "a" or draw.random() < 0.8]
+    points = [(g, n, draw.uniform(-1, 9), draw.uniform(-1, 13)) for g in ("a", "b") for n in range(60)]
+    df, ps = spark.createDataFrame(grid, "g string, i int, j int, value double"), spark.createDataFrame(points, "g string, point int, y double, x double")
+    rows = lambda out: sorted((r["g"], r["point"], None if r["value"] is None else round(r["value"], 9), r["corners"], r["extrapolated"]) for r in out.collect())
+    want = rows(joins.bilinear(df, ps, ["g"], 9, 13))
+    for side in (1, 4, 64):
+        tiles = joins.tiled(df, ["g"], side)
+        assert rows(joins.bilinear_in_tiles(tiles, ps, ["g"], 9, 13, side)) == want
+        assert tiles.agg(F.max(F.size("cells"))).first()[0] <= (side + 1) ** 2
+
+
 def test_calendar_days(spark):
     df = spark.createDataFrame([("a", dt.date(2019, 2, 3), 1.0), ("b", dt.date(2020, 7, 1), 2.0), ("a", dt.date(2020, 12, 31), 3.0)], "k string, date date, v double")
     assert sorted((r["k"], r["label"], r["v"]) for r in joins.calendar_days(df, "date", ["k"]).collect()) == [("a", "2019-02-03", 1.0), ("a", "2020-12-31", 3.0), ("b", "2020-07-01", 2.0)]
