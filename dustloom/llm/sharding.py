@@ -1,12 +1,14 @@
 """Sharding by vector bin packing.
 
-Groups of equal texts are the things to place; each has a vector of bytes, tokens and rows. A group that is at least
-LARGE_PART of a shard in some dimension is an item of its own, which bounds the number of such items by the shards;
-smaller ones are pooled by hash to bundles, whose number is a parameter, so that what the driver places doesn't grow
-with the input. A group of more than HEAVY_PART of a shard, which no shard could take with loads near equal, is cut
-to pieces by a number that its rows got when they were read. Items are placed largest first, each into the shard where
-the dot product of its vector with the residual capacity is highest. Slots count within items, offset by what
-the shard already holds, so no shard is sorted in one task. Groups under HEAVY_PART lie in one shard each.
+Groups of equal texts are the things to place; each has a vector of bytes, tokens and rows, and goes to the shard where the
+dot product of its vector with the residual capacity is highest, largest groups first. That is done in two levels. Groups of
+at least LARGE_PART of a shard in some dimension, whose number the shards bound, are placed by the driver; one of more than
+HEAVY_PART of a shard, which no shard could take with loads near equal, is cut to pieces by a number that its rows got when
+they were read. All other groups are dealt by hash to parts of about PART_GROUPS groups, which tasks pack by the same
+rule: a part has its share of the capacity that the large groups left in each shard, and begins at a shard of its own where
+shards are equal, so that the parts' remainders don't add up. The number of parts grows with the groups, a part doesn't.
+Slots count within (shard, part), offset by what the shard already holds, so no shard is sorted in one task. Groups under
+HEAVY_PART lie in one shard each.
 
 Defined results: a null text has no bytes and no tokens and forms one group with other null texts; rows
 that repeat an identifier, null ones too, are rows of their own; an empty table gives an empty result.
@@ -15,31 +17,51 @@ that repeat an identifier, null ones too, are rows of their own; an empty table
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dustloom.llm.common import WORD, scratch
+from dustloom.llm.common import WORD, on_workers, scratch
 
 ROW_BYTES = 16
-BUNDLES_PER_SHARD = 256
-#: A group is an item of its own from this part of a shard in some dimension, and is cut when it is more than that one.
+#: Groups that one task packs, more or less.
+PART_GROUPS = 20_000
+#: A group is placed by the driver from this part of a shard in some dimension, and is cut when it is more than that one.
 LARGE_PART, HEAVY_PART = 1 / 500, 1 / 8
 DIMS = ("size", "tokens", "n_rows")
 
 
-def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each row of vectors. Largest first; among the shards that it fits, the highest dot product wins."""
-    total = np.maximum(vectors.sum(axis=0), 1)
-    need = vectors / (total / shards)
-    residual = np.ones((shards, vectors.shape[1]))
+def place(vectors: np.ndarray, shards: int, capacity: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+    """The shard of each row of vectors. Largest first; among the shards that it fits, the highest dot product wins.
+
+    capacity: of each shard in each dimension; by default equal parts of all. Of equal shards the next from first on wins.
+    """
+    if capacity is None:
+        capacity = np.tile(np.maximum(vectors.sum(axis=0), 1) / shards, (shards, 1))
+    scale = np.maximum(capacity.mean(axis=0), 1e-9)
+    need, residual = vectors / scale, capacity / scale
+    turn = (np.arange(shards) + first) % shards
+    residual = residual[turn]
     out = np.zeros(len(vectors), dtype=np.int64)
-    for i in np.lexsort((np.arange(len(need)), -need.max(axis=1))):
+    for i in np.lexsort((np.arange(len(need)), -need.max(axis=1, initial=0))):
         fits = (residual >= need[i]).all(axis=1)
         score = residual @ need[i]
         best = np.argmax(np.where(fits, score, -np.inf)) if fits.any() else np.argmax(score)
         out[i] = best
         residual[best] -= need[i]
-    return out
+    return turn[out]
+
+
+def _packed(left: np.ndarray):
+    """One part's groups to their shards. left: what the large groups left of each shard, as shares of all that is left."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("group")
+        vectors = pdf[list(DIMS)].to_numpy(float)
+        shard = place(vectors, len(left), left * vectors.sum(axis=0), int(pdf["part"].iloc[0]) % len(left))
+        return pd.DataFrame({"group": pdf["group"], "part": pdf["part"], "shard": shard.astype(np.int32)})
+
+    return pack
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,24 +81,35 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         "shard",
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")]
-    total = base.agg(*sums).first()
+    groups = scratch(base.groupBy("group").agg(*sums), "groups")
+    total = groups.agg(*(F.sum(d).alias(d) for d in DIMS), F.count(F.lit(1)).alias("groups")).first()
     share = F.greatest(*(F.col(d) / max(1.0, (total[d] or 0) / shards) for d in DIMS))
     # in each of the three dimensions at most shards / LARGE_PART groups can be over the limit
-    large = base.groupBy("group").agg(*sums).where(share >= LARGE_PART).select("group", F.ceil(share / HEAVY_PART).cast("int").alias("pieces"))
-    bundles = shards * BUNDLES_PER_SHARD
-    piece = F.pmod(F.xxhash64("uid"), F.col("pieces"))
-    item = F.when(F.col("pieces").isNull(), F.pmod(F.col("group"), F.lit(bundles))).otherwise(F.lit(bundles) + F.pmod(F.xxhash64("group", piece), F.lit(1 << 62)))
-    dealt = base.join(F.broadcast(large), "group", "left").withColumn("bundle", item)
-    loads = dealt.groupBy("bundle").agg(*sums).orderBy("bundle").collect()  # at most bundles, large groups and pieces
+    large = groups.where(share >= LARGE_PART).select("group", F.ceil(share / HEAVY_PART).cast("int").alias("pieces"))
+    piece = F.xxhash64("group", F.pmod(F.xxhash64("uid"), F.col("pieces")))
+    heavy = base.join(F.broadcast(large), "group").withColumn("part", F.pmod(piece, F.lit(1 << 62)))
+    loads = heavy.groupBy("part").agg(*sums).orderBy("part").collect()  # at most large groups and pieces
     vectors = np.array([[r[d] for d in DIMS] for r in loads], dtype=float).reshape(-1, len(DIMS))
-    where = place(vectors, shards)
-    filled, plan = [0] * shards, []
-    for r, s in zip(loads, where.tolist(), strict=True):
-        plan.append((r["bundle"], s, filled[s]))
-        filled[s] += r["n_rows"]
-    placed = F.broadcast(spark.createDataFrame(plan, "bundle long, shard int, first_slot long"))
-    nth = F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id", "size", "text_crc32", "group", "uid")) - 1
-    return dealt.withColumn("nth", nth).join(placed, "bundle").select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first_slot") + F.col("nth")).cast("long").alias("slot"))
+    capacity = np.array([[max(1.0, (total[d] or 0)) / shards for d in DIMS]] * shards)
+    where = place(vectors, shards, capacity)
+    np.subtract.at(capacity, where, vectors)
+    left = np.maximum(capacity, 0)
+    left = left / np.maximum(left.sum(axis=0), 1e-9)
+    placed = spark.createDataFrame([(r["part"], s) for r, s in zip(loads, where.tolist(), strict=True)], "part long, shard int")
+    parts = max(1, -(-total["groups"] // PART_GROUPS))
+    on_workers(spark)
+    # numbers below zero are parts, those above are large groups' pieces
+    rest = groups.join(F.broadcast(large), "group", "left_anti").withColumn("part", -1 - F.pmod("group", F.lit(parts)))
+    packed = rest.select("group", "part", *DIMS).groupBy("part").applyInPandas(_packed(left), "group long, part long, shard int")
+    light = base.join(F.broadcast(large.select("group")), "group", "left_anti").join(packed, "group")
+    cols = ["doc_id", "size", "tokens", "text_crc32", "shard", "part", "group", "uid"]
+    dealt = scratch(light.select(*cols).unionByName(heavy.join(F.broadcast(placed), "part").select(*cols)), "dealt")
+    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32", "group", "uid")) - 1
+    out = dealt.withColumn("nth", nth).join(offsets, ["shard", "part"])
+    return out.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first_slot") + F.col("nth")).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **names) -> None:

@@ -473,6 +473,19 @@ def test_bit_sliced_sums():
     assert set(np.argsort(-(x @ q))[:5].tolist()) <= rows_ and len(rows_) < 250
 
 
+def test_parts_are_packed_like_the_whole(spark, monkeypatch):
+    """With groups in many parts every group is still placed by the rule, and loads stay near equal in all three dimensions."""
+    monkeypatch.setattr(sharding, "PART_GROUPS", 40)
+    d = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet")
+    got = sharding.shard(d, shards=5).collect()
+    for s in range(5):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    loads = np.array([[sum(r["size"] for r in got if r["shard"] == s), sum(r["tokens"] for r in got if r["shard"] == s), sum(r["shard"] == s for r in got)] for s in range(5)])
+    assert (loads.max(axis=0) < 1.05 * loads.mean(axis=0)).all()
+    capacity = np.array([[1.0, 4.0], [3.0, 4.0]])
+    assert sharding.place(np.array([[2.0, 1.0], [1.0, 1.0]]), 2, capacity).tolist() == [1, 0]
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard(docs, shards=3).collect()
     assert len(got) == len(rows())
