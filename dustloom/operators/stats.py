@@ -26,7 +26,7 @@ def adjusted_skewness(v: Column) -> Column:
 
 
 #: Bits that a level of a quantile's search resolves, and values a rank may leave for the last level.
-LEVEL_BITS, LAST_VALUES = 16, 1 << 14
+LEVEL_BITS, LAST_VALUES = 16, 1 << 16
 #: Groups up to which their state is broadcast.
 FEW_GROUPS = 20_000
 
@@ -40,14 +40,14 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 
 def ordered_bits(v: Column) -> Column:
     """A double's 64 bits as a long in the order of the values: -0 is 0, NaN the largest."""
-    size = F.abs(v)
-    guess = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)))
-    # the logarithm may be off by one next to a power of two
-    power = guess + (size >= F.pow(F.lit(2.0), guess + 1)).cast("long") - (size < F.pow(F.lit(2.0), guess)).cast("long")
-    power = F.greatest(F.least(power, F.lit(1023)), F.lit(-1022))
-    bits = (power + 1022) * (1 << 52) + F.when(size < float("inf"), size / F.pow(F.lit(2.0), power) * float(1 << 52)).otherwise(0.0).cast("long")
-    whole = F.when(F.isnan(v), (1 << 63) - 1).when(size == 0, 0).when(size == float("inf"), 0x7FF << 52).otherwise(bits)
-    return F.when((v < 0) & ~F.isnan(v), -whole).otherwise(whole)
+    size, one = F.abs(v), float(1 << 52)
+    power = F.floor(F.log2(size))
+    part = size / F.pow(F.lit(2.0), power)
+    # the logarithm may be off by one next to a power of two: then part is under one, or two and more
+    rest = F.when(part < 1, part * (2 * one) - one).when(part < 2, part * one).otherwise(part * (one / 2) + one)
+    small = (size * 2.0**537 * 2.0**537).cast("long")
+    bits = F.when(size < 2.0**-1022, small).when(size == float("inf"), 0x7FF << 52).otherwise((power + 1022) * (1 << 52) + rest.cast("long"))
+    return F.when(F.isnan(v), (1 << 63) - 1).when(v < 0, -bits).otherwise(bits)
 
 
 def from_ordered_bits(b: Column) -> Column:
@@ -58,24 +58,18 @@ def from_ordered_bits(b: Column) -> Column:
     return F.when(b < 0, -v).otherwise(v)
 
 
-def _located(bins: Column, slots: Column) -> Column:
-    """bins: array of (parent, bin, n); slots: array of (rank, parent, below). Each slot's bin, the values below it and those in it.
+def _located(counts: DataFrame, keys: list[str], slots: Column, more: list[str]) -> DataFrame:
+    """keys, _n and _slots (rank, parent, below, inside): the bin of each rank, the values below it and those in it.
 
-    A slot's parent is the bin of the level above that holds its rank, and below the values before that.
+    counts: a row a bin, keys, _parent (the bin of the level above), _bin, _c and more. slots is an array of (rank, parent, below) a
+    row. One exchange, by keys; what is sorted are bins of one parent, 2**LEVEL_BITS or LAST_VALUES at most.
     """
-    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
-
-    def one(slot: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            mine = x["parent"].eqNullSafe(slot["parent"])
-            upto = acc["upto"] + F.when(mine, x["n"]).otherwise(F.lit(0))
-            hit = mine & acc["bin"].isNull() & (slot["below"] + upto > slot["rank"])
-            return F.struct(upto.alias("upto"), F.when(hit, x["bin"]).otherwise(acc["bin"]).alias("bin"), F.when(hit, slot["below"] + acc["upto"]).otherwise(acc["below"]).alias("below"), F.when(hit, x["n"]).otherwise(acc["inside"]).alias("inside"))
-
-        found = F.aggregate(bins, start, step)
-        return F.transform(F.array(found), lambda f: F.struct(slot["rank"].alias("rank"), f["bin"].alias("parent"), f["below"].alias("below"), f["inside"].alias("inside")))[0]
-
-    return F.transform(slots, one)
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_parent").orderBy("_bin"))
+    placed = counts.withColumn("_upto", upto)
+    mine = F.filter(slots, lambda s: (s["parent"] == F.col("_parent")) & (s["below"] + F.col("_upto") > s["rank"]) & (s["below"] + F.col("_upto") - F.col("_c") <= s["rank"]))
+    each = placed.select(*keys, *more, F.explode(mine).alias("s"), "_bin", "_upto", "_c")
+    slot = F.struct(F.col("s.rank").alias("rank"), F.col("_bin").alias("parent"), (F.col("s.below") + F.col("_upto") - F.col("_c")).alias("below"), F.col("_c").alias("inside"))
+    return each.groupBy(*keys).agg(F.first("_n").alias("_n"), F.collect_list(slot).alias("_slots"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], ps: tuple[float, ...], value: str = "value") -> DataFrame:
@@ -84,27 +78,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], ps: tuple[float, ...], value
     Exact selection on ordered bits, for all groups and ranks at once. A level counts values by their next LEVEL_BITS bits,
     in the bins of the level above that hold a rank, so a group has at most 2**LEVEL_BITS bins a rank however many values
     it has. Once the bins that hold ranks have LAST_VALUES values or fewer, those are counted one by one. Each level
-    reads the values once and sorts none; two levels do unless a group has many millions of values.
+    reads the bits, which are written once, and sorts none; two levels do unless a group has many millions of values.
     """
-    base = df.select(*keys, ordered_bits(F.col(value).cast("double")).alias("_b")).where(F.col(value).isNotNull())
-    shift = 64 - LEVEL_BITS
-    counts = base.groupBy(*keys, F.shiftright("_b", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    entry = F.struct(F.lit(None).cast("long").alias("parent"), F.col("_bin").alias("bin"), F.col("_c").alias("n"))
-    state = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_bins"))
+    base = written(df.select(*keys, ordered_bits(F.col(value).cast("double")).alias("_b")).where(F.col(value).isNotNull()), "bits")
+    shift, zero = 64 - LEVEL_BITS, F.lit(0).cast("long")
     place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
     ranks = F.array_distinct(F.array(*(side(place(p)) for p in ps for side in (F.floor, F.ceil))))
-    first = F.transform(ranks, lambda r: F.struct(r.alias("rank"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside")))
-    state = written(state.select(*keys, "_n", _located(F.col("_bins"), first).alias("_slots")), "quantiles")
+    counts = base.groupBy(*keys, F.shiftright("_b", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c")).repartition(*keys)
+    counts = counts.withColumns({"_parent": zero, "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    first = F.transform(ranks, lambda r: F.struct(r.alias("rank"), zero.alias("parent"), zero.alias("below")))
+    state = written(_located(counts, keys, first, ["_n"]), "quantiles")
     while shift:
         groups, most = state.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("_slots", lambda x: x["inside"])))).first()
-        up, shift = shift, 0 if (most or 0) <= LAST_VALUES else shift - LEVEL_BITS
-        known = F.broadcast(state) if groups <= FEW_GROUPS else state
-        parents = state.withColumn("_in", F.array_distinct(F.transform("_slots", lambda x: x["parent"]))).drop("_n", "_slots")
-        met = _joined(base, F.broadcast(parents) if groups <= FEW_GROUPS else parents, keys, "inner").withColumn("_parent", F.shiftright("_b", up))
+        up, shift = shift, 0 if (most or 0) <= LAST_VALUES else max(0, shift - LEVEL_BITS)
+        few = F.broadcast if groups <= FEW_GROUPS else lambda x: x
+        parents = state.select(*keys, F.array_distinct(F.transform("_slots", lambda x: x["parent"])).alias("_in"))
+        met = _joined(base, few(parents), keys, "inner").withColumn("_parent", F.shiftright("_b", up))
         counts = met.where(F.array_contains("_in", F.col("_parent"))).groupBy(*keys, "_parent", F.shiftright("_b", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-        entry = F.struct(F.col("_parent").alias("parent"), F.col("_bin").alias("bin"), F.col("_c").alias("n"))
-        bins = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_bins"))
-        found = _joined(bins, known, keys, "inner").select(*keys, "_n", _located(F.col("_bins"), F.col("_slots")).alias("_slots"))
+        counts = _joined(counts.repartition(*keys), few(state), keys, "inner")
+        found = _located(counts, keys, F.col("_slots"), ["_n"])
         state = written(found, "quantiles") if shift else found
     at = F.map_from_entries(F.transform("_slots", lambda x: F.struct(x["rank"], from_ordered_bits(x["parent"]))))
     values = []
