@@ -41,12 +41,13 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 def ordered_bits(v: Column) -> Column:
     """A double's 64 bits as a long in the order of the values: -0 is 0, NaN the largest."""
     size, one = F.abs(v), float(1 << 52)
-    power = F.floor(F.log2(size))
+    power = F.least(F.floor(F.log2(size)), F.lit(1023))
     part = size / F.pow(F.lit(2.0), power)
     # the logarithm may be off by one next to a power of two: then part is under one, or two and more
-    rest = F.when(part < 1, part * (2 * one) - one).when(part < 2, part * one).otherwise(part * (one / 2) + one)
+    times = lambda k: (part * (k * one)).cast("long")
+    rest = F.when(part < 1, times(2) - (1 << 52)).when(part < 2, times(1)).otherwise(times(0.5) + (1 << 52))
     small = (size * 2.0**537 * 2.0**537).cast("long")
-    bits = F.when(size < 2.0**-1022, small).when(size == float("inf"), 0x7FF << 52).otherwise((power + 1022) * (1 << 52) + rest.cast("long"))
+    bits = F.when(size < 2.0**-1022, small).when(size == float("inf"), 0x7FF << 52).otherwise((power + 1022) * (1 << 52) + rest)
     return F.when(F.isnan(v), (1 << 63) - 1).when(v < 0, -bits).otherwise(bits)
 
 
