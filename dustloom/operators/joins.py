@@ -127,7 +127,7 @@ def targets_x_samples(samples: DataFrame, targets: DataFrame, radius_km: float,
     counts = written(dealt.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
     limit = max(dense, (counts.agg(F.sum("n")).first()[0] or 0) // DENSE_CELLS)
     halvings = F.least(F.lit(MOST_HALVINGS), F.ceil(F.log(F.col("n") / limit) / math.log(4.0))).cast("int")
-    crowded = F.broadcast(counts.where(F.col("n") > limit).select("band", "cell", F.shiftleft(F.lit(1), halvings).alias("_parts")))
+    crowded = F.broadcast(counts.where(F.col("n") > limit).select("band", "cell", F.pow(F.lit(2.0), halvings).cast("int").alias("_parts")))
     part = lambda x: F.greatest(F.lit(0), F.least(F.col("_parts") - 1, F.floor(x * F.col("_parts")))).cast("int")
     dealt = dealt.join(crowded, ["band", "cell"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     dealt = dealt.withColumns({"_row": part(F.col("lat") / height - F.col("band")), "_col": part(F.col("_x") - F.col("cell"))}).drop("cells", "_x", "_parts")
