@@ -12,7 +12,7 @@ DIRECTIONS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Month words besides full names and their first three letters.
 MORE_MONTHS = {"mart": 3, "sept": 9}
-#: (substrings of a variable's name, its unit); the first that fits holds.
+#: Fixed values: (substrings of a variable's name, its unit); the first that fits holds.
 UNITS = (
     (("latitude", "longitude"), "degrees"),
     (("zenith", "azimuth", "angle"), "degrees"),

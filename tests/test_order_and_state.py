@@ -78,7 +78,7 @@ def test_one_dense_key_lies_in_many_tasks(spark):
     assert ranges.beside(ranges.ordered(df.limit(0), ["k"], ["t"]), ["t"]).count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("parts", [1, 30])
 def test_last_rows_over_partitions(spark, parts):
     """Means of the last seven rows, and ticks that look back over them, with more partitions than rows of a key and with ties."""
     draw = random.Random(6)
@@ -160,7 +160,7 @@ def test_ordered_bits(spark):
         assert r["w"] == v or (v != v and r["w"] != r["w"])
 
 
-@pytest.mark.parametrize("bits,last", [(16, 1 << 14), (16, 40), (8, 10), (4, 0)])
+@pytest.mark.parametrize("bits,last", [(16, 1 << 14), (16, 40), (8, 0)])
 def test_exact_quantiles_by_levels(spark, monkeypatch, bits, last):
     """Two levels or all of them give what numpy gives: ties, null keys, groups of one, values far apart, no buffer of a group's values."""
     monkeypatch.setattr(stats, "LEVEL_BITS", bits)
@@ -250,7 +250,7 @@ def test_tiles_equal_cells(spark):
     df, ps = spark.createDataFrame(grid, "g string, i int, j int, value double"), spark.createDataFrame(points, "g string, point int, y double, x double")
     rows = lambda out: sorted((r["g"], r["point"], None if r["value"] is None else round(r["value"], 9), r["corners"], r["extrapolated"]) for r in out.collect())
     want = rows(joins.bilinear(df, ps, ["g"], 9, 13))
-    for side in (1, 4, 64):
+    for side in (4, 64):
         tiles = joins.tiled(df, ["g"], side)
         assert rows(joins.bilinear_in_tiles(tiles, ps, ["g"], 9, 13, side)) == want
         assert tiles.agg(F.max(F.size("cells"))).first()[0] <= (side + 1) ** 2

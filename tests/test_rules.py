@@ -376,7 +376,7 @@ def test_targets_by_cells(spark):
         want = sorted((t, i) for t, a, o in targets for i, b, p in samples if km(a, o, b, p) <= radius)
         s = spark.createDataFrame(samples, "object int, lat double, lon double")
         t = spark.createDataFrame(targets, "target int, t_lat double, t_lon double")
-        for dense in (50_000, 60, 2):  # cells in one part, and split
+        for dense in (50_000, 5):  # cells in one part, and split
             assert sorted((r["target"], r["object"]) for r in joins.targets_x_samples(s, t, radius, dense).collect()) == want and len(want) > 20
 
 
