@@ -4,7 +4,8 @@ import datetime as dt
 
 import duckdb
 
-from dustloom.plans import catalogue
+from dustloom.operators import joins
+from dustloom.plans import catalogue, tracks
 from tests.conftest import canonical
 
 START = dt.datetime(2024, 1, 1)
@@ -34,3 +35,14 @@ def test_segments_where_turns_are_whole(spark, tmp_path):
     rows = [(START + dt.timedelta(seconds=3 * i), k, 5) for i, k in enumerate(numbers)]
     for name in ("w06_track_segments", "g03_ground_track"):
         same_as_sql(spark, name, tmp_path / name, events=(rows, "ts timestamp_ntz, event_id long, user_id long"))
+
+
+def test_targets_at_one_place(spark, tmp_path):
+    """Suppliers 1440 apart lie at one place; it is met once, and what is found there is of all of them."""
+    keys = [k + 1440 * g for k in range(0, 1440, 60) for g in range(3)]
+    rows = [(START + dt.timedelta(minutes=7 * i), i, i % 2) for i in range(1500)]
+    tables = {"supplier": ([(k,) for k in keys], "s_suppkey long"), "events": (rows, "ts timestamp_ntz, event_id long, user_id long")}
+    same_as_sql(spark, "j08_targets_x_samples", tmp_path / "j08", **tables)
+    places, members = joins.by_place(tracks.suppliers(spark, str(tmp_path / "j08")))
+    assert places.count() == 24 and members.count() == len(keys)
+    same_as_sql(spark, "g02_target_events", tmp_path / "g02", **tables)
