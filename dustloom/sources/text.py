@@ -85,15 +85,17 @@ def read_m0_log(lines: DataFrame, line: str = "line") -> DataFrame:
 def read_m22_log(lines: DataFrame, line: str = "line", layout: str = "seq") -> DataFrame:
     """channels: map of the 22 named fields after M22. Layout 'seq': R, Seq, Wifi, ..., then an optional unix time and
     date; layout 'flag': a flag, R, Wifi, ... without Seq, then unix time and date."""
-    t = F.split(F.trim(F.col(line)), r"\s+")
-    at = F.array_position(t, F.lit("M22")).cast("int")
-    timed = (F.size(t) >= 2) & is_number_like(F.element_at(t, -2))
+    # one array of one row, so that a line is cut once and not again in each condition and field
+    cut = lines.where(F.col(line).contains("M22")).select("*", F.explode(F.array(F.split(F.trim(F.col(line)), r"\s+"))).alias("_t"))
+    t = F.col("_t")
+    cut = cut.withColumns({"_at": F.array_position(t, F.lit("M22")).cast("int"), "_timed": (F.size(t) >= 2) & is_number_like(F.try_element_at(t, F.lit(-2)))})
+    at, timed = F.col("_at"), F.col("_timed")
     end = F.size(t) - F.when(timed, 2).otherwise(0)
     names = CHANNELS if layout == "seq" else tuple(c for c in CHANNELS if c != "Seq")
     skip = 0 if layout == "seq" else 1
     fields = F.slice(t, at + 1 + skip, len(names))
-    ok = lines.where((at > 0) & (F.size(t) >= 8) & (end - at - skip >= len(names)))
-    return ok.select("*", F.map_from_arrays(F.array(*map(F.lit, names)), fields).alias("channels"), F.when(timed, F.element_at(t, -2)).alias("unixtime"), F.when(timed, F.element_at(t, -1)).alias("datetime"))
+    ok = cut.where((at > 0) & (F.size(t) >= 8) & (end - at - skip >= len(names)))
+    return ok.select("*", F.map_from_arrays(F.array(*map(F.lit, names)), fields).alias("channels"), F.when(timed, F.element_at(t, -2)).alias("unixtime"), F.when(timed, F.element_at(t, -1)).alias("datetime")).drop("_t", "_at", "_timed")
 
 
 def read_kv_log(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -101,10 +103,13 @@ def read_kv_log(lines: DataFrame, line: str = "line") -> DataFrame:
     c = F.col(line)
     kept = lines.where((c.contains("Dn=") & c.contains("Ta=") & c.contains("Ua=") & c.contains("Pa=")) | c.contains("Rc="))
     payload = F.replace(F.regexp_extract(line, r"((?:0R1|Dn=|Rc=).*)$", 1), F.lit(" "), F.lit(""))
-    parts = F.filter(F.split(payload, ","), lambda p: ~F.upper(p).startswith("0R") & p.rlike("^[^=]+="))
-    pair = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=", "").alias("v")))
-    last = F.filter(pair, lambda p, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda q: q["k"] == p["k"]))
-    return kept.withColumn("pairs", F.map_from_entries(last))
+    parts = F.filter(F.split(payload, ","), lambda p: ~F.upper(F.left(p, F.lit(2))).startswith("0R") & (F.instr(p, "=") > 1))
+    # arrays of one row: the parts are cut once, and their names found once, for all that follows
+    cut = kept.select("*", F.explode(F.array(F.reverse(parts))).alias("_parts"))
+    named = cut.select("*", F.explode(F.array(F.transform("_parts", lambda p: F.substring_index(p, "=", 1)))).alias("_names"))
+    first = F.filter("_parts", lambda p, i: F.array_position("_names", F.substring_index(p, "=", 1)) == i + 1)
+    pairs = F.transform(F.reverse(first), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.instr(p, "=") + 1).alias("v")))
+    return named.withColumn("pairs", F.map_from_entries(pairs)).drop("_parts", "_names")
 
 
 def read_marker_log(lines: DataFrame, line: str = "line", stations=("NIT1", "WS500")) -> DataFrame:

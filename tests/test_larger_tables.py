@@ -6,6 +6,7 @@ import duckdb
 
 from dustloom.operators import joins
 from dustloom.plans import catalogue, tracks
+from dustloom.sources import text
 from tests.conftest import canonical
 
 START = dt.datetime(2024, 1, 1)
@@ -46,3 +47,14 @@ def test_targets_at_one_place(spark, tmp_path):
     places, members = joins.by_place(tracks.suppliers(spark, str(tmp_path / "j08")))
     assert places.count() == 24 and members.count() == len(keys)
     same_as_sql(spark, "g02_target_events", tmp_path / "g02", **tables)
+
+
+def test_lines_are_cut_once(spark):
+    """Every condition and field used to cut its line again, those of key=value lines for each pair of parts."""
+    pairs = ",".join(f"k{i % 7}={i}=x" for i in range(50))
+    df = spark.createDataFrame([(f"x 0R1, Dn= 1,=5,0r2=3,{pairs},Ta=,Ua=2,Pa=3,junk,Dn=9",), ("M22",), ("a b M22 " + " ".join(map(str, range(22))) + " 1700000000 day",)], "line string")
+    kv, m22 = text.read_kv_log(df), text.read_m22_log(df)
+    for got in (kv, m22):
+        assert got._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+    assert [r["pairs"] for r in kv.collect()] == [{f"k{i % 7}": f"{i}=x" for i in range(43, 50)} | {"Ta": "", "Ua": "2", "Pa": "3", "Dn": "9"}]
+    assert [(r["channels"]["R"], r["channels"]["Vr"], r["unixtime"], r["datetime"]) for r in m22.collect()] == [("0", "21", "1700000000", "day")]
