@@ -5,8 +5,10 @@ import random
 import re
 
 import duckdb
+import pytest
 
-from dustloom.operators import joins
+from dustloom import session
+from dustloom.operators import geo, joins, windows
 from dustloom.plans import catalogue, tracks
 from dustloom.sources import files, text
 from tests.conftest import canonical
@@ -51,6 +53,71 @@ def test_targets_at_one_place(spark, tmp_path):
     same_as_sql(spark, "g02_target_events", tmp_path / "g02", **tables)
 
 
+@pytest.fixture
+def ranges(spark):
+    """Sets the number of ranges, which is that of Spark's partitions."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def scattered(draw, k, n, numbers=3600):
+    """n events of object k at times of their own in January, with numbers that throw its samples over the globe, or over a part of it."""
+    times = sorted(draw.sample(range(31 * 86400), n))
+    return [(START + dt.timedelta(seconds=s), draw.randrange(numbers), k) for s in times]
+
+
+def test_events_over_edges_of_ranges(spark, tmp_path, ranges, monkeypatch):
+    """Runs and chains over the edges of ranges and of the period: scattered samples, slow tracks, an object that stays in place, one without footprints."""
+    draw = random.Random(7)
+    rows = scattered(draw, 0, 2500) + [(ts, i, 1) for i, (ts, _, _) in enumerate(scattered(draw, 1, 1500))]
+    rows += [(ts, 100 + i % 3, 2) for i, (ts, _, _) in enumerate(scattered(draw, 2, 900))]
+    # where both neighbours are at one place there is no motion, so no footprint and no event
+    rows += [(ts, 1000 + i % 2, 3) for i, (ts, _, _) in enumerate(scattered(draw, 3, 300))]
+    tables = {"supplier": ([(k,) for k in range(0, 1440, 20)], "s_suppkey long"), "events": (rows, "ts timestamp_ntz, event_id long, user_id long")}
+    for n in (1, 5, 13):
+        ranges(n)
+        same_as_sql(spark, "g02_target_events", tmp_path / str(n), **tables)
+    monkeypatch.setattr(geo, "in_blocks", lambda targets: joins.in_blocks(targets, 10))
+    same_as_sql(spark, "g02_target_events", tmp_path / "blocks", **tables)
+
+
+def test_pairs_are_not_written(spark, tmp_path, monkeypatch):
+    """What is written grows with the samples and the events, not with pairs of samples and targets."""
+    rows = scattered(random.Random(8), 0, 12_000, 60)
+    spark.createDataFrame([(k,) for k in range(1440)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    pairs = joins.targets_x_samples(tracks.samples(spark, str(tmp_path)), tracks.suppliers(spark, str(tmp_path)), 1500.0).count()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}/scratch")
+    events = catalogue.QUERIES["g02_target_events"](spark, str(tmp_path)).count()
+    held = sum(spark.read.parquet(str(folder)).count() for folder in (tmp_path / "scratch").iterdir())
+    assert 5 * len(rows) < events < held < pairs / 2
+
+
+def test_undecided_times_keep_the_rule(spark):
+    """Whatever was kept before, the rule keeps the same of all times as of those that are left, and always the sure ones."""
+
+    def kept(times, least, last):
+        out = []
+        for t in times:
+            if last is None or t - last >= least:
+                out.append(last := t)
+        return out
+
+    draw, most, sure_ones = random.Random(9), 0, 0
+    for _ in range(300):
+        us = sorted(draw.randrange(draw.choice((50, 400, 3000))) for _ in range(draw.randrange(1, 60)))
+        least = draw.choice((1, 10, 30, 90))
+        maybe, sure = windows.undecided(us, least)
+        assert sorted({*maybe, *sure}) == [*maybe, *sure]
+        left = [us[i] for i in (*maybe, *sure)]
+        for last in (None, *range(us[0] - least - 1, us[0] + 1)):
+            of_all = kept(us, least, last)
+            assert kept(left, least, last) == of_all and {us[i] for i in sure} <= {*of_all}
+        most, sure_ones = max(most, len(us) - len(left)), sure_ones + len(sure)
+    assert most > 20 and sure_ones > 500
+
+
 def test_lines_are_cut_once(spark):
     """Every condition and field used to cut its line again, those of key=value lines for each pair of parts."""
     pairs = ",".join(f"k{i % 7}={i}=x" for i in range(50))
